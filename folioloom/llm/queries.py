@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import token_count, token_output, url_filter
+from . import language_id, simhash_dedup, token_count, token_output, url_filter
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -22,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_filter.PAGE_RULES, "host string, path string, verdict string")
     return url_filter.apply_rules(table(spark, sf_dir, "pages"), rules)
@@ -52,14 +57,21 @@ def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.clusters(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash_dedup.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_output.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), token_output.token_folder(spark))
     return token_output.read_tokens(spark, folder)
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
     "op5_token_count": op5_token_count,
+    "op8_simhash_dedup": op8_simhash_dedup,
     "op9_token_output": op9_token_output,
 }
 
