@@ -14,54 +14,73 @@ BLOCK = 1024
 LAYOUT = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (1, 60), (0, 0)]
 ESCAPE = 15
 COUNTS = np.array([count for count, _ in LAYOUT], dtype=np.int64)
+_STEPS = np.array([max(count, 1) for count, _ in LAYOUT], dtype=np.int64)
+_NARROW = np.array([k.bit_length() for k in range(1 << 16)], dtype=np.uint8)
 _POWERS = np.array([1 << k for k in range(64)], dtype=np.uint64)
 
 
+def _widths(values: np.ndarray) -> np.ndarray:
+    if len(values) and int(values.max()) < len(_NARROW):
+        return _NARROW[values.astype(np.int64)]
+    return np.searchsorted(_POWERS, values, side="right").astype(np.uint8)
+
+
+def _choices(width: np.ndarray) -> np.ndarray:
+    """For each place the selector that holds most of the values from there to its block's end."""
+    choice = np.full(width.shape, ESCAPE, dtype=np.uint8)
+    choice[width <= 60] = 14
+    for selector in range(13, -1, -1):  # later passes hold more values and win
+        count, bits = LAYOUT[selector]
+        run, length = width <= bits, 1  # all of ``length`` values from here fit
+        while length < count and run.any():
+            more = min(length, count - length)
+            run[:, :-more] &= run[:, more:].copy()
+            run[:, width.shape[1] - more :] = False
+            length += more
+        if length < count:
+            break  # no run of narrower values can be longer than one of these
+        choice[run] = selector
+    return choice
+
+
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words (uint64) and the word offset of each block, with the total at the end."""
     values = np.ascontiguousarray(values, dtype=np.uint64)
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    width = np.searchsorted(_POWERS, values, side="right").astype(np.int16)
-    at = np.arange(n)
-    block_end = np.minimum((at // BLOCK + 1) * BLOCK, n)
-    choice = np.full(n, ESCAPE, dtype=np.int64)
-    choice[width <= 60] = 14
-    narrowest = int(width.min())
-    for selector in range(13, -1, -1):  # later passes hold more values and win
-        count, bits = LAYOUT[selector]
-        if bits < narrowest:
-            break
-        wide = np.where(width > bits, at, n)
-        next_wide = np.minimum.accumulate(wide[::-1])[::-1]
-        choice[np.minimum(next_wide, block_end) - at >= count] = selector
-    step = np.where(choice == ESCAPE, 1, COUNTS[choice])
+    width = np.full(-(-n // BLOCK) * BLOCK, 255, dtype=np.uint8)
+    width[:n] = _widths(values)
+    choice = _choices(width.reshape(-1, BLOCK)).reshape(-1)[:n]
+    step = _STEPS[choice]
     starts = np.zeros(n, dtype=bool)
     here = np.arange(0, n, BLOCK)
-    end = block_end[here]
+    end = np.minimum(here + BLOCK, n)
     while len(here):  # all blocks advance together
         starts[here] = True
         here = here + step[here]
         live = here < end
-        here, end = here[live], end[live]
+        if not live.all():
+            here, end = here[live], end[live]
     first = np.flatnonzero(starts)
     chosen = choice[first]
     taken = np.where(chosen == ESCAPE, 2, 1)
     slot = np.cumsum(taken) - taken
     words = np.zeros(int(taken.sum()), dtype=np.uint64)
     for selector in np.unique(chosen):
-        mine = chosen == selector
+        mine = np.flatnonzero(chosen == selector)
         count, bits = LAYOUT[selector]
         head = np.uint64(int(selector) << 60)
         if selector == ESCAPE:
             words[slot[mine]] = head
             words[slot[mine] + 1] = values[first[mine]]
-        elif bits == 0:
-            words[slot[mine]] = head
-        else:
-            shift = (np.arange(count) * bits).astype(np.uint64)
-            words[slot[mine]] = head | np.bitwise_or.reduce(values[first[mine][:, None] + np.arange(count)] << shift, axis=1)
+            continue
+        packed = np.full(len(mine), head, dtype=np.uint64)
+        if bits:
+            at = first[mine]
+            for k in range(count):
+                packed |= values[at + k] << np.uint64(k * bits)
+        words[slot[mine]] = packed
     blocks = np.searchsorted(first, np.arange(0, n, BLOCK))
     return words, np.r_[slot[blocks], len(words)]
 
@@ -84,7 +103,8 @@ def decode(words: np.ndarray) -> np.ndarray:
         if s in (-1, ESCAPE) or LAYOUT[s][1] == 0:
             continue
         many, bits = LAYOUT[s]
-        mine = selector == s
-        shift = (np.arange(many) * bits).astype(np.uint64)
-        out[offset[mine][:, None] + np.arange(many)] = (words[mine][:, None] >> shift) & np.uint64((1 << bits) - 1)
+        mine = np.flatnonzero(selector == s)
+        place, word = offset[mine], words[mine]
+        for k in range(many):
+            out[place + k] = (word >> np.uint64(k * bits)) & np.uint64((1 << bits) - 1)
     return out

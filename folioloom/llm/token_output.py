@@ -29,7 +29,7 @@ MAGIC = b"FL8B"
 #: Ids after which a segment is closed (a document is never cut).
 SEGMENT_IDS = 1 << 18
 #: Words kept encoded per worker; the store is emptied when it is full.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 CACHE_WORD_BYTES = 48
 HEADER = struct.Struct("<4sIQII")
 SEGMENT_SCHEMA = "shard int, seq int, base long, n_ids long, payload binary"
@@ -39,7 +39,10 @@ class WordEncoder:
     """Encodes texts by encoding each distinct word once.
 
     The tokenizer replaces white space by word boundaries and no step of it reads across one, so
-    the ids of a text are those of its words (split at ASCII white space) in a row.
+    the ids of a text are those of its words (split at ASCII white space) in a row. It lower-cases,
+    and cuts a word before a sign that follows a letter, so a word's ids are those of its
+    lower-cased stem and of its last sign. Stems of letters alone are encoded many at a time: each
+    is one run of ids, which ends with the only piece of it that ends a word.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -48,21 +51,77 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.ends_word[[k for piece, k in vocabulary.items() if piece.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.slot: dict[bytes | None, int] = {None: 0}
-        self.ids = np.array([self.end_id], dtype=np.int32)
-        self.start = np.zeros(1, dtype=np.int64)
-        self.length = np.ones(1, dtype=np.int64)
-
-    def learn(self, words: list[bytes]) -> None:
+        self.size = self.used = 1
+        self.ids = np.array([self.end_id] * 1024, dtype=np.int32)
+        self.start = np.zeros(1024, dtype=np.int64)
+        self.length = np.ones(1024, dtype=np.int64)
+
+    def add(self, words: list[bytes], ids: np.ndarray, length: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(ids), np.int32)])
+        if self.size + len(words) > len(self.start):
+            more = np.zeros(len(self.start) + len(words), np.int64)
+            self.start, self.length = np.concatenate([self.start, more]), np.concatenate([self.length, more])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[self.size : self.size + len(words)] = self.used + np.cumsum(length) - length
+        self.length[self.size : self.size + len(words)] = length
+        self.slot.update(zip(words, range(self.size, self.size + len(words)), strict=True))
+        self.used += len(ids)
+        self.size += len(words)
+
+    def encode_each(self, words: list[bytes]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
         length = np.fromiter(map(len, found), np.int64, len(found))
-        start = len(self.ids) + np.cumsum(length) - length
-        self.slot.update(zip(words, range(len(self.start), len(self.start) + len(words)), strict=True))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for ids in found for i in ids), np.int32, int(length.sum()))])
-        self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
+        self.add(words, np.array([i for ids in found for i in ids], dtype=np.int32), length)
+
+    def encode_stems(self, words: list[bytes], at_once: int = 2000) -> None:
+        for k in range(0, len(words), at_once):
+            part = words[k : k + at_once]
+            [found] = self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)
+            ids = np.array(found.ids, dtype=np.int32)
+            ends = np.flatnonzero(self.ends_word[ids])
+            if len(ends) == len(part) and ends[-1] == len(ids) - 1:
+                self.add(part, ids, np.diff(ends, prepend=-1))
+            else:
+                self.encode_each(part)
+
+    def learn(self, words: list[bytes]) -> None:
+        slot = self.slot
+        joined, plain, other, stems = [], [], [], set()
+        for word in words:
+            stem, sign = word, b""
+            if word[-1:] in b".,!?;:" and len(word) > 1 and word[-2:-1].isalpha():
+                stem, sign = word[:-1], word[-1:]
+            text = stem.decode("utf-8", "replace")
+            low = text.lower()
+            if text.isalpha() and low.isalpha():
+                stem = low.encode()
+                if stem == word:
+                    plain.append(word)
+                    stems.add(word)
+                else:
+                    joined.append((word, stem, sign))
+            else:
+                other.append(word)
+        wanted = {s for _, stem, sign in joined for s in (stem, sign) if s}.difference(slot, stems)
+        signs = {s for s in wanted if not s.isalpha() and s.isascii()}
+        fresh = plain + list(wanted - signs)
+        if fresh:
+            self.encode_stems(fresh)
+        if signs or other:
+            self.encode_each([*signs, *(w for w in other if w not in signs)])
+        if joined:
+            parts = np.array([(slot[stem], slot[sign] if sign else -1) for _, stem, sign in joined], dtype=np.int64)
+            pairs = parts.reshape(-1)[parts.reshape(-1) >= 0]
+            length = self.length[parts[:, 0]] + np.where(parts[:, 1] >= 0, self.length[parts[:, 1]], 0)
+            self.add([word for word, _, _ in joined], self.ids[common.ragged(self.start[pairs], self.length[pairs])], length)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each followed by the end id, and their counts."""
@@ -73,24 +132,20 @@ class WordEncoder:
             words += own
             words.append(None)
             counts.append(len(own) + 1)
-        distinct = set(words)
         if len(self.slot) > CACHE_WORDS:
             self.clear()
-        new = list(distinct.difference(self.slot))
-        self.learn(new) if new else None
+        new = list(set(words).difference(self.slot))
+        if new:
+            self.learn(new)
         slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
         lengths = self.length[slots]
         ids = self.ids[common.ragged(self.start[slots], lengths)]
         ends = np.cumsum(counts)
         per_text = np.add.reduceat(lengths, ends - counts) if len(counts) else np.zeros(0, np.int64)
-        if any(len(word) > CACHE_WORD_BYTES for word in new if word):
-            self.forget_long(new)
-        return ids, per_text
-
-    def forget_long(self, words: list[bytes]) -> None:
-        for word in words:
-            if word and len(word) > CACHE_WORD_BYTES:
+        for word in new:
+            if len(word) > CACHE_WORD_BYTES:
                 del self.slot[word]
+        return ids, per_text
 
 
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
