@@ -101,7 +101,7 @@ class WordEncoder:
                 stem, sign = word[:-1], word[-1:]
             text = stem.decode("utf-8", "replace")
             low = text.lower()
-            if text.isalpha() and low.isalpha():
+            if text.isalpha() and low.isalpha() and "Σ" not in text:  # its lower case depends on its place
                 stem = low.encode()
                 if stem == word:
                     plain.append(word)
