@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, simhash_dedup, token_count, token_output, url_filter
+from . import decontaminate, language_id, simhash_dedup, suffix_dedup, token_count, token_output, toxicity, url_filter
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -53,6 +53,15 @@ FROM ruled
 """
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"]).drop("kept")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -67,12 +76,19 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(spark, folder)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_token_count": op5_token_count,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_token_output": op9_token_output,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL = {
