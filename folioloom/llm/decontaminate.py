@@ -208,7 +208,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, passed: list[str], floor: fl
     """A row for each document row and item that it holds a passage of, with the best window."""
     spark = docs.sparkSession
     common.ship(spark)
-    schema = docs.select(*passed).schema.add("item_id", "long").add("similarity", "double").add("first_word", "long").add("n_words", "int")
+    schema = docs.select(*passed).schema.add("item_id", "long").add("similarity", "double").add("first_word", "long").add("n_words", "integer")
     source = docs.select(*dict.fromkeys([*passed, "text"]))
     out = None
     for items in parts(benchmark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, simhash_dedup, suffix_dedup, token_count, token_output, toxicity, url_filter
+from . import decontaminate, language_id, packing, simhash_dedup, suffix_dedup, token_count, token_output, topk, toxicity, url_filter
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -66,6 +66,30 @@ def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP6_SQL = """
+WITH vectors AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+  GROUP BY vec_id
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.word_lengths(table(spark, sf_dir, "documents")))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.clusters(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash_dedup.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -86,6 +110,8 @@ QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_token_count": op5_token_count,
+    "op6_topk": op6_topk,
+    "op7_packing": op7_packing,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_token_output": op9_token_output,
     "op10_decontamination": op10_decontamination,
@@ -93,4 +119,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_url_filter": OP2_SQL,
+    "op6_topk": OP6_SQL,
 }

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from . import common
 
@@ -41,6 +42,7 @@ EPOCHS = 25
 CACHE_WORDS = 600_000
 WORD = re.compile(r"[^\W_]+")
 _LIMIT = 30.0
+SPANS = ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()))
 
 
 def features(word: str) -> list[int]:
@@ -296,7 +298,7 @@ def score(docs: DataFrame, model: Model, passed: list[str]) -> DataFrame:
     spark = docs.sparkSession
     common.ship(spark)
     held = spark.sparkContext.broadcast(model)
-    schema = docs.select(*passed).schema.add("score", "double").add("spans", "array<struct<start:int,end:int>>")
+    schema = docs.select(*passed).schema.add("score", "double").add("spans", SPANS)
     return docs.select(*dict.fromkeys([*passed, "text"])).mapInArrow(lambda batches: _score(batches, held, passed), schema)
 
 
