@@ -176,18 +176,33 @@ def links(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT_BUCKET) -> D
     return edges.unionByName(more).distinct()
 
 
+def named_roots(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT_BUCKET) -> DataFrame:
+    """``nodes`` (distinct fp) with _root, the least fingerprint that links reach."""
+    roots = components.connected(links(nodes.select("fp"), radius, hot))
+    named = nodes.join(roots, nodes["fp"] == roots["node"], "left")
+    return common.materialise(named.select(*nodes.columns, F.coalesce("root", "fp").alias("_root")), "named")
+
+
 def clusters(docs: DataFrame, key: str = "doc_id", width: int = SHINGLE, radius: int = RADIUS, hot: int = HOT_BUCKET) -> DataFrame:
     """key, fp (long) and component_id (the smallest key that links reach) of every row."""
     known = common.materialise(fingerprints(docs, [key], width), "fingerprints")
-    nodes = known.groupBy("fp").agg(F.min(key).alias("_low"))
-    roots = components.connected(links(nodes.select("fp"), radius, hot))
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "_low", F.coalesce("root", "fp").alias("_root"))
-    named = common.materialise(named, "named")
+    named = named_roots(known.groupBy("fp").agg(F.min(key).alias("_low")), radius, hot)
     least = named.groupBy("_root").agg(F.min("_low").alias("component_id"))
     component = named.join(least, "_root").select("fp", "component_id")
     return known.join(component, "fp").select(key, "fp", "component_id")
 
 
+def deduplicate(docs: DataFrame, key: str = "doc_id", width: int = SHINGLE, radius: int = RADIUS, hot: int = HOT_BUCKET) -> DataFrame:
+    """``docs`` with one row of each component: that of the least key, known keys first."""
+    known = common.materialise(fingerprints(docs, docs.columns, width).withColumn("_row", F.monotonically_increasing_id()), "fingerprinted")
+    named = named_roots(known.select("fp").distinct(), radius, hot)
+    rows = known.select("_row", F.col(key).isNull().alias("_null"), F.col(key).alias("_key"), "fp")
+    # one row of each fingerprint before the components are joined: copies weigh nothing there
+    first = rows.groupBy("fp").agg(F.min(F.struct("_null", "_key", "_row")).alias("_first"))
+    stay = first.join(named, "fp").groupBy("_root").agg(F.min("_first").alias("_first")).select(F.col("_first._row").alias("_row"))
+    return known.join(stay, "_row", "left_semi").select(*docs.columns)
+
+
 def fingerprint_hex(fp):
     """16 lowercase hex digits of a fingerprint held as a long."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
