@@ -90,7 +90,7 @@ def html_escape(c: Column) -> Column:
 
 def script_safe(c: Column) -> Column:
     """JSON text that may stand within a script element."""
-    for sign, name in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), (" ", "\\u2028"), (" ", "\\u2029")):
+    for sign, name in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
         c = F.replace(c, F.lit(sign), F.lit(name))
     return c
 
