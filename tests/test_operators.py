@@ -121,3 +121,17 @@ def test_ranks_and_hero(spark):
     assert catalog.hero(books).first().id == 0
     assert catalog.search(books, " ROM ", ["category"]).count() == 100 and catalog.search(books, "zzz", ["category"]).count() == 0
     assert one(spark, F.size(publish.middle_insert(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda x: x.cast("string")), F.lit("ad")))) == 21
+
+
+def test_codes(spark):
+    from folioloom.functions import codes
+
+    assert [one(spark, codes.roman(F.lit(n))) for n in (1, 4, 1994, 3999, 0)] == ["I", "IV", "MCMXCIV", "MMMCMXCIX", None]
+    h = 0
+    for c in "a-slug-with-a-key":
+        h = (h * 31 + ord(c) + 2**31) % 2**32 - 2**31
+    assert one(spark, codes.rolling_hash(F.lit("a-slug-with-a-key"))) == abs(h)
+    for plain in ("", "Habari + dunia: é\n漢", "x" * 500):
+        hidden = one(spark, codes.masked(F.lit(plain), F.lit(77)))
+        assert one(spark, codes.unmasked(F.lit(hidden), F.lit(77))) == plain
+    assert one(spark, codes.is_uuid(F.lit("123e4567-e89b-12d3-a456-426614174000"))) and not one(spark, codes.is_uuid(F.lit("x")))
