@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
-#: Pieces of one length that one task ranks, about.
+#: Pieces of one length that one task ranks, about, at most.
 SALT_ROWS = 50_000
 
 
@@ -151,7 +151,8 @@ def pack(lengths: DataFrame, key: str = "doc_id", length: str = "n_tokens", capa
     pieces = pieces.select(key, "piece", F.least(F.lit(most), F.col("_n") - F.col("piece") * most).cast("long").alias("n_tokens"))
     pieces = common.materialise(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     total = pieces.count()
-    salt = F.pmod(F.xxhash64("_row"), F.lit(max(1, -(-total // SALT_ROWS)))).cast("int")
+    salts = max(common.partitions(spark), -(-total // SALT_ROWS))  # one length may have most of the pieces
+    salt = F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int")
     salted = pieces.withColumn("_salt", salt)
     counts = salted.groupBy("n_tokens", "_salt").agg(F.count("*").alias("_k"))
     histogram = {r[0]: r[1] for r in counts.groupBy("n_tokens").agg(F.sum("_k")).collect()}  # at most as many rows as the greatest capacity
