@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -165,19 +166,16 @@ def evidence(marginals: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _toxic_features(types: list[list[int]], token_type, doc_of, toxic_doc) -> np.ndarray:
+def _toxic_features(flat, starts, counts, token_type, lengths, toxic_doc) -> np.ndarray:
     """Marks the features that toxic documents have far more often than others."""
     size = 1 << FEATURE_BITS
-    pairs = np.unique(doc_of * np.int64(len(types)) + token_type)
-    doc, kind = pairs // len(types), pairs % len(types)
-    counts = np.fromiter(map(len, types), np.int64, len(types))
-    flat = np.fromiter((i for own in types for i in own), np.int64, int(counts.sum()))
-    starts = np.cumsum(counts) - counts
-    both = np.unique(np.repeat(doc, counts[kind]) * np.int64(size) + flat[common.ragged(starts[kind], counts[kind])])
-    doc, feature = both // size, both % size
+    k1, k0 = np.zeros(size), np.zeros(size)
+    at = 0
+    for n, toxic in zip(lengths.tolist(), toxic_doc.tolist(), strict=True):  # a document at a time, for memory
+        kinds = np.unique(token_type[at : at + n])
+        (k1 if toxic else k0)[np.unique(flat[common.ragged(starts[kinds], counts[kinds])])] += 1
+        at += n
     n1, n0 = toxic_doc.sum(), (~toxic_doc).sum()
-    k1 = np.bincount(feature[toxic_doc[doc]], minlength=size).astype(float)
-    k0 = np.bincount(feature[~toxic_doc[doc]], minlength=size).astype(float)
     with np.errstate(divide="ignore", invalid="ignore"):
         share = (k1 + k0) / (n1 + n0)
         ratio = sum(np.where(o > 0, o * np.log(o / e), 0.0) for o, e in ((k1, n1 * share), (k0, n0 * share), (n1 - k1, n1 * (1 - share)), (n0 - k0, n0 * (1 - share))))
@@ -201,22 +199,26 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
     if toxic.all() or not toxic.any():
         return Model(np.zeros(1), (), np.zeros(3), float((weight * toxic).sum() / weight.sum()) if len(toxic) else 0.0)
     kinds: dict[str, int] = {}
-    token_type, lengths = [], []
+    token_type, lengths = array("q"), []
     for text in texts:
         own = WORD.findall(text.lower())
-        token_type += [kinds.setdefault(w, len(kinds)) for w in own]
+        token_type.extend(kinds.setdefault(w, len(kinds)) for w in own)
         lengths.append(len(own))
     token_type, lengths = np.array(token_type, dtype=np.int64), np.array(lengths, dtype=np.int64)
-    types = [features(w) for w in kinds]
+    n_types = len(kinds)
+    counts, numbers = np.zeros(n_types, np.int64), array("q")
+    for k, word in enumerate(kinds):
+        own = features(word)
+        counts[k] = len(own)
+        numbers.extend(own)
+    flat = np.array(numbers, dtype=np.int64)
+    starts = np.cumsum(counts) - counts
     doc_of = np.repeat(np.arange(len(texts)), lengths)
     size = 1 << FEATURE_BITS
     weights = np.zeros(size + 1)
-    if not len(types):
+    if not n_types:
         return Model(weights, (1.0, 1.0, 1.0, 1.0), np.zeros(3), float((weight * toxic).sum() / weight.sum()))
-    marks = _toxic_features(types, token_type, doc_of, toxic)
-    counts = np.fromiter(map(len, types), np.int64, len(types))
-    flat = np.fromiter((i for own in types for i in own), np.int64, int(counts.sum()))
-    starts = np.cumsum(counts) - counts
+    marks = _toxic_features(flat, starts, counts, token_type, lengths, toxic)
     marked = np.add.reduceat(marks[flat].astype(np.int64), starts) > 0
     label = (marked[token_type] & toxic[doc_of]).astype(float)
     steps = Steps(lengths)
@@ -225,9 +227,7 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
     trans = np.array([-2.0, -2.0, 0.0, 0.0])  # logs of: start, enter, leave, stay
     squares, trans_squares = np.full(size + 1, 1e-8), np.full(4, 1e-8)
     first = int(steps.active[0])
-    width = np.repeat(steps.active[1:], steps.active[1:])
     before = np.arange(first, len(y)) - np.repeat(steps.active[:-1], steps.active[1:]) if len(steps.active) > 1 else np.zeros(0, np.int64)
-    del width
     scale = 1.0 / max(1.0, label.sum())
     for _ in range(EPOCHS):
         emission = (np.add.reduceat(weights[flat], starts) + weights[-1])[token_type]
@@ -236,7 +236,7 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
         odds = forward * backward
         p = odds / (1.0 + odds)
         gap = p - y
-        by_type = np.bincount(token_type[steps.token], gap, minlength=len(types))
+        by_type = np.bincount(token_type[steps.token], gap, minlength=n_types)
         gradient = np.append(np.bincount(flat, np.repeat(by_type, counts), minlength=size), by_type.sum()) * scale + 1e-4 * weights
         after = factor[first:] * backward[first:]
         prior = forward[before]
