@@ -17,6 +17,7 @@ import os
 import struct
 import uuid
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,9 @@ MAGIC = b"FL8B"
 #: Ids after which a segment is closed (a document is never cut).
 SEGMENT_IDS = 1 << 18
 #: Words kept encoded per worker; the store is emptied when it is full.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_600_000
 CACHE_WORD_BYTES = 48
+SIGNS = frozenset(b"%c" % sign for sign in b".,!?;:")
 HEADER = struct.Struct("<4sIQII")
 SEGMENT_SCHEMA = "shard int, seq int, base long, n_ids long, payload binary"
 
@@ -94,22 +96,25 @@ class WordEncoder:
 
     def learn(self, words: list[bytes]) -> None:
         slot = self.slot
-        joined, plain, other, stems = [], [], [], set()
+        joined, plain, other = [], [], []
         for word in words:
             stem, sign = word, b""
-            if word[-1:] in b".,!?;:" and len(word) > 1 and word[-2:-1].isalpha():
+            if not word.isalpha() and word[-1:] in SIGNS and len(word) > 1:
                 stem, sign = word[:-1], word[-1:]
-            text = stem.decode("utf-8", "replace")
-            low = text.lower()
-            if text.isalpha() and low.isalpha() and "Σ" not in text:  # its lower case depends on its place
+            if stem.isalpha():  # ASCII letters
+                stem = stem.lower()
+            else:
+                text = stem.decode("utf-8", "replace")
+                low = text.lower()
+                if not text.isalpha() or not low.isalpha() or "Σ" in text:  # whose lower case depends on its place
+                    other.append(word)
+                    continue
                 stem = low.encode()
-                if stem == word:
-                    plain.append(word)
-                    stems.add(word)
-                else:
-                    joined.append((word, stem, sign))
+            if stem == word:
+                plain.append(word)
             else:
-                other.append(word)
+                joined.append((word, stem, sign))
+        stems = set(plain)
         wanted = {s for _, stem, sign in joined for s in (stem, sign) if s}.difference(slot, stems)
         signs = {s for s in wanted if not s.isalpha() and s.isascii()}
         fresh = plain + list(wanted - signs)
@@ -134,10 +139,12 @@ class WordEncoder:
             counts.append(len(own) + 1)
         if len(self.slot) > CACHE_WORDS:
             self.clear()
-        new = list(set(words).difference(self.slot))
+        slots = np.fromiter(map(self.slot.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(slots < 0).tolist()
+        new = list({words[k] for k in unknown})
         if new:
             self.learn(new)
-        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+            slots[unknown] = [self.slot[words[k]] for k in unknown]
         lengths = self.length[slots]
         ids = self.ids[common.ragged(self.start[slots], lengths)]
         ends = np.cumsum(counts)
