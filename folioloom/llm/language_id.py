@@ -13,8 +13,9 @@ The fit takes a bounded sample: ``SAMPLE`` texts over all languages, evenly, eac
 ``SAMPLE_BYTES`` bytes, chosen by a hash of doc_id, and the ``MAX_LANGUAGES`` most frequent
 languages. Prediction reads every whole text.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0; so is a text with
-no n-gram in common with any landmark, and every text if there is nothing to learn from. Rows with
+Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is every text
+if there is nothing to learn from. A text with letters but no n-gram in common with any landmark gets
+the language that is likeliest beforehand, with score 0. Rows with
 a null doc_id are neither learned from nor held out. Repeated rows each get a row; an empty table
 gives an empty table; further columns are left out.
 """
@@ -107,9 +108,8 @@ class Model:
             kernel, some = self.kernel(matrix)
             out = kernel @ self.weights + self.bias
             best = out.argmax(axis=1)
-            valid = has & some
-            names += [self.languages[b] if ok else UNDETERMINED for b, ok in zip(best, valid, strict=True)]
-            scores.append(np.where(valid, np.clip((out[np.arange(len(best)), best] + 1) / 2, 0, 1), 0.0))
+            names += [self.languages[b] if letter else UNDETERMINED for b, letter in zip(best, has, strict=True)]
+            scores.append(np.where(has & some, np.clip((out[np.arange(len(best)), best] + 1) / 2, 1e-9, 1), 0.0))  # 0 says that nothing spoke for it
         return names, np.concatenate(scores) if scores else np.zeros(0)
 
 
