@@ -191,3 +191,42 @@ def html_text(c: Column) -> Column:
     for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         c = F.replace(c, F.lit(name), F.lit(sign))
     return collapse(c)
+
+
+def title_case(c: Column) -> Column:
+    """Lower-cased, the first letter of each word upper."""
+    parts = F.split(F.lower(c), "(?<![\\p{L}\\p{N}_])(?=\\p{L})")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))), "")
+
+
+def dotted_times(c: Column) -> Column:
+    """Colons between digits as dots, so that no heading is cut at one."""
+    return F.regexp_replace(c, "(\\d):(?=\\d)", "$1.")
+
+
+def detail_synopsis(c: Column) -> Column:
+    """The lines of the section headed "Version B" or "Toleo B", quote marks and rules taken off."""
+    body = F.regexp_extract(c, "(?ims)^##\\s+(?:Version B|Toleo B)\\b[^\\n]*$(.*?)(?=^##\\s|\\z)", 1)
+    lines = F.transform(F.split(body, "\\n"), lambda x: F.regexp_replace(js_trim(x), "^>\\s?", ""))
+    return F.array_join(F.filter(lines, lambda x: (x != "") & (x != "---")), "\n\n")
+
+
+def thousands(count: Column, unit: str = "words") -> Column:
+    return F.concat(F.floor(count / 1000 + 0.5).cast("string"), F.lit(f"k {unit}"))
+
+
+def cover_address(c: Column, width: int, store: str, stored: str, rendered: str) -> Column:
+    """An image address of ``store`` turned into that of a rendering ``width`` wide; others stay.
+
+    ``stored`` and ``rendered`` are the path parts of originals and renderings; a version ``v`` is kept.
+    """
+    version = F.regexp_extract(c, "[?&]v=([^&#]*)", 1)
+    base = F.replace(F.regexp_extract(c, "^([^?#]*)", 1), F.lit(stored), F.lit(rendered))
+    made = F.concat(base, F.lit("?"), F.when(version != "", F.concat(F.lit("v="), version, F.lit("&"))).otherwise(""), F.lit(f"width={width}&resize=contain&quality=76"))
+    host = F.regexp_extract(c, "^https?://([^/?#]+)", 1)
+    return F.when(host.endswith(store) & F.contains(c, F.lit(stored)), made).otherwise(c)
+
+
+def prompt(instruction: str, context: Column, request: Column) -> Column:
+    """A prompt of an instruction, at most 1500 characters of context, and at most 300 of a request."""
+    return F.concat(F.lit(instruction + "\n\n"), F.substring(context, 1, 1500), F.lit("\n\n"), F.substring(request, 1, 300))

@@ -83,3 +83,38 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def to_transfer(source: DataFrame, present: DataFrame, key: str = "path", size: str = "bytes", tolerance: int = 10) -> DataFrame:
+    """Files that are not present, or whose size differs by ``tolerance`` or more."""
+    have = present.select(key, F.col(size).alias("_have"))
+    return source.join(have, key, "left").where(F.col("_have").isNull() | (F.abs(F.col(size) - F.col("_have")) >= tolerance)).drop("_have")
+
+
+def match_ids(slugs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(slug, book_id): ids ``<date>_<name>`` whose name is the slug with ``_`` for ``-``, or else the
+    longest that the slug begins with. A slug that matches none has a null id.
+
+    The slug's beginnings at word ends meet the names in an equality join.
+    """
+    parts = F.split(F.replace(F.col("slug"), F.lit("-"), F.lit("_")), "_")
+    starts = slugs.select("slug", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "_"))).alias("_name"))
+    named = ids.select("book_id", F.regexp_replace("book_id", "^\\d{4}-\\d{2}-\\d{2}_", "").alias("_name"))
+    best = starts.join(named, "_name").groupBy("slug").agg(F.max_by("book_id", F.struct(F.length("_name"), "book_id")).alias("book_id"))
+    return slugs.select("slug").join(best, "slug", "left")
+
+
+def same_characters(left: DataFrame, right: DataFrame, key: str, column: str) -> DataFrame:
+    """key and whether both texts have the same characters equally often, white space aside."""
+    signature = lambda rows, name: rows.select(key, F.array_join(F.array_sort(F.split(text.payload(F.col(column)), "")), "").alias(name))
+    return signature(left, "_l").join(signature(right, "_r"), key, "full_outer").select(key, F.col("_l").eqNullSafe(F.col("_r")).alias("same"))
+
+
+def stored_sizes(chapters: DataFrame) -> DataFrame:
+    """By book the number and bytes of stored chapters (ciphertext and initial vector)."""
+    return chapters.groupBy("book_id").agg(F.count("*").alias("chapters"), F.sum(F.length("ciphertext") + F.length("iv")).alias("bytes"))
+
+
+def log_steps(spark, path: str, rows: list[tuple[str, str, str]]) -> None:
+    """Append (run, step, outcome) rows to a release log; earlier steps stay if a later one fails."""
+    spark.createDataFrame(rows, "run string, step string, outcome string").coalesce(1).write.mode("append").json(path)

@@ -152,3 +152,17 @@ def month_window(now: str) -> tuple[Column, Column]:
     """The month before that of ``now``, as [start, end) dates."""
     this = F.date_trunc("month", F.lit(now).cast("timestamp")).cast("date")
     return F.add_months(this, -1), this
+
+
+def report_rows(rollups: DataFrame) -> DataFrame:
+    """HTML table rows of titled rollups, the largest first."""
+    from folioloom.functions.text import html_escape
+
+    cells = [html_escape(F.col("book_title")), html_escape(F.col("event_type")), F.format_number("event_count", 0), F.format_number("unique_readers", 0)]
+    row = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells], F.lit("</tr>"))
+    return rollups.orderBy(F.desc("event_count"), "book_title", "event_type").select(row.alias("html"))
+
+
+def throttled(events: DataFrame, seconds: int = 12) -> DataFrame:
+    """Of each reader the events at least ``seconds`` after the last one kept."""
+    return admit(events, quota=1, seconds=seconds).where("accepted").select("event_id", "actor")

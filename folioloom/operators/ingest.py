@@ -184,3 +184,39 @@ def all_or_nothing(checked: DataFrame) -> DataFrame:
     """The rows if none has an error, else none."""
     failed = not checked.where("error is not null").limit(1).isEmpty()
     return checked.where(F.lit(not failed)).drop("error")
+
+
+#: Columns that an editor may change.
+PERMITTED = ("title", "author_name", "language_code", "category", "description", "cover_url", "status", "is_featured", "published_at")
+
+
+def permitted(changes: Column) -> Column:
+    """Of a map of changes the entries that an editor may make."""
+    return F.map_filter(changes, lambda k, v: k.isin(*PERMITTED))
+
+
+def patch(books: DataFrame, patches: DataFrame, now: str) -> DataFrame:
+    """``books`` after ``patches`` (id, changes as a map of strings), with ``error``.
+
+    Only permitted columns change. A book may become published only with a cover and a description,
+    counting the change, and is then published ``now`` if no time is given; else it stays as it was.
+    """
+    both = books.join(patches.select("id", permitted(F.col("changes")).alias("_p")), "id", "left")
+    value = lambda c: F.coalesce(F.try_element_at("_p", F.lit(c)).cast(books.schema[c].dataType), F.col(c))
+    publishing = F.coalesce(F.try_element_at("_p", F.lit("status")) == "published", F.lit(False))
+    error = first_error([(publishing & blank(value("cover_url")), "add a cover before publishing"), (publishing & blank(value("description")), "add a description before publishing")])
+    new = {c: value(c) for c in PERMITTED if c in books.columns}
+    if "published_at" in new:
+        given = F.try_element_at("_p", F.lit("published_at")).cast(books.schema["published_at"].dataType)
+        new["published_at"] = F.when(publishing, F.coalesce(given, F.lit(now).cast(books.schema["published_at"].dataType))).otherwise(new["published_at"])
+    checked = both.withColumn("error", error)
+    return checked.select(*[F.when(F.col("error").isNull(), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in books.columns], "error")
+
+
+def classify(title: Column, sets: dict[str, list[str]], fallback: str, tags: list[tuple[str, str]] = ()) -> Column:
+    """struct(category, tags): the first set that holds the title, and the tags whose pattern it has."""
+    category = F.lit(fallback)
+    for name, titles in reversed(sets.items()):
+        category = F.when(title.isin(*titles), name).otherwise(category)
+    found = F.array_compact(F.array(*[F.when(title.rlike(pattern), tag) for tag, pattern in tags])) if tags else F.array().cast("array<string>")
+    return F.struct(category.alias("category"), found.alias("tags"))

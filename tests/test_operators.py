@@ -135,3 +135,45 @@ def test_codes(spark):
         hidden = one(spark, codes.masked(F.lit(plain), F.lit(77)))
         assert one(spark, codes.unmasked(F.lit(hidden), F.lit(77))) == plain
     assert one(spark, codes.is_uuid(F.lit("123e4567-e89b-12d3-a456-426614174000"))) and not one(spark, codes.is_uuid(F.lit("x")))
+
+
+def test_further_text(spark):
+    assert one(spark, text.title_case(F.lit("the ÉLAN of don't-stop 3rd"))) == "The Élan Of Don'T-Stop 3rd"
+    assert one(spark, text.dotted_times(F.lit("At 10:30:15 a: b"))) == "At 10.30.15 a: b"
+    source = "# A\n## Version A\nx\n## Version B long\n> one\n\n---\n two\n## Next\nz"
+    assert one(spark, text.detail_synopsis(F.lit(source))) == "one\n\ntwo" and one(spark, text.detail_synopsis(F.lit("none"))) == ""
+    assert one(spark, text.thousands(F.lit(2500))) == "3k words"
+    args = (240, ".store.example", "/object/public/", "/render/public/")
+    assert one(spark, text.cover_address(F.lit("https://a.store.example/object/public/c.png?x=1&v=7"), *args)) == "https://a.store.example/render/public/c.png?v=7&width=240&resize=contain&quality=76"
+    assert one(spark, text.cover_address(F.lit("https://b.example/object/public/c.png"), *args)) == "https://b.example/object/public/c.png"
+
+
+def test_transfers_and_matches(spark):
+    files = spark.createDataFrame([("a", 100), ("b", 100), ("c", 1)], "path string, bytes long")
+    have = spark.createDataFrame([("a", 109), ("b", 110)], "path string, bytes long")
+    assert sorted(r.path for r in audit.to_transfer(files, have).collect()) == ["b", "c"]
+    slugs = spark.createDataFrame([("red-moon",), ("red-moon-sw",), ("sun",)], "slug string")
+    ids = spark.createDataFrame([("2026-01-01_red_moon",), ("2026-01-01_red",)], "book_id string")
+    assert sorted(map(tuple, audit.match_ids(slugs, ids).collect())) == [("red-moon", "2026-01-01_red_moon"), ("red-moon-sw", "2026-01-01_red_moon"), ("sun", None)]
+    left = spark.createDataFrame([(1, "ab c"), (2, "x")], "k int, t string")
+    right = spark.createDataFrame([(1, "c\nba"), (2, "y")], "k int, t string")
+    assert {r.k: r.same for r in audit.same_characters(left, right, "k", "t").collect()} == {1: True, 2: False}
+
+
+def test_patches(spark):
+    books = spark.createDataFrame([(1, "T", None, "d", "draft", None), (2, "U", "/covers/u", "d", "draft", None), (3, "V", None, None, "draft", None)], "id int, title string, cover_url string, description string, status string, published_at timestamp")
+    patches = spark.createDataFrame([(1, {"status": "published", "title": "X"}), (2, {"status": "published", "id": "9"}), (3, {"title": "W"})], "id int, changes map<string,string>")
+    got = {r.id: r for r in ingest.patch(books, patches, "2024-01-01 00:00:00").collect()}
+    assert (got[1].title, got[1].status, got[1].error) == ("T", "draft", "add a cover before publishing")
+    assert got[2].status == "published" and got[2].published_at == dt.datetime(2024, 1, 1) and got[2].error is None
+    assert got[3].title == "W" and got[3].status == "draft"
+    made = ingest.classify(F.lit("Dracula"), {"Romance": ["Emma"], "Thriller": ["Dracula", "Emma"]}, "Historical", [("Detective", "Holmes"), ("Night", "Drac")])
+    assert tuple(one(spark, made)) == ("Thriller", ["Night"])
+
+
+def test_report_and_throttle(spark):
+    rows = spark.createDataFrame([("<A>", "book_view", 1234, 5)], "book_title string, event_type string, event_count long, unique_readers long")
+    assert ev.report_rows(rows).first()[0] == "<tr><td>&lt;A&gt;</td><td>book_view</td><td>1,234</td><td>5</td></tr>"
+    at = dt.datetime(2024, 1, 1)
+    frame = spark.createDataFrame([(k, at + dt.timedelta(seconds=s), "u", None) for k, s in enumerate([0, 5, 13, 20])], "event_id long, created_at timestamp, user_id string, anonymous_id string")
+    assert sorted(r.event_id for r in ev.throttled(frame).collect()) == [0, 2]
