@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +30,19 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
     path = f"{root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once an application."""
+    context = spark.sparkContext
+    if getattr(context, "_folioloom_shipped", None) == context.applicationId:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="folioloom-"), "folioloom_package.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for where, _, names in os.walk(package):
+            for name in (n for n in names if n.endswith(".py")):
+                full = os.path.join(where, name)
+                archive.write(full, os.path.relpath(full, os.path.dirname(package)))
+    context.addPyFile(path)
+    context._folioloom_shipped = context.applicationId
