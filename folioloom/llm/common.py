@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,42 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_ROOT: list[str] = []
+from folioloom.sources.shared import root, ship
 
-
-def ship(spark: SparkSession) -> None:
-    """Send this package's modules to the executors, once per application."""
-    context = spark.sparkContext
-    if getattr(context, "_folioloom_shipped", None) == context.applicationId:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="folioloom-")
-    path = os.path.join(folder, "folioloom_package.zip")
-    with zipfile.ZipFile(path, "w") as archive:
-        for where, _, names in os.walk(package):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(where, name)
-                    archive.write(full, os.path.relpath(full, os.path.dirname(package)))
-    context.addPyFile(path)
-    context._folioloom_shipped = context.applicationId
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables of this application.
-
-    ``spark.checkpoint.dir`` names it; only where that is unset (local tests) a
-    temporary folder stands in. The file system removes it when the driver ends.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _LOCAL_ROOT:
-            _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="folioloom-checkpoint-"))
-        base = "file://" + _LOCAL_ROOT[0]
-    root = f"{base.rstrip('/')}/folioloom-{spark.sparkContext.applicationId}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return root
+__all__ = ["column", "crc_bucket", "materialise", "partitions", "ragged", "root", "ship", "slices", "text_bytes"]
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -59,7 +23,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     and identifiers made in ``df`` stay as they were written.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

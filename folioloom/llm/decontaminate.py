@@ -21,6 +21,8 @@ columns are left out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -184,7 +186,7 @@ class Index:
         return [(item, *found) for item, found in sorted(best.items())]
 
 
-def parts(benchmark: DataFrame, limit: int = PART_BYTES) -> list[list[tuple[int, str]]]:
+def parts(benchmark: DataFrame, limit: int = PART_BYTES) -> Iterator[list[tuple[int, str]]]:
     """The items in lists of about ``limit`` bytes, brought to the driver one by one."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -272,4 +272,4 @@ def read_tokens(spark, folder: str) -> DataFrame:
 
 
 def token_folder(spark) -> str:
-    return f"{common.shared_root(spark)}/tokens-{uuid.uuid4().hex}"
+    return f"{common.root(spark)}/tokens-{uuid.uuid4().hex}"
