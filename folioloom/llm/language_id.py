@@ -42,6 +42,8 @@ RIDGE = 0.3
 UNDETERMINED = "und"
 #: Texts in a presence matrix.
 BATCH_ROWS = 128
+#: Characters of a text that are taken at once, and shared by neighbouring parts at least; for memory only.
+PART, OVERLAP = 1 << 18, 64
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint64)
 
 _LETTERS: list[np.ndarray] = []
@@ -83,6 +85,18 @@ def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(codes), np.concatenate(rows), has
 
 
+def parts(text: str) -> list[str]:
+    """The text, or overlapping parts of a very long one; they begin and end at white space where it has any."""
+    out, at = [], 0
+    while len(text) - at > PART:
+        end = max(text.rfind(" ", at + PART // 2, at + PART), text.rfind("\n", at + PART // 2, at + PART))
+        end = end if end > 0 else at + PART
+        out.append(text[at:end])
+        back = max(text.rfind(" ", at, end - OVERLAP), text.rfind("\n", at, end - OVERLAP))
+        at = back if back > at else end - OVERLAP
+    return [*out, text[at:]]
+
+
 class Model:
     """Landmark matrix and regression weights; arrays only, so that it can be broadcast."""
 
@@ -90,13 +104,29 @@ class Model:
         self.languages, self.slot, self.landmarks, self.size, self.weights, self.bias = languages, slot, landmarks, size, weights, bias
 
     def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        codes, rows, has = gram_codes(texts)
-        slots = self.slot[codes]
-        known = slots >= 0
         matrix = np.zeros((len(texts), self.landmarks.shape[0]), dtype=np.float32)
-        matrix[rows[known], slots[known]] = 1.0
+        has = np.zeros(len(texts), dtype=bool)
+        owner, held = [], []
+        for k, text in enumerate(texts):
+            for part in parts(text):
+                owner.append(k)
+                held.append(part)
+                if len(text) > PART:
+                    self._mark(matrix, has, owner, held)
+                    owner, held = [], []
+        self._mark(matrix, has, owner, held)
         return matrix, has
 
+    def _mark(self, matrix, has, owner, texts) -> None:
+        if not texts:
+            return
+        codes, rows, letter = gram_codes(texts)
+        place = np.array(owner)
+        has[place[letter]] = True
+        slots = self.slot[codes]
+        known = slots >= 0
+        matrix[place[rows[known]], slots[known]] = 1.0
+
     def kernel(self, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = matrix.sum(axis=1)
         return matrix @ self.landmarks / np.sqrt(np.maximum(own, 1.0)[:, None] * self.size), own > 0

@@ -42,6 +42,15 @@ def test_language_kernel_is_the_presence_kernel():
             assert kernel[i, j] == pytest.approx(len(sets[i] & other) / (len(sets[i]) * len(other)) ** 0.5, rel=1e-5)
 
 
+def test_long_texts_come_in_parts(monkeypatch):
+    model = language_id.fit(["the cat sat on the mat", "el gato come la sopa"], ["en", "es"])
+    text = "The cat, sat. " * 400 + "word" * 100 + " come\n" * 300
+    whole, has = model.presence([text, "", "mat"])
+    monkeypatch.setattr(language_id, "PART", 500)
+    cut, also = model.presence([text, "", "mat"])
+    assert (whole == cut).all() and has.tolist() == also.tolist() == [True, False, True]
+
+
 def test_language_edges(spark):
     rows = [(k, f"the quick brown fox number {k}", "en") for k in range(30)] + [(k, f"der schnelle braune fuchs {k}", "de") for k in range(30, 60)]
     rows += [(100, None, "en"), (101, "", "en"), (102, "123 ?!\n", "de"), (103, "the fox " * 9000, None), (None, "the brown fox", "en"), (104, "漢字", None), (104, "漢字", None)]
@@ -130,6 +139,13 @@ def test_star_edges_span():
 TEXTS = [None, "", " \t\n", "One", "one", "ONE two", "a b c d e f g h i j k l m n o p", "A b c d e f g h i j k l m n o p", "É x y z", "é x y z", "w " * 30000, "a b c d e f g h i j k l m n o p q"]
 
 
+@pytest.mark.parametrize("width", [1, 2, 3, 5])
+def test_shingle_widths(width):
+    for text in TEXTS:
+        got = simhash_dedup.fingerprint(simhash_dedup.shingle_hashes((text or "").encode(), width))
+        assert got == brute_fingerprint(text, width)
+
+
 def test_simhash_query(spark):
     rows = [(k, t, "en") for k, t in enumerate(TEXTS)] + [(20, "One", None), (20, "One", None), (None, "one", None)]
     got = simhash_dedup.clusters(frame(spark, rows)).select("doc_id", simhash_dedup.fingerprint_hex(simhash_dedup.F.col("fp")).alias("f"), "component_id").collect()
