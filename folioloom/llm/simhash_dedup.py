@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, components
@@ -42,7 +42,7 @@ def shingle_hashes(text: bytes, width: int = SHINGLE) -> list[int]:
         return [digest(whole, SEED)]
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
-    return [digest(whole[s:e], SEED) for s, e in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)]
+    return [digest(whole[s:e], SEED) for s, e in zip(starts[: len(starts) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
 
 
 def fingerprint(hashes: list[int]) -> int:
@@ -193,14 +193,21 @@ def clusters(docs: DataFrame, key: str = "doc_id", width: int = SHINGLE, radius:
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", width: int = SHINGLE, radius: int = RADIUS, hot: int = HOT_BUCKET) -> DataFrame:
-    """``docs`` with one row of each component: that of the least key, known keys first."""
-    known = common.materialise(fingerprints(docs, docs.columns, width).withColumn("_row", F.monotonically_increasing_id()), "fingerprinted")
-    named = named_roots(known.select("fp").distinct(), radius, hot)
-    rows = known.select("_row", F.col(key).isNull().alias("_null"), F.col(key).alias("_key"), "fp")
-    # one row of each fingerprint before the components are joined: copies weigh nothing there
-    first = rows.groupBy("fp").agg(F.min(F.struct("_null", "_key", "_row")).alias("_first"))
-    stay = first.join(named, "fp").groupBy("_root").agg(F.min("_first").alias("_first")).select(F.col("_first._row").alias("_row"))
-    return known.join(stay, "_row", "left_semi").select(*docs.columns)
+    """``docs`` with one row of each component: that of the least key, known keys first.
+
+    Among rows of that key and fingerprint the one with the least text hash stays. Texts are not
+    written aside: they are fingerprinted again as they are read for the result.
+    """
+    mark = [F.col(key).isNull().alias("_null"), F.coalesce(F.col(key), F.lit(0)).alias("_key")]
+    known = common.materialise(fingerprints(docs, [key], width).select(*mark, "fp"), "fingerprints")
+    # one row of each fingerprint before components are joined: copies weigh nothing there
+    first = common.materialise(known.groupBy("fp").agg(F.min(F.struct("_null", "_key")).alias("_first")), "distinct")
+    named = named_roots(first.select("fp"), radius, hot)
+    stay = first.join(named, "fp").groupBy("_root").agg(F.min(F.struct("_first", "fp")).alias("_row")).select("_row._first._null", "_row._first._key", "_row.fp")
+    whole = fingerprints(docs, docs.columns, width).select(*docs.columns, *mark, "fp")
+    joined = whole.join(stay, ["_null", "_key", "fp"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("_null", "_key", "fp").orderBy(F.xxhash64("text")))
+    return joined.withColumn("_place", place).where("_place = 1").select(*docs.columns)
 
 
 def fingerprint_hex(fp):
