@@ -163,7 +163,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT_BUCKET) -> D
     common.ship(spark)
     n = common.partitions(spark)
     rows = _spread(distinct, "fp", MASKS, ["v", "key"], ["fp"])
-    sizes = rows.groupBy("v", "key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = common.materialise(rows.groupBy("v", "key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     met = common.materialise(rows.join(sizes, ["v", "key"]), "met")
     small = met.where(F.col("n") <= hot).select("v", "key", "fp")
     edges = small.repartition(n, "v", "key").sortWithinPartitions("v", "key").mapInArrow(lambda batches: _bucket_edges(batches, ["v", "key"], radius), "a long, b long")

@@ -345,11 +345,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT_SEGMENT
     n = common.partitions(spark)
     anchors = common.materialise(texts.mapInArrow(lambda b: _anchors(b, length), "h long, s1 long, s2 long, c1 long, c2 long, lo long, m long, n long"), "anchors")
     # a bucket of one segment, once, holds nothing repeated; most are such
-    several = anchors.groupBy("h").agg(F.sum("n").alias("_k")).where("_k > 1").select("h")
+    # (written, as only a join of plain tables can split a hot bucket)
+    several = common.materialise(anchors.groupBy("h").agg(F.sum("n").alias("_k")).where("_k > 1").select("h"), "several")
     anchors = common.materialise(anchors.join(several, "h"), "candidates")
     kinds = anchors.groupBy("h", "s1", "s2").agg(F.sum("n").alias("n"), F.max("m").alias("m"), F.max("c1").alias("c1"), F.max_by("c2", "c1").alias("c2"), F.max_by("lo", "c1").alias("lo"))
     kinds = common.materialise(kinds, "segments")
-    mixed = kinds.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+    mixed = common.materialise(kinds.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "mixed")
     wanted = kinds.join(mixed, "h").select("c1", "c2", F.struct("lo", "m", "h", "s1", "s2", (F.col("k") > hot).alias("hot")).alias("place"))
     wanted = wanted.groupBy("c1", "c2").agg(F.collect_list("place").alias("places"))
     whole = texts.mapInArrow(lambda b: _keyed(b, [], True), "c1 long, c2 long, _bytes binary")
