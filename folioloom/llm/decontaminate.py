@@ -9,7 +9,8 @@ item within the radius. What is found is verified by the exact similarity of the
 multisets, sum of lesser over sum of greater counts, of ``SIMILARITY`` at least.
 
 A window that similar has most shingles of its item, so only windows around a shingle of some
-item are fingerprinted; this loses none.
+item are fingerprinted; this loses none. Words that no item holds have numbers of their own like others: were
+they one word, a run of them would be one shingle many times over and turn the window's fingerprint.
 
 The benchmark is read in parts of at most ``PART_BYTES`` bytes, each broadcast in a pass of its own,
 so it may be of any size; documents are never shuffled.
@@ -101,8 +102,13 @@ class Index:
         return self.__dict__ | {"cache": {}}
 
     def number(self, word: str) -> int:
-        """Word numbers are hashes, so that equal words of any part agree; 0 is no word of the part."""
-        return self.vocabulary.setdefault(word, xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) >> 2 | 1)
+        """Word numbers are hashes, so that equal words of any part agree; odd for words of the part."""
+        return self.vocabulary.setdefault(word, self.hash(word) | 1)
+
+    @staticmethod
+    def hash(word: str) -> int:
+        """An even number below 2^62."""
+        return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) >> 3 << 1
 
     @staticmethod
     def _table(found):
@@ -111,13 +117,13 @@ class Index:
         return [item for item, _ in found], [codes for _, codes in found], prints, near
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        """Numbers of words: 0 for one of no item, -1 for one without letter or digit."""
+        """Numbers of words: even for one of no item, -1 for one without letter or digit."""
         cache = self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
         for word in set(words).difference(cache):
             own = plain(word)
-            cache[word] = self.vocabulary.get(own, 0) if own else -1
+            cache[word] = (self.vocabulary.get(own) or self.hash(own)) if own else -1
         return np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
 
     def search(self, texts: list[bytes]) -> list[list[tuple[int, float, int, int]]]:
@@ -134,7 +140,7 @@ class Index:
         row = np.repeat(np.arange(len(texts)), counts)
         real = numbers >= 0
         numbers, row = numbers[real], row[real]
-        known = numbers > 0
+        known = numbers & 1 == 1
         n = len(numbers) - SHINGLE + 1
         if n <= 0:
             return out
@@ -154,7 +160,6 @@ class Index:
         for k in np.unique(row[at[hit]]).tolist():
             mine = hit & (row[at] == k)
             low, high = int(starts[k]), int(starts[k + 1])
-            # words of no item differ from all of them: they need no number of their own
             out[k] = self._windows(numbers[low:high], at[mine] - low, place[mine])
         return out
 
