@@ -17,28 +17,26 @@ import os
 import struct
 import uuid
 import zlib
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common, simple8b
+from . import common, simple8b, words
 
 MAGIC = b"FL8B"
 #: Ids after which a segment is closed (a document is never cut).
 SEGMENT_IDS = 1 << 18
-#: Words kept encoded per worker; the store is emptied when it is full.
-CACHE_WORDS = 1_600_000
-CACHE_WORD_BYTES = 48
+#: Words, and ids of words, kept per worker; the store is emptied when it is full. Some 60 bytes a word.
+STORE_WORDS, STORE_IDS = 1_500_000, 6_000_000
 SIGNS = frozenset(b"%c" % sign for sign in b".,!?;:")
 HEADER = struct.Struct("<4sIQII")
 SEGMENT_SCHEMA = "shard int, seq int, base long, n_ids long, payload binary"
 
 
 class WordEncoder:
-    """Encodes texts by encoding each distinct word once.
+    """Encodes texts by encoding each distinct word once, while it is in the store (arrays, see ``words``).
 
     The tokenizer replaces white space by word boundaries and no step of it reads across one, so
     the ids of a text are those of its words (split at ASCII white space) in a row. It lower-cases,
@@ -59,45 +57,63 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[bytes | None, int] = {None: 0}
-        self.size = self.used = 1
-        self.ids = np.array([self.end_id] * 1024, dtype=np.int32)
-        self.start = np.zeros(1024, dtype=np.int64)
-        self.length = np.ones(1024, dtype=np.int64)
-
-    def add(self, words: list[bytes], ids: np.ndarray, length: np.ndarray) -> None:
+        self.table = words.Table()
+        self.used = 0
+        self.ids = np.zeros(1024, dtype=np.int32)
+        self.start = np.zeros(1024, dtype=np.int32)
+        self.length = np.zeros(1024, dtype=np.int32)
+
+    def add(self, a: np.ndarray, b: np.ndarray, ids: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Numbers of words that are new to the store."""
+        numbers = self.table.add(a, b)
         if self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(ids), np.int32)])
-        if self.size + len(words) > len(self.start):
-            more = np.zeros(len(self.start) + len(words), np.int64)
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) // 2 + len(ids), np.int32)])
+        if self.table.size > len(self.start):
+            more = np.zeros(len(self.start) // 2 + len(a), np.int32)
             self.start, self.length = np.concatenate([self.start, more]), np.concatenate([self.length, more])
         self.ids[self.used : self.used + len(ids)] = ids
-        self.start[self.size : self.size + len(words)] = self.used + np.cumsum(length) - length
-        self.length[self.size : self.size + len(words)] = length
-        self.slot.update(zip(words, range(self.size, self.size + len(words)), strict=True))
+        own = slice(self.table.size - len(a), self.table.size)
+        self.start[own] = self.used + np.cumsum(length) - length
+        self.length[own] = length
         self.used += len(ids)
-        self.size += len(words)
+        return numbers
+
+    def ids_of(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of numbered words in a row."""
+        return self.ids[common.ragged(self.start[numbers].astype(np.int64), self.length[numbers])]
 
-    def encode_each(self, words: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        length = np.fromiter(map(len, found), np.int64, len(found))
-        self.add(words, np.array([i for ids in found for i in ids], dtype=np.int32), length)
+    def encode_each(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in found], add_special_tokens=False)]
+        return np.array([i for ids in lists for i in ids], dtype=np.int32), np.fromiter(map(len, lists), np.int64, len(lists))
 
-    def encode_stems(self, words: list[bytes], at_once: int = 2000) -> None:
-        for k in range(0, len(words), at_once):
-            part = words[k : k + at_once]
+    def encode_stems(self, stems: list[bytes], at_once: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+        ids, lengths = [], []
+        for k in range(0, len(stems), at_once):
+            part = stems[k : k + at_once]
             [found] = self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)
-            ids = np.array(found.ids, dtype=np.int32)
-            ends = np.flatnonzero(self.ends_word[ids])
-            if len(ends) == len(part) and ends[-1] == len(ids) - 1:
-                self.add(part, ids, np.diff(ends, prepend=-1))
+            own = np.array(found.ids, dtype=np.int32)
+            ends = np.flatnonzero(self.ends_word[own])
+            if len(ends) == len(part) and ends[-1] == len(own) - 1:
+                own, length = own, np.diff(ends, prepend=-1)
             else:
-                self.encode_each(part)
-
-    def learn(self, words: list[bytes]) -> None:
-        slot = self.slot
+                own, length = self.encode_each(part)
+            ids.append(own)
+            lengths.append(length)
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def numbers(self, found: list[bytes], encode) -> np.ndarray:
+        """Store numbers of distinct words, encoding those that are not there."""
+        a, b = words.keys_of(found)
+        out = self.table.find(a, b)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            out[new] = self.add(a[new], b[new], *encode([found[k] for k in new.tolist()]))
+        return out
+
+    def learn(self, found: list[bytes]) -> None:
+        """Put distinct words that are not in the store there."""
         joined, plain, other = [], [], []
-        for word in words:
+        for word in found:
             stem, sign = word, b""
             if not word.isalpha() and word[-1:] in SIGNS and len(word) > 1:
                 stem, sign = word[:-1], word[-1:]
@@ -114,45 +130,42 @@ class WordEncoder:
                 plain.append(word)
             else:
                 joined.append((word, stem, sign))
-        stems = set(plain)
-        wanted = {s for _, stem, sign in joined for s in (stem, sign) if s}.difference(slot, stems)
-        signs = {s for s in wanted if not s.isalpha() and s.isascii()}
-        fresh = plain + list(wanted - signs)
-        if fresh:
-            self.encode_stems(fresh)
-        if signs or other:
-            self.encode_each([*signs, *(w for w in other if w not in signs)])
+        stems = list(dict.fromkeys([*plain, *(stem for _, stem, _ in joined)]))
+        if stems:
+            place = dict(zip(stems, self.numbers(stems, self.encode_stems).tolist(), strict=True))
+        signs = list({sign for _, _, sign in joined if sign})
+        if signs:
+            of_sign = dict(zip(signs, self.numbers(signs, self.encode_each).tolist(), strict=True))
+        if other:
+            self.numbers(other, self.encode_each)
         if joined:
-            parts = np.array([(slot[stem], slot[sign] if sign else -1) for _, stem, sign in joined], dtype=np.int64)
+            parts = np.array([(place[stem], of_sign[sign] if sign else -1) for _, stem, sign in joined], dtype=np.int64)
             pairs = parts.reshape(-1)[parts.reshape(-1) >= 0]
             length = self.length[parts[:, 0]] + np.where(parts[:, 1] >= 0, self.length[parts[:, 1]], 0)
-            self.add([word for word, _, _ in joined], self.ids[common.ragged(self.start[pairs], self.length[pairs])], length)
+            a, b = words.keys_of([word for word, _, _ in joined])
+            self.add(a, b, self.ids_of(pairs), length)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each followed by the end id, and their counts."""
-        words: list[bytes | None] = []
-        counts = []
-        for text in texts:
-            own = text.split()
-            words += own
-            words.append(None)
-            counts.append(len(own) + 1)
-        if len(self.slot) > CACHE_WORDS:
+        if self.table.size > STORE_WORDS or self.used > STORE_IDS:
             self.clear()
-        slots = np.fromiter(map(self.slot.get, words, repeat(-1)), np.int64, len(words))
-        unknown = np.flatnonzero(slots < 0).tolist()
-        new = list({words[k] for k in unknown})
-        if new:
-            self.learn(new)
-            slots[unknown] = [self.slot[words[k]] for k in unknown]
-        lengths = self.length[slots]
-        ids = self.ids[common.ragged(self.start[slots], lengths)]
-        ends = np.cumsum(counts)
-        per_text = np.add.reduceat(lengths, ends - counts) if len(counts) else np.zeros(0, np.int64)
-        for word in new:
-            if len(word) > CACHE_WORD_BYTES:
-                del self.slot[word]
-        return ids, per_text
+        found = words.Words(texts)
+        a, b = found.keys()
+        numbers = self.table.find(a, b)
+        unknown = np.flatnonzero(numbers < 0)
+        if len(unknown):
+            first, _ = words.first_of_each(a[unknown], b[unknown])
+            self.learn(found.picked(unknown[np.sort(first)]))
+            numbers[unknown] = self.table.find(a[unknown], b[unknown])
+        lengths = self.length[numbers].astype(np.int64)
+        sums = np.r_[0, np.cumsum(lengths)]
+        ends = np.cumsum(found.counts)
+        per_text = sums[ends] - sums[ends - found.counts] + 1
+        out = np.full(int(sums[-1]) + len(texts), self.end_id, dtype=np.int32)
+        word_ids = np.ones(len(out), dtype=bool)
+        word_ids[np.cumsum(per_text) - 1] = False
+        out[word_ids] = self.ids_of(numbers)
+        return out, per_text
 
 
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
