@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from folioloom.sources.shared import root, ship
 
-__all__ = ["column", "crc_bucket", "materialise", "partitions", "ragged", "root", "ship", "slices", "text_bytes"]
+__all__ = ["column", "crc_bucket", "guarded", "materialise", "partitions", "ragged", "root", "ship", "slices", "text_bytes"]
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -37,6 +37,15 @@ def crc_bucket(key: Column, modulus: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % F.lit(modulus)
 
 
+def guarded(docs: DataFrame, *kept: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """``docs`` with names that no operator uses, these names, and what gives a result the old names back.
+
+    ``kept`` columns (the text, above all) stay as they are called; so further columns may be called as they like.
+    """
+    names = [c if c in kept else f"_in{k}" for k, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names, lambda out: out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """The values of a string or binary Arrow column as bytes, nulls as empty."""
     if not pa.types.is_large_binary(column.type) and not pa.types.is_binary(column.type):

@@ -18,8 +18,9 @@ A bucket of over ``HOT_SEGMENTS`` distinct segments (a passage within very many
 not brought to one task: its windows are counted by digest instead, which is exact too.
 
 Defined results: null texts are empty; texts shorter than ``length`` lose nothing; copies of a text
-remove each other; repeated rows and repeated or null doc_ids are documents of their own; an empty
-table gives an empty table; further columns are left out.
+remove each other; repeated rows and repeated or null doc_ids are documents of their own; a very long text is
+searched in overlapping parts, which changes no result; an empty table gives an empty table; further columns
+are left out, whatever they are called.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ GRAM = 64
 HOT_SEGMENTS = 2000
 #: Bytes that are suffix-sorted at once (more only if one bucket has more).
 SORT_BYTES = 1 << 20
+#: Bytes of texts that are searched for anchors at once; a longer text is cut into overlapping parts.
+PART_BYTES = 1 << 20
 _PRIME = 0x100000001B3
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -58,34 +61,53 @@ def _words(text: np.ndarray, pad: int) -> np.ndarray:
     return out
 
 
-def _sort_directly(places: np.ndarray, words: np.ndarray, n: int, depth: int) -> np.ndarray:
-    """``places`` in the order of their suffixes' first ``depth`` bytes; shorter ones come first on a tie."""
+def _sort_directly(places: np.ndarray, words: np.ndarray, sums: np.ndarray, back: np.ndarray, n: int, depth: int) -> np.ndarray:
+    """``places`` in the order of their suffixes' first ``depth`` bytes; shorter ones come first on a tie.
+
+    Suffixes that tie are a group. The common prefix of neighbours in a group is found by a binary search
+    over prefix hashes; a group skips what all of it shares and is split by the next eight bytes. So
+    each turn splits every group, and copies are done with in one turn, however deep they agree.
+    """
     order = places[np.argsort(words[places], kind="stable")]
     key = words[order]
-    tied = np.zeros(len(order), dtype=bool)
-    same = key[1:] == key[:-1]
-    tied[1:] |= same
-    tied[:-1] |= same
-    group = np.cumsum(np.r_[True, ~same]) if len(order) else np.zeros(0, np.int64)
-    at = np.flatnonzero(tied)
-    step = 8
-    while len(at) and step < depth + 8:
-        place, own = order[at], group[at]
-        key = words[np.minimum(place + step, n)]
-        rank = np.lexsort((-place, key, own)) if step + 8 >= depth else np.lexsort((key, own))
-        place, own, key = place[rank], own[rank], key[rank]
+    at, head, tied = _ties(np.ones(len(order), dtype=bool), key)
+    at, base = at[tied], np.full(int(tied.sum()), 8, dtype=np.int64)
+    while len(at):
+        place = order[at]
+        pair = np.flatnonzero(~head[1:])
+        i, j, shared = place[pair], place[pair + 1], base[pair]
+        for step in (256, 128, 64, 32, 16, 8):
+            x, y = np.minimum(i + shared, n), np.minimum(j + shared, n)
+            left = (sums[np.minimum(x + step, n)] - sums[x]) * back[x]
+            alike = left == (sums[np.minimum(y + step, n)] - sums[y]) * back[y]
+            shared = shared + step * alike
+        group = np.cumsum(head) - 1
+        first = np.flatnonzero(head)
+        skip = np.minimum.reduceat(shared, first - np.arange(len(first)))[group]
+        done = skip >= depth
+        key = np.where(done, (n - place).astype(np.uint64), words[np.minimum(place + skip, len(words) - 1)])
+        rank = np.lexsort((key, group))
+        place, key = place[rank], key[rank]
         order[at] = place
-        same = (own[1:] == own[:-1]) & (key[1:] == key[:-1]) & (np.maximum(place[1:], place[:-1]) + step < n)
-        tied = np.zeros(len(at), dtype=bool)
-        tied[1:] |= same
-        tied[:-1] |= same
-        group[at] = at[np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(at)), 0))]
-        # keep group numbers apart from those that were never tied
-        at = at[tied]
-        step += 8
+        live = ~done & (place + skip < n)
+        _, now, tied = _ties(live, key, group)
+        at, head, base = at[tied], now, (skip + 8)[tied]
     return order
 
 
+def _ties(live: np.ndarray, key: np.ndarray, group: np.ndarray | None = None):
+    """All places, which of the tied ones begin a group, and which are tied: live neighbours of one key (and group)."""
+    same = (key[1:] == key[:-1]) & live[1:] & live[:-1]
+    if group is not None:
+        same &= group[1:] == group[:-1]
+    tied = np.zeros(len(key), dtype=bool)
+    tied[1:] |= same
+    tied[:-1] |= same
+    head = np.ones(len(key), dtype=bool)
+    head[1:] = ~same
+    return np.arange(len(key)), head[tied], tied
+
+
 def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of a byte array in the order of their first ``depth`` bytes at least, and its words.
 
@@ -100,7 +122,10 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     run_end = np.minimum.accumulate(np.where(change, np.arange(n), n)[::-1])[::-1]
     after = np.where(run_end + 1 < n, text[np.minimum(run_end + 1, n - 1)].astype(np.int16), -1)
     larger = text > after  # than the successor
-    direct = _sort_directly(np.flatnonzero(~larger), words, n, depth)
+    forward, back = _powers(n + 1)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(text.astype(np.uint64) * forward[:n], out=sums[1:])
+    direct = _sort_directly(np.flatnonzero(~larger), words, sums, back, n, depth)
     first = text[direct]
     bounds = np.searchsorted(first, np.arange(257))
     pushed: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -183,28 +208,27 @@ def gram_hashes(text: np.ndarray, gram: int) -> np.ndarray:
     return h
 
 
-def segments_of(texts: list[bytes], length: int, gram: int = GRAM):
+def segments_of(texts: list[bytes], length: int, gram: int = GRAM, part: int | None = None):
     """(text, first start, starts, bucket) arrays of all segments of texts."""
+    part = part or PART_BYTES
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     ends = np.cumsum(sizes)
-    whole = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    n = len(whole)
     none = np.zeros(0, np.int64)
+    n = int(ends[-1]) if len(ends) else 0
     if n < length:
         return none, none, none, none
-    if n >= 1 << 24:
-        out, base = [], 0
+    if n >= 2 * part + length:
+        out = [(none,) * 4]
         if len(texts) > 1:
             for k, text in enumerate(texts):
-                part = segments_of([text], length, gram)
-                out.append((part[0] + k, *part[1:]))
+                own = segments_of([text], length, gram, part)
+                out.append((own[0] + k, *own[1:]))
         else:  # a very long text in overlapping parts; a segment cut in two is two segments
-            step = (1 << 23)
-            while base + length <= n:
-                part = segments_of([texts[0][base : base + step + length - 1]], length, gram)
-                out.append((part[0], part[1] + base, *part[2:]))
-                base += step
+            for base in range(0, n - length + 1, part):
+                own = segments_of([texts[0][base : base + part + length - 1]], length, gram, part)
+                out.append((own[0], own[1] + base, *own[2:]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    whole = np.frombuffer(b"".join(texts), dtype=np.uint8)
     h = gram_hashes(whole, gram)
     width = length - gram + 1
     m = len(h)
@@ -236,14 +260,14 @@ def digests(parts) -> np.ndarray:
     return np.frombuffer(b"".join([make(p) for p in parts]), dtype="<i8").reshape(-1, 2)
 
 
-def _anchors(batches, length):
-    for batch in common.slices(batches, "text", 2 << 20):
+def _anchors(batches, length, gram):
+    for batch in common.slices(batches, "text", PART_BYTES):
         copies: dict[bytes, int] = {}
         for text in common.text_bytes(common.column(batch, "text")):
             if len(text) >= length:
                 copies[text] = copies.get(text, 0) + 1
         texts = list(copies)
-        row, first, starts, bucket = segments_of(texts, length)
+        row, first, starts, bucket = segments_of(texts, length, gram)
         if not len(row):
             continue
         views = [memoryview(t) for t in texts]
@@ -254,17 +278,31 @@ def _anchors(batches, length):
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["h", "s1", "s2", "c1", "c2", "lo", "m", "n"])
 
 
-def _keyed(batches, passed, distinct):
-    """Passed columns, content key and text; with ``distinct`` equal texts of a slice once."""
+def _digest(column: pa.Array) -> tuple[list[bytes], list[pa.Array]]:
+    texts = common.text_bytes(column)
+    key = digests(texts)
+    return texts, [pa.array(np.ascontiguousarray(key[:, k])) for k in (0, 1)]
+
+
+def _keyed(batches, passed):
+    """Passed columns, content key and text."""
     for batch in common.slices(batches, "text"):
-        texts = common.text_bytes(common.column(batch, "text"))
-        if distinct:
-            texts = list(dict.fromkeys(texts))
-        key = digests(texts)
-        yield pa.RecordBatch.from_arrays(
-            [*(common.column(batch, c) for c in passed), pa.array(np.ascontiguousarray(key[:, 0])), pa.array(np.ascontiguousarray(key[:, 1])), pa.array(texts, pa.binary())],
-            names=[*passed, "c1", "c2", "_bytes"],
-        )
+        texts, key = _digest(common.column(batch, "text"))
+        yield pa.RecordBatch.from_arrays([*(common.column(batch, c) for c in passed), *key, pa.array(texts, pa.binary())], names=[*passed, "c1", "c2", "_bytes"])
+
+
+def _distinct(batches, length):
+    """Content key and text, each text of a task once, so that a group of copies gives a row a task at most."""
+    seen = set()
+    for batch in common.slices(batches, "text"):
+        texts, key = _digest(common.column(batch, "text"))
+        fresh = []
+        for k, own in enumerate(zip(key[0].to_pylist(), key[1].to_pylist(), strict=True)):
+            if len(texts[k]) >= length and own not in seen:
+                seen.add(own)
+                fresh.append(k)
+        take = pa.array(fresh, pa.int64())
+        yield pa.RecordBatch.from_arrays([key[0].take(take), key[1].take(take), pa.array([texts[k] for k in fresh], pa.binary())], names=["c1", "c2", "_bytes"])
 
 
 _CUT_SCHEMA = "h long, s1 long, s2 long, hot boolean, segment binary"
@@ -337,34 +375,37 @@ def _window_digests(batches, length):
             )
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT_SEGMENTS) -> DataFrame:
-    """(c1, c2, ranges): for each distinct text that has any, the ranges of repeated starts."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT_SEGMENTS, gram: int = GRAM) -> DataFrame:
+    """(c1, c2, ranges): for each distinct text that has any, the ranges of repeated starts.
+
+    Tables that meet others in a join are written first: only a join of plain tables can be split where
+    a bucket, a content or a segment is hot.
+    """
     spark = docs.sparkSession
     common.ship(spark)
     texts = docs.select("text")
     n = common.partitions(spark)
-    anchors = common.materialise(texts.mapInArrow(lambda b: _anchors(b, length), "h long, s1 long, s2 long, c1 long, c2 long, lo long, m long, n long"), "anchors")
+    anchors = common.materialise(texts.mapInArrow(lambda b: _anchors(b, length, gram), "h long, s1 long, s2 long, c1 long, c2 long, lo long, m long, n long"), "anchors")
     # a bucket of one segment, once, holds nothing repeated; most are such
-    # (written, as only a join of plain tables can split a hot bucket)
     several = common.materialise(anchors.groupBy("h").agg(F.sum("n").alias("_k")).where("_k > 1").select("h"), "several")
     anchors = common.materialise(anchors.join(several, "h"), "candidates")
     kinds = anchors.groupBy("h", "s1", "s2").agg(F.sum("n").alias("n"), F.max("m").alias("m"), F.max("c1").alias("c1"), F.max_by("c2", "c1").alias("c2"), F.max_by("lo", "c1").alias("lo"))
     kinds = common.materialise(kinds, "segments")
     mixed = common.materialise(kinds.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "mixed")
     wanted = kinds.join(mixed, "h").select("c1", "c2", F.struct("lo", "m", "h", "s1", "s2", (F.col("k") > hot).alias("hot")).alias("place"))
-    wanted = wanted.groupBy("c1", "c2").agg(F.collect_list("place").alias("places"))
-    whole = texts.mapInArrow(lambda b: _keyed(b, [], True), "c1 long, c2 long, _bytes binary")
+    wanted = common.materialise(wanted.groupBy("c1", "c2").agg(F.collect_list("place").alias("places")), "wanted")
+    whole = texts.mapInArrow(lambda b: _distinct(b, length), "c1 long, c2 long, _bytes binary")
     cut = common.materialise(whole.join(wanted, ["c1", "c2"]).mapInArrow(lambda b: _cut(b, length), _CUT_SCHEMA), "cut")
     found = cut.where("not hot").select("h", "s1", "s2", "segment").repartition(n, "h").sortWithinPartitions("h").mapInArrow(lambda b: _sorted_ranges(b, length), _RANGE_SCHEMA)
     windows = cut.where("hot").dropDuplicates(["s1", "s2"]).mapInArrow(lambda b: _window_digests(b, length), "s1 long, s2 long, low long, w1 long, w2 long")
     windows = common.materialise(windows, "windows")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("_k")).where("_k > 1")
+    twice = common.materialise(windows.groupBy("w1", "w2").agg(F.count("*").alias("_k")).where("_k > 1"), "twice")
     counted = windows.join(twice, ["w1", "w2"]).select("s1", "s2", "low", (F.col("low") + 1).alias("high"))
     copied = kinds.where("n > 1").select("s1", "s2", F.lit(0).cast("long").alias("low"), F.col("m").alias("high"))
-    ranges = copied.unionByName(found).unionByName(counted)
+    ranges = common.materialise(copied.unionByName(found).unionByName(counted), "ranges")
     placed = anchors.select("s1", "s2", "c1", "c2", "lo").join(ranges, ["s1", "s2"])
     placed = placed.select("c1", "c2", F.struct((F.col("lo") + F.col("low")).alias("low"), (F.col("lo") + F.col("high")).alias("high")).alias("range"))
-    return placed.groupBy("c1", "c2").agg(F.collect_set("range").alias("ranges"))
+    return common.materialise(placed.groupBy("c1", "c2").agg(F.collect_set("range").alias("ranges")), "spans")
 
 
 def removed_spans(ranges, length: int) -> list[tuple[int, int]]:
@@ -379,7 +420,17 @@ def removed_spans(ranges, length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in spans]
 
 
-def _remove(batches, passed, length):
+def whole_words(text: bytes, low: int, high: int) -> int:
+    """Words of ``text`` that lie within ``low .. high`` from end to end."""
+    inside = len(text[low:high].split())
+    if inside and low and not text[low - 1 : low].isspace() and not text[low : low + 1].isspace():
+        inside -= 1
+    if inside and high < len(text) and not text[high - 1 : high].isspace() and not text[high : high + 1].isspace():
+        inside -= 1
+    return inside
+
+
+def _remove(batches, passed, length, least_words):
     for batch in batches:
         texts, lists = common.column(batch, "_bytes"), common.column(batch, "ranges")
         kept, removed, many = [], [], []
@@ -387,6 +438,8 @@ def _remove(batches, passed, length):
             text = texts[k].as_py() or b""
             found = lists[k].as_py()
             spans = removed_spans([(r["low"], r["high"]) for r in found], length) if found else []
+            if least_words:
+                spans = [(low, high) for low, high in spans if whole_words(text, low, high) >= least_words]
             parts, at = [], 0
             for low, high in spans:
                 parts.append(text[at:low])
@@ -400,13 +453,19 @@ def _remove(batches, passed, length):
         )
 
 
-def remove_repeats(docs: DataFrame, passed: list[str], length: int = LENGTH, hot: int = HOT_SEGMENTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, passed: list[str], length: int = LENGTH, hot: int = HOT_SEGMENTS, gram: int = GRAM, least_words: int = 0) -> DataFrame:
     """``passed`` columns, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every row.
 
-    No passed column may be called c1, c2, _bytes, ranges or like a result.
+    With ``least_words`` only maximal runs go that hold so many whole words at least. A passed column that
+    is called like a result stands beside it, under the same name.
     """
-    spans = repeated_spans(docs, length, hot)
-    kinds = docs.select(*passed).schema
-    keyed = docs.select(*dict.fromkeys([*passed, "text"])).mapInArrow(lambda b: _keyed(b, passed, False), docs.select(*passed).schema.add("c1", "long").add("c2", "long").add("_bytes", "binary"))
-    schema = kinds.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").add("kept", "binary")
-    return keyed.join(spans, ["c1", "c2"], "left").mapInArrow(lambda b: _remove(b, passed, length), schema)
+    spans = repeated_spans(docs, length, hot, gram)
+    inside = [f"_in{k}" for k in range(len(passed))]
+    source = docs.select(*[F.col(c).alias(i) for c, i in zip(passed, inside, strict=True)], F.col("text").alias("text"))
+    kinds = source.select(*inside).schema
+    keyed = source.mapInArrow(lambda b: _keyed(b, inside), source.select(*inside).schema.add("c1", "long").add("c2", "long").add("_bytes", "binary"))
+    results = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept": "binary"}
+    for name, kind in results.items():
+        kinds = kinds.add(name, kind)
+    found = keyed.join(spans, ["c1", "c2"], "left").mapInArrow(lambda b: _remove(common.slices(b, "_bytes"), inside, length, least_words), kinds)
+    return found.toDF(*passed, *results)

@@ -73,9 +73,42 @@ def test_removal(spark, length, hot):
 
 
 def test_long_texts_are_cut(spark, monkeypatch):
-    texts = [bytes(random.Random(5).choices(b"abcdefgh", k=70_000))]
-    whole = suffix_dedup.segments_of(texts, 400)
-    assert whole[2].sum() == 70_000 - 399
+    rng = random.Random(5)
+    long, other = (bytes(rng.choices(b"abcdefgh", k=n)) for n in (70_000, 30_000))
+    texts = [long, other, long[20_000:21_000] + other[:500]]
+    row, first, starts, _ = suffix_dedup.segments_of(texts, 400, part=1 << 12)
+    found = sorted((r, f + k) for r, f, s in zip(row.tolist(), first.tolist(), starts.tolist(), strict=True) for k in range(s))
+    assert found == [(r, k) for r, t in enumerate(texts) for k in range(len(t) - 399)]
+    assert len(row) > len(suffix_dedup.segments_of(texts, 400)[0])
+    # the default is looked up when the function runs, so the tasks of this session's workers may cut too
+    frame = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 1 << 12)
+    batches = frame.select("text").toArrow().to_batches()
+    cut = sum(b.column(6).to_numpy().sum() for b in suffix_dedup._anchors(batches, 400, 64))
+    assert cut == sum(len(t) - 399 for t in texts)
+    got = suffix_dedup.remove_repeats(frame, ["doc_id"]).drop("kept").collect()
+    assert sorted(map(tuple, got)) == [(k, *x) for k, x in enumerate(brute(texts, 400))]
+
+
+def test_sorting_of_deep_ties():
+    rng = random.Random(8)
+    base = bytes(rng.choices(b"ab", k=900))
+    texts = [base, base[:450] + b"x" + base[451:], base[3:], b"ab" * 300, b"a" * 700, b"a" * 699 + b"b", base[:430]]
+    got = suffix_dedup.repeated_starts(texts, 400)
+    seen = Counter(t[k : k + 400] for t in texts for k in range(len(t) - 399))
+    assert [g.tolist() for g in got] == [[seen[t[k : k + 400]] > 1 for k in range(len(t) - 399)] for t in texts]
+
+
+def test_words_of_runs(spark):
+    passage = " ".join(f"wort{k:02d}" for k in range(30))
+    texts = ["alpha " + passage + " omega", "other" + passage + "s end", "x y z"]
+    frame = spark.createDataFrame([(k, t, "kept", 7) for k, t in enumerate(texts)], "doc_id long, text string, kept string, n_spans int")
+    for least, gone in ((30, [True, False, False]), (31, [False] * 3), (28, [True, True, False])):
+        rows = sorted(suffix_dedup.remove_repeats(frame, ["doc_id"], 100, least_words=least).collect())
+        assert [r.n_removed > 0 for r in rows] == gone, least
+    wide = suffix_dedup.remove_repeats(frame, ["doc_id", "kept", "n_spans"], 100)
+    assert wide.columns == ["doc_id", "kept", "n_spans", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    assert sorted(r[1] for r in wide.collect()) == ["kept"] * 3
 
 
 def test_documents(spark, sf_dir):
