@@ -12,8 +12,10 @@ Pieces are ranked within (length, salt), with offsets from the counts, so no len
 one task, and find their bin by a binary search.
 
 A document longer than the greatest capacity is cut into pieces of it and a rest. Defined results: null
-lengths count as 0, and documents of length 0 or less get no bin; ranks of equal pieces are settled
-by the written table's row numbers; repeated rows are packed each; an empty table gives an empty table.
+lengths count as 0, and documents of length 0 or less get no bin (a text has its end id at least, so each gets one);
+pieces of one length rank by a salt of key and piece, then by key, so the packing does not hang on how the input is
+split, but for repeated keys, which are packed each; null keys come first; very long texts are cut into pieces
+as any; an empty table gives an empty table; further columns are left out.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, simple8b, token_output
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: Pieces of one length that one task ranks, about, at most.
@@ -128,43 +130,98 @@ class Finder:
         return number, at[:, 5] + inside % at[:, 4] * length, own[:, 2], own[:, 3]
 
 
-def _locate(batches, held, key):
+def _locate(batches, held, passed):
     for batch in batches:
         if not batch.num_rows:
             continue
         number, offset, used, capacity = held.value.find(common.column(batch, "n_tokens").to_numpy(), common.column(batch, "_rank").to_numpy())
+        names = [*passed, "piece", "n_tokens"]
         yield pa.RecordBatch.from_arrays(
-            [common.column(batch, key), common.column(batch, "piece"), common.column(batch, "n_tokens"), pa.array(number), pa.array(offset), pa.array(used), pa.array(capacity)],
-            names=[key, "piece", "n_tokens", "bin_id", "bin_offset", "bin_used", "capacity"],
+            [*(common.column(batch, c) for c in names), pa.array(number), pa.array(offset), pa.array(used), pa.array(capacity)],
+            names=[*names, "bin_id", "bin_offset", "bin_used", "capacity"],
         )
 
 
-def pack(lengths: DataFrame, key: str = "doc_id", length: str = "n_tokens", capacities=CAPACITIES, cost=bin_cost) -> DataFrame:
-    """key, piece, n_tokens, bin_id, bin_offset, bin_used, capacity of every piece of every row."""
+def pack(lengths: DataFrame, key: str = "doc_id", length: str = "n_tokens", capacities=CAPACITIES, cost=bin_cost, row: str | None = None) -> DataFrame:
+    """key, piece, n_tokens, bin_id, bin_offset, bin_used, capacity of every piece of every row.
+
+    Piece p of a row holds its tokens from ``p * max(capacities)`` on. With ``row``, a column of
+    distinct longs, that column is passed as well.
+    """
     spark = lengths.sparkSession
     common.ship(spark)
     most = max(capacities)
     n = F.coalesce(F.col(length).cast("long"), F.lit(0).cast("long"))
-    pieces = lengths.select(F.col(key), n.alias("_n")).where("_n > 0")
-    # full pieces and the rest; a piece's row number lasts, as the table is written
-    pieces = pieces.select(key, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {most}"))).alias("piece"))
-    pieces = pieces.select(key, "piece", F.least(F.lit(most), F.col("_n") - F.col("piece") * most).cast("long").alias("n_tokens"))
-    pieces = common.materialise(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    own = F.col(row) if row else F.monotonically_increasing_id()
+    # a row's number lasts, as the table is written
+    rows = lengths.select(F.col(key), n.alias("_n"), own.alias("_row")).where("_n > 0")
+    pieces = rows.select(key, "_row", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {most}"))).alias("piece"))
+    pieces = pieces.select(key, "_row", "piece", F.least(F.lit(most), F.col("_n") - F.col("piece") * most).cast("long").alias("n_tokens"))
+    pieces = common.materialise(pieces, "pieces")
     total = pieces.count()
     salts = max(common.partitions(spark), -(-total // SALT_ROWS))  # one length may have most of the pieces
-    salt = F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64(key, "piece"), F.lit(salts)).cast("int")
     salted = pieces.withColumn("_salt", salt)
     counts = salted.groupBy("n_tokens", "_salt").agg(F.count("*").alias("_k"))
     histogram = {r[0]: r[1] for r in counts.groupBy("n_tokens").agg(F.sum("_k")).collect()}  # at most as many rows as the greatest capacity
     before = counts.select("n_tokens", "_salt", (F.sum("_k").over(Window.partitionBy("n_tokens").orderBy("_salt")) - F.col("_k")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("n_tokens", "_salt").orderBy("_row")).cast("long")
-    ranked = salted.withColumn("_own", rank).join(before, ["n_tokens", "_salt"]).select(key, "piece", "n_tokens", (F.col("_own") - 1 + F.col("_before")).alias("_rank"))
+    rank = F.row_number().over(Window.partitionBy("n_tokens", "_salt").orderBy(key, "piece", "_row")).cast("long")
+    ranked = salted.withColumn("_own", rank).join(before, ["n_tokens", "_salt"]).select(key, "_row", "piece", "n_tokens", (F.col("_own") - 1 + F.col("_before")).alias("_rank"))
     held = spark.sparkContext.broadcast(Finder(Packing(histogram, capacities, cost)))
-    schema = lengths.select(key).schema.add("piece", "long").add("n_tokens", "long").add("bin_id", "long").add("bin_offset", "long").add("bin_used", "long").add("capacity", "long")
-    return ranked.mapInArrow(lambda batches: _locate(batches, held, key), schema)
-
-
-def word_lengths(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key and n_tokens: words between ASCII white space, and an end mark."""
-    words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+"))
-    return docs.select(key, (words + 1).cast("long").alias("n_tokens"))
+    passed = [key, "_row"] if row else [key]
+    schema = ranked.select(*passed).schema.add("piece", "long").add("n_tokens", "long").add("bin_id", "long").add("bin_offset", "long").add("bin_used", "long").add("capacity", "long")
+    found = ranked.mapInArrow(lambda batches: _locate(batches, held, passed), schema)
+    return found.withColumnRenamed("_row", row) if row else found
+
+
+def pack_texts(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", capacities=CAPACITIES, cost=bin_cost) -> DataFrame:
+    """As pack, for the numbers of tokens that the tokenizer gives each text, an end id included."""
+    return pack(token_output.token_counts(docs, tokenizer_path, [key]), key, "n_tokens", capacities, cost)
+
+
+SEQUENCE_SCHEMA = "bin_id long, capacity long, n_tokens long, doc_ids array<long>, pieces array<long>, payload binary"
+
+
+def _fill(batches):
+    """Rows come sorted by bin and offset; a row for each bin, whose payload is a segment of ``token_output``."""
+    now, held = None, []
+
+    def close():
+        counts = np.array([n for _, _, n, _ in held], dtype=np.int64)
+        keys = [k for k, _, _, _ in held]
+        ids = np.concatenate([simple8b.decode(np.frombuffer(coded, "<u8")) for _, _, _, coded in held])
+        return *now, int(counts.sum()), keys, [p for _, p, _, _ in held], token_output.pack(keys, counts, ids)
+
+    def batch_of(rows):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=["bin_id", "capacity", "n_tokens", "doc_ids", "pieces", "payload"])
+
+    for batch in common.slices(batches, "coded"):
+        out = []
+        columns = [common.column(batch, c).to_pylist() for c in ("bin_id", "capacity", "_key", "piece", "n_tokens", "coded")]
+        for number, capacity, *part in zip(*columns, strict=True):
+            if now is None or number != now[0]:
+                if held:
+                    out.append(close())
+                now, held = (number, capacity), []
+            held.append(part)
+        if out:
+            yield batch_of(out)
+    if held:
+        yield batch_of([close()])
+
+
+def sequences(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", capacities=CAPACITIES, cost=bin_cost) -> DataFrame:
+    """The packed token sequences: bin_id, capacity, n_tokens, doc_ids, pieces, payload.
+
+    ``doc_ids`` and ``pieces`` name the parts in their order; ``payload`` holds all their ids and is read with
+    ``token_output.unpack`` or ``read_range``. Keys are cast to longs.
+    """
+    spark = docs.sparkSession
+    coded = token_output.token_pieces(docs, tokenizer_path, key, max(capacities))
+    coded = common.materialise(coded.withColumn("_place", F.monotonically_increasing_id()), "coded")
+    placed = pack(coded.select("_key", "n_tokens", "_place"), "_key", "n_tokens", capacities, cost, row="_place")
+    parts = placed.select("_place", "bin_id", "bin_offset", "capacity").join(coded, "_place")
+    ordered = parts.repartition(common.partitions(spark), "bin_id").sortWithinPartitions("bin_id", "bin_offset")
+    return ordered.select("bin_id", "capacity", "_key", "piece", "n_tokens", "coded").mapInArrow(_fill, SEQUENCE_SCHEMA)

@@ -7,15 +7,11 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, language_id, packing, simhash_dedup, suffix_dedup, token_count, token_output, topk, toxicity, url_filter
 
-TOKENIZERS = "/opt/tokenizers"
-
 
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer file."""
-    try:
-        import public_tokenizers
-    except ImportError:
-        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
     return public_tokenizers.path(name)
 
 
@@ -87,7 +83,7 @@ FROM scored QUALIFY rank <= 5
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.word_lengths(table(spark, sf_dir, "documents")))
+    return packing.pack_texts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,8 +145,8 @@ class WordEncoder:
             a, b = words.keys_of([word for word, _, _ in joined])
             self.add(a, b, self.ids_of(pairs), length)
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, each followed by the end id, and their counts."""
+    def look_up(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Store numbers of all texts' words in a row, and each text's count of ids with its end id."""
         if self.table.size > STORE_WORDS or self.used > STORE_IDS:
             self.clear()
         found = words.Words(texts)
@@ -160,8 +160,12 @@ class WordEncoder:
         lengths = self.length[numbers].astype(np.int64)
         sums = np.r_[0, np.cumsum(lengths)]
         ends = np.cumsum(found.counts)
-        per_text = sums[ends] - sums[ends - found.counts] + 1
-        out = np.full(int(sums[-1]) + len(texts), self.end_id, dtype=np.int32)
+        return numbers, sums[ends] - sums[ends - found.counts] + 1
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each followed by the end id, and their counts."""
+        numbers, per_text = self.look_up(texts)
+        out = np.full(int(per_text.sum()), self.end_id, dtype=np.int32)
         word_ids = np.ones(len(out), dtype=bool)
         word_ids[np.cumsum(per_text) - 1] = False
         out[word_ids] = self.ids_of(numbers)
@@ -284,5 +288,39 @@ def read_tokens(spark, folder: str) -> DataFrame:
     return rows.join(F.broadcast(before), "shard").select("doc_id", (F.col("_start") + F.col("_before")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def _counted(batches, path: str, end_id: int, passed: list[str]):
+    tool = encoder(path, end_id)
+    for batch in common.slices(batches, "text", 1 << 20):
+        counts = tool.look_up(common.text_bytes(common.column(batch, "text")))[1]
+        yield pa.RecordBatch.from_arrays([*(common.column(batch, c) for c in passed), pa.array(counts)], names=[*passed, "n_tokens"])
+
+
+def token_counts(docs: DataFrame, tokenizer_path: str, passed: list[str], end_id: int = 2) -> DataFrame:
+    """``passed`` columns and n_tokens, end id included, of every row."""
+    common.ship(docs.sparkSession)
+    source = docs.select(*passed, F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(lambda batches: _counted(batches, tokenizer_path, end_id, passed), docs.select(*passed).schema.add("n_tokens", "long"))
+
+
+def _pieces(batches, path: str, end_id: int, most: int):
+    tool = encoder(path, end_id)
+    for batch in common.slices(batches, "text", 1 << 20):
+        ids, counts = tool.encode(common.text_bytes(common.column(batch, "text")))
+        many = -(-counts // most)
+        owner = np.repeat(np.arange(len(counts)), many)
+        piece = common.ragged(np.zeros(len(many), np.int64), many)
+        start = (np.cumsum(counts) - counts)[owner] + piece * most
+        size = np.minimum(counts[owner] - piece * most, most)
+        coded = [simple8b.encode(ids[a : a + n])[0].astype("<u8").tobytes() for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([common.column(batch, "_key").take(pa.array(owner)), pa.array(piece), pa.array(size), pa.array(coded, pa.binary())], names=["_key", "piece", "n_tokens", "coded"])
+
+
+def token_pieces(docs: DataFrame, tokenizer_path: str, key: str, most: int, end_id: int = 2) -> DataFrame:
+    """_key (the key as a long), piece, n_tokens and the Simple-8b words of each piece of ``most`` ids at most."""
+    common.ship(docs.sparkSession)
+    source = docs.select(F.col(key).cast("long").alias("_key"), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(lambda batches: _pieces(batches, tokenizer_path, end_id, most), "_key long, piece long, n_tokens long, coded binary")
+
+
 def token_folder(spark) -> str:
     return f"{common.root(spark)}/tokens-{uuid.uuid4().hex}"

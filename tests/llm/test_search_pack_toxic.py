@@ -45,34 +45,42 @@ def test_reading_stops_early():
 # --- packing
 
 
-def sequential_best_fit(lengths, capacities, cost):
-    """The same rules, piece by piece; returns the multiset of contents of bins."""
-    model = packing.Packing({}, capacities, cost)
-    left = Counter(lengths)
-    model.lengths, model.left = sorted(left), dict(left)
-    bins = []
-    for length in sorted(lengths, reverse=True):
-        fit = [b for b in bins if b[0] - sum(b[1]) >= length]
-        if fit:
-            min(fit, key=lambda b: b[0] - sum(b[1]))[1].append(length)
-        else:
-            bins.append((model.choose(length), [length]))
-        model.left[length] -= 1
-    return bins
+def best_fit_by_piece(lengths, capacities, cost):
+    """The rules piece by piece, written from the description: the used sizes of all bins.
+
+    When no open bin holds a piece, bins for all pieces left of its length are of the size that costs least
+    a token, filled greedily, longest first, with what is left.
+    """
+    left, bins = Counter(lengths), []
+    for length in sorted(left, reverse=True):
+        size = None
+        while left[length]:
+            fit = [b for b in bins if b[0] - b[1] >= length]
+            if fit:
+                min(fit, key=lambda b: b[0] - b[1])[1] += length
+                left[length] -= 1
+                continue
+            if size is None:
+                options = []
+                for capacity in sorted(c for c in capacities if c >= length):
+                    used, rest = 0, Counter(left)
+                    while piece := max((n for n in rest if rest[n] and n <= capacity - used), default=0):
+                        used += piece
+                        rest[piece] -= 1
+                    options.append((cost(min(c for c in capacities if c >= used)) / used, capacity))
+                size = min(options)[1]
+            bins.append([size, 0])
+    return Counter(used for _, used in bins)
 
 
 def test_packing_rules():
     rng = random.Random(2)
-    for _ in range(30):
-        lengths = [min(64, int(rng.expovariate(0.06)) + 1) for _ in range(rng.randint(1, 200))]
-        caps = [8, 16, 32, 64]
+    for _ in range(60):
+        caps = sorted(rng.sample(range(4, 80), rng.randint(1, 4)))
+        lengths = [min(caps[-1], int(rng.expovariate(0.06)) + 1) for _ in range(rng.randint(1, 120))]
         packed = packing.Packing(dict(Counter(lengths)), caps)
-        reference = sequential_best_fit(lengths, caps, packing.bin_cost)
-        assert sum(u for f, e, u, _ in packed.bins for _ in range(e - f)) == sum(lengths)
-        used = Counter(u for f, e, u, _ in packed.bins for _ in range(e - f))
-        cost = sum(n * packing.bin_cost(min(c for c in caps if c >= u)) for u, n in used.items())
-        other = sum(packing.bin_cost(min(c for c in caps if c >= sum(b))) for _, b in reference)
-        assert cost <= 1.1 * other + 100
+        assert Counter(u for f, e, u, _ in packed.bins for _ in range(e - f)) == best_fit_by_piece(lengths, caps, packing.bin_cost)
+        assert all(c == min(x for x in caps if x >= u) for _, _, u, c in packed.bins)
 
 
 def check_packed(rows, lengths, capacities):
@@ -104,15 +112,52 @@ def test_packing_salts(spark, monkeypatch):
     check_packed([tuple(r) for r in packing.pack(frame, capacities=(20, 50)).collect()], lengths, (20, 50))
 
 
+def tokens_of(texts):
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json"))
+    return [[*e.ids, 2] for e in tool.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
 def test_packing_of_documents(spark, sf_dir):
     docs = queries.table(spark, sf_dir, "documents").collect()
-    lengths = [(r.doc_id, len(r.text.encode().split()) + 1) for r in docs]
+    lengths = [(r.doc_id, len(ids)) for r, ids in zip(docs, tokens_of([r.text for r in docs]), strict=True)]
     rows = [tuple(r) for r in queries.op7_packing(spark, sf_dir).collect()]
     check_packed(rows, lengths, packing.CAPACITIES)
     used, held = sum(n for _, n in lengths), {r[3]: r[6] for r in rows}
     assert used / sum(held.values()) > 0.9
 
 
+def check_sequences(rows, texts, capacities):
+    """rows: (bin, capacity, n, keys, pieces, payload); texts: (key, text)"""
+    from folioloom.llm import token_output
+
+    expected = Counter()
+    for (key, _), ids in zip(texts, tokens_of([t for _, t in texts]), strict=True):
+        expected.update((key, at // max(capacities), tuple(ids[at : at + max(capacities)])) for at in range(0, len(ids), max(capacities)))
+    got = Counter()
+    assert len({r[0] for r in rows}) == len(rows)
+    for _, capacity, n, keys, pieces, payload in rows:
+        own, counts, _, _ = token_output.unpack(payload)
+        ids = token_output.read_range(payload, 0, n).tolist()
+        assert own == keys and counts.sum() == n == len(ids) and capacity == min(c for c in capacities if c >= n)
+        ends = np.cumsum(counts).tolist()
+        got.update((k, p, tuple(ids[e - c : e])) for k, p, c, e in zip(keys, pieces, counts.tolist(), ends, strict=True))
+    assert got == expected
+
+
+def test_sequences(spark):
+    rng = random.Random(9)
+    texts = [(k, " ".join(rng.choice(["the", "Book", "of,", "x9", "été"]) for _ in range(int(rng.lognormvariate(3, 1.2))))) for k in range(150)]
+    texts += [(None, "a b"), (None, None), (7, ""), (7, ""), (900, "word " * 900)]
+    frame = spark.createDataFrame([(k, t, 3) for k, t in texts], "doc_id long, text string, bin_id int").repartition(3)
+    caps = (32, 64, 256)
+    rows = packing.sequences(frame, queries.tokenizer_path("word_bpe_49k.json"), capacities=caps)
+    check_sequences([tuple(r) for r in rows.collect()], texts, caps)
+    assert packing.sequences(frame.limit(0), queries.tokenizer_path("word_bpe_49k.json")).count() == 0
+
+
+
 # --- toxicity
 
 
