@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -13,33 +14,67 @@ from folioloom.llm import decontaminate, packing, queries, topk, toxicity
 # --- top-k
 
 
-def test_topk(spark):
-    rng = random.Random(4)
-    rows = [(k, [rng.uniform(-1, 1) for _ in range(6)], "x") for k in range(300)]
-    rows += [(300 + k, rows[3][1], "x") for k in range(40)]  # many ties
-    bad = [(900, None), (901, []), (902, [1.0, None]), (903, [math.nan] * 6), (904, [math.inf] * 6), (None, [1.0] * 6)]
-    frame = spark.createDataFrame(rows + rows[:5] + [(k, v, "y") for k, v in bad], "vec_id long, embedding array<float>, score string").repartition(5)
-    got = topk.search(frame, topk.F.col("vec_id") % 10 == 0, group=100, block=16).collect()
-    whole = {k: [math.floor(256 * float(np.float32(x))) for x in v] for k, v, _ in rows}
-    expected = []
-    for q in whole:
-        if q % 10 == 0:
-            ranked = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), c) for c, v in whole.items() if c != q)[:5]
-            expected += [(q, i + 1, c, -s) for i, (s, c) in enumerate(ranked)]
-    assert sorted(map(tuple, got)) == sorted(expected)
+def brute_topk(rows, is_query, k=5):
+    """rows: (vec_id, vector); every row is a candidate but the query's own."""
+    fit = [(i, [math.floor(256 * Fraction(float(x))) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    for at, (query, weights) in enumerate(fit):
+        if query is not None and is_query(query):
+            ranked = sorted((-sum(a * b for a, b in zip(weights, v)), i is None, i or 0) for c, (i, v) in enumerate(fit) if c != at)[:k]  # noqa: B905
+            for rank, (score, none, i) in enumerate(ranked, 1):
+                yield query, rank, None if none else i, max(-(1 << 63), min((1 << 63) - 1, -score))
+
+
+def check_topk(spark, rows, kind, **options):
+    frame = spark.createDataFrame([(k, v, "x") for k, v in rows], f"vec_id long, embedding array<{kind}>, score string").repartition(5)
+    got = topk.search(frame, topk.F.col("vec_id") % 10 == 0, **options).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(brute_topk(rows, lambda i: i % 10 == 0), key=str)
     assert topk.search(frame.limit(0), topk.F.col("vec_id") % 10 == 0).count() == 0
-    few = topk.search(frame.where("vec_id in (0, 1, 2)"), topk.F.col("vec_id") == 0).collect()
-    assert [r.rank for r in few] == [1, 2]
+
+
+def near(x):
+    return float(np.float32(x))
+
+
+@pytest.mark.parametrize("options", [{}, {"block": 16, "lane_rows": 50}])
+def test_topk(spark, options):
+    rng = random.Random(4)
+    rows = [(k, [near(rng.uniform(-1, 1)) for _ in range(6)]) for k in range(300)]
+    rows += [(300 + k, rows[3][1]) for k in range(40)]  # many ties
+    rows += [(k, [near(rng.uniform(-1, 1)) for _ in range(6)]) for k in (0, 10, 10, 17)] + rows[:5]  # shared ids, repeated rows
+    rows += [(None, [1.0] * 6), (None, rows[20][1]), (910, []), (911, [0.5, -0.5]), (920, [near(0.3)] * 9)]
+    rows += [(900, None), (902, [1.0, None]), (903, [math.nan] * 6), (904, [math.inf] * 6)]
+    check_topk(spark, rows, "float", **options)
+
+
+def test_topk_of_large_components(spark):
+    rng = random.Random(5)
+    rows = [(k, [rng.uniform(-1, 1) * 2.0 ** rng.choice([0, 0, 3, 12, 19, 24, 40, 70, 900]) for _ in range(3)]) for k in range(120)]
+    rows += [(200 + k, [2.0**60, 1.0 + k, 0.0]) for k in range(12)] + [(300, [1.7e308, -1.7e308, 5e-324]), (310, [float(1 << 20)] * 3)]
+    check_topk(spark, rows, "double", lane_rows=30)
+
+
+def test_topk_groups(monkeypatch):
+    monkeypatch.setattr(topk, "GROUP", 500)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 7)
+    rng = np.random.default_rng(3)
+    raw = np.floor(rng.normal(0, 60, (2300, 24))) / 256
+    lane = topk.Lane(5)
+    lane.queries(np.arange(0, 2300, 50), list(range(0, 2300, 50)), raw[::50])
+    for at in range(0, 2300, 130):
+        lane.candidates(np.arange(at, min(at + 130, 2300)), list(range(at, min(at + 130, 2300))), raw[at : at + 130])
+    got = lane.result().to_pydict()
+    expected = list(brute_topk([(k, v.tolist()) for k, v in enumerate(raw)], lambda i: i % 50 == 0))
+    assert list(zip(got["query_id"], got["vec_id"], got["score"], strict=True)) == [(q, i, s) for q, _, i, s in expected]
 
 
 def test_reading_stops_early():
     rng = np.random.default_rng(1)
-    matrix = rng.integers(-20, 20, (3000, 16))
-    matrix[5:2000:50] = 250  # within the seed and beyond it
-    lists = topk.SortedLists(np.arange(3000), matrix)
-    ids, scores = lists.search(-1, np.full(16, 100.0), 5)
-    assert ids.tolist() == [5, 55, 105, 155, 205] and set(scores.tolist()) == {250 * 100 * 16}
-    assert lists.reads < 0.2 * lists.n * 16
+    matrix = rng.integers(-20, 20, (3000, 16)).astype(float)
+    matrix[5:2000:50] = 250
+    group, found = topk.Group(np.arange(3000), list(range(3000)), matrix), topk.Found(np.array([-1]), 5)
+    group.search(found, np.arange(1), np.full((1, 16), 100.0))
+    assert found.best[0] == [(-250 * 100 * 16, False, k) for k in (5, 55, 105, 155, 205)]
+    assert group.reads <= 0.25 * 3000 * 16
 
 
 # --- packing
