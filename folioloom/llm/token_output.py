@@ -54,33 +54,7 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         self.ends_word[[k for piece, k in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.clear()
-
-    def clear(self) -> None:
-        self.table = words.Table()
-        self.used = 0
-        self.ids = np.zeros(1024, dtype=np.int32)
-        self.start = np.zeros(1024, dtype=np.int32)
-        self.length = np.zeros(1024, dtype=np.int32)
-
-    def add(self, a: np.ndarray, b: np.ndarray, ids: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Numbers of words that are new to the store."""
-        numbers = self.table.add(a, b)
-        if self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) // 2 + len(ids), np.int32)])
-        if self.table.size > len(self.start):
-            more = np.zeros(len(self.start) // 2 + len(a), np.int32)
-            self.start, self.length = np.concatenate([self.start, more]), np.concatenate([self.length, more])
-        self.ids[self.used : self.used + len(ids)] = ids
-        own = slice(self.table.size - len(a), self.table.size)
-        self.start[own] = self.used + np.cumsum(length) - length
-        self.length[own] = length
-        self.used += len(ids)
-        return numbers
-
-    def ids_of(self, numbers: np.ndarray) -> np.ndarray:
-        """The ids of numbered words in a row."""
-        return self.ids[common.ragged(self.start[numbers].astype(np.int64), self.length[numbers])]
+        self.store = words.Lists()
 
     def encode_each(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lists = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in found], add_special_tokens=False)]
@@ -104,10 +78,10 @@ class WordEncoder:
     def numbers(self, found: list[bytes], encode) -> np.ndarray:
         """Store numbers of distinct words, encoding those that are not there."""
         a, b = words.keys_of(found)
-        out = self.table.find(a, b)
+        out = self.store.find(a, b)
         new = np.flatnonzero(out < 0)
         if len(new):
-            out[new] = self.add(a[new], b[new], *encode([found[k] for k in new.tolist()]))
+            out[new] = self.store.add(a[new], b[new], *encode([found[k] for k in new.tolist()]))
         return out
 
     def learn(self, found: list[bytes]) -> None:
@@ -141,23 +115,23 @@ class WordEncoder:
         if joined:
             parts = np.array([(place[stem], of_sign[sign] if sign else -1) for _, stem, sign in joined], dtype=np.int64)
             pairs = parts.reshape(-1)[parts.reshape(-1) >= 0]
-            length = self.length[parts[:, 0]] + np.where(parts[:, 1] >= 0, self.length[parts[:, 1]], 0)
+            length = self.store.length[parts[:, 0]] + np.where(parts[:, 1] >= 0, self.store.length[parts[:, 1]], 0)
             a, b = words.keys_of([word for word, _, _ in joined])
-            self.add(a, b, self.ids_of(pairs), length)
+            self.store.add(a, b, self.store.values_of(pairs), length)
 
     def look_up(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Store numbers of all texts' words in a row, and each text's count of ids with its end id."""
-        if self.table.size > STORE_WORDS or self.used > STORE_IDS:
-            self.clear()
+        if self.store.table.size > STORE_WORDS or self.store.used > STORE_IDS:
+            self.store.clear()
         found = words.Words(texts)
         a, b = found.keys()
-        numbers = self.table.find(a, b)
+        numbers = self.store.find(a, b)
         unknown = np.flatnonzero(numbers < 0)
         if len(unknown):
             first, _ = words.first_of_each(a[unknown], b[unknown])
             self.learn(found.picked(unknown[np.sort(first)]))
-            numbers[unknown] = self.table.find(a[unknown], b[unknown])
-        lengths = self.length[numbers].astype(np.int64)
+            numbers[unknown] = self.store.find(a[unknown], b[unknown])
+        lengths = self.store.length[numbers].astype(np.int64)
         sums = np.r_[0, np.cumsum(lengths)]
         ends = np.cumsum(found.counts)
         return numbers, sums[ends] - sums[ends - found.counts] + 1
@@ -168,7 +142,7 @@ class WordEncoder:
         out = np.full(int(per_text.sum()), self.end_id, dtype=np.int32)
         word_ids = np.ones(len(out), dtype=bool)
         word_ids[np.cumsum(per_text) - 1] = False
-        out[word_ids] = self.ids_of(numbers)
+        out[word_ids] = self.store.values_of(numbers)
         return out, per_text
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from . import common
+
 #: Bytes of a word from which xxh3 makes its key; shorter ones are keyed in step.
 LONG = 256
 _PAD = b"\n" + bytes(8)
@@ -141,3 +143,40 @@ class Table:
             self.place[spot[free]] = numbers[free]
             left = self.place[spot] != numbers
             spot, numbers = (spot[left] + np.uint64(1)) & mask, numbers[left]
+
+
+class Lists:
+    """A list of numbers for each word of a table, in arrays."""
+
+    def __init__(self, kind=np.int32):
+        self.kind = kind
+        self.clear()
+
+    def clear(self) -> None:
+        self.table = Table()
+        self.used = 0
+        self.values = np.zeros(1024, dtype=self.kind)
+        self.start = np.zeros(1024, dtype=np.int32)
+        self.length = np.zeros(1024, dtype=np.int32)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.table.find(a, b)
+
+    def add(self, a: np.ndarray, b: np.ndarray, values: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Numbers of words that are new to the table, whose lists stand in a row."""
+        numbers = self.table.add(a, b)
+        if self.used + len(values) > len(self.values):
+            self.values = np.concatenate([self.values, np.zeros(len(self.values) // 2 + len(values), self.kind)])
+        if self.table.size > len(self.start):
+            more = np.zeros(len(self.start) // 2 + len(a), np.int32)
+            self.start, self.length = np.concatenate([self.start, more]), np.concatenate([self.length, more])
+        self.values[self.used : self.used + len(values)] = values
+        own = slice(self.table.size - len(a), self.table.size)
+        self.start[own] = self.used + np.cumsum(length) - length
+        self.length[own] = length
+        self.used += len(values)
+        return numbers
+
+    def values_of(self, numbers: np.ndarray) -> np.ndarray:
+        """The lists of numbered words in a row."""
+        return self.values[common.ragged(self.start[numbers].astype(np.int64), self.length[numbers])]

@@ -268,14 +268,14 @@ def test_toxicity_held_out(spark):
 
 
 def brute_passages(docs, items):
-    shingles = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    shingles = lambda w: Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
     items = [(i, decontaminate.words_of(t)) for i, t in items]
     out = {}
     for d, text in docs:
         words = decontaminate.words_of(text)
         for i, own in items:
             n = len(own)
-            if n < 5:
+            if not n:
                 continue
             target = shingles(own)
             best = max((sum((s & target).values()) / sum((s | target).values()) for s in (shingles(words[a : a + n]) for a in range(len(words) - n + 1))), default=0)
@@ -287,8 +287,8 @@ def brute_passages(docs, items):
 def test_passages(spark, monkeypatch):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 6)))
-    items = [(k, " ".join(word() for _ in range(rng.randint(6, 60)))) for k in range(25)] + [(90, "too short here"), (91, None), (None, "a b c d e f")]
-    docs = []
+    items = [(k, " ".join(word() for _ in range(rng.randint(6, 60)))) for k in range(25)] + [(90, "too short here"), (91, None), (None, "a b c d e f"), (92, "、 ... !"), (93, "東京都は日本の首都であり世界最大の都市の一つである"), (94, "Oneword!")]
+    docs = [(500, "it is Too  short, here"), (501, "x 東京都は日本の首都であり世界最大の都市の一つです。"), (502, "東京都は日本"), (503, "oneword"), (504, "onewords too short")]
     for k in range(80):
         words = [word() for _ in range(rng.randint(0, 150))]
         if k % 2:
