@@ -11,11 +11,24 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.sources.shared import root, ship
+from folioloom.sources import shared
+from folioloom.sources.shared import root
 
 __all__ = ["column", "crc_bucket", "guarded", "materialise", "partitions", "ragged", "root", "ship", "slices", "text_bytes"]
 
 
+#: Bytes of an Arrow batch on its way to Python; a row may have more.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, and bound Arrow batches by bytes unless the session does."""
+    shared.ship(spark)
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

@@ -1,6 +1,7 @@
 """URL filter, token counts, Simple-8b and token output against brute force."""
 
 import math
+import random
 import zlib
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from folioloom.llm import queries, simple8b, token_count, token_output, url_filter
+from folioloom.llm import queries, simple8b, token_count, token_output, url_filter, words
 
 DOCS = "doc_id long, text string, lang string, start long, extra array<int>"
 TEXTS = [
@@ -116,7 +117,7 @@ def test_token_counts(spark):
     scores = token_count.load_scores(path)
     frame = docs(spark)
     got = {r.doc_id: r.n_tokens for r in token_count.count_tokens(frame, path).collect()}
-    small = {r.doc_id: brute_count(r.text, scores) for r in frame.collect() if len(r.text or "") < 3000}
+    small = {r.doc_id: brute_count(r.text, scores) for r in frame.collect() if len(r.text or "") < 3001}
     assert {k: got[k] for k in small} == small
     assert math.isfinite(got[5 * 3]) and got[3] == 0 and got[6] == 0
     assert token_count.count_tokens(frame.limit(0), path).count() == 0
@@ -124,10 +125,21 @@ def test_token_counts(spark):
 
 def test_trie_shares_prefixes_and_may_be_emptied(monkeypatch):
     trie = token_count.CountTrie({"▁": -1.0, "a": -1.0, "ab": -1.5, "b": -1.0, "▁ab": -1.2})
-    assert trie.counts([b"ab", b"abab", b"ab"]).tolist() == [1, 2, 1]
-    assert len(trie.score) == 6
-    monkeypatch.setattr(token_count, "TRIE_NODES", 1)
-    assert trie.counts([b"abab", b"c"]).tolist() == [2, 2]
+    count = lambda *found: trie.counts(words.Words([b" ".join(found)])).tolist()
+    assert count(b"ab", b"abab", b"ab") == [1, 2, 1]
+    assert trie.nodes == 5  # the mark and abab, of which ab is a prefix
+    monkeypatch.setattr(token_count, "STORE_WORDS", 1)
+    assert count(b"abab", b"c") == [2, 2]
+
+
+def test_counts_of_random_words(monkeypatch):
+    rng = random.Random(3)
+    scores = {"▁": -3.0, "\u00e9": -2.5} | {"".join(rng.choice("abcé日") for _ in range(rng.randint(1, 6))): -float(rng.randint(1, 9)) for _ in range(120)}
+    trie = token_count.CountTrie(scores)
+    found = ["".join(rng.choice("abcdé日𝒳") for _ in range(rng.choice([1, 3, 8, 20, 63, 64, 90]))) for _ in range(400)]
+    got = trie.counts(words.Words([" ".join(found).encode()])).tolist()
+    assert got == [brute_count(w, scores) for w in found]
+    assert [trie.long_count(token_count.MARK + w) for w in found] == got
 
 
 # --- URL filter
