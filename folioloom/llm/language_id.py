@@ -9,15 +9,18 @@ Only n-grams of the landmarks can add to a kernel value, so a batch of texts bec
 matrix over these; its product with the landmarks' matrix gives all kernel values, and a second
 product all languages' outputs. The score is the winner's output mapped from [-1, 1] to [0, 1].
 
-The fit takes a bounded sample: ``SAMPLE`` texts over all languages, evenly, each of at most
-``SAMPLE_BYTES`` bytes, chosen by a hash of doc_id, and the ``MAX_LANGUAGES`` most frequent
-languages. Prediction reads every whole text.
+The fit takes a bounded sample: ``SAMPLE`` texts over all languages, evenly (``LEAST_TEXTS`` of a language at least),
+chosen by a hash of doc_id, of each its first ``SAMPLE_CHARS`` characters, fewer where there are so many
+languages that the sample would pass ``SAMPLE_TOTAL`` characters. Of labels the ``MAX_LANGUAGES`` most frequent are
+learned, more than there are languages, so that a label column of other contents cannot flood the
+driver. Prediction reads every whole text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is every text
 if there is nothing to learn from. A text with letters but no n-gram in common with any landmark gets
 the language that is likeliest beforehand, with score 0. Rows with
-a null doc_id are neither learned from nor held out. Repeated rows each get a row; an empty table
-gives an empty table; further columns are left out.
+a null doc_id are neither learned from nor held out. Repeated rows each get a row (in the sample, equal texts of a
+language count once where they meet); very long texts are read whole, in parts; an empty table gives an empty table;
+further columns are left out.
 """
 
 from __future__ import annotations
@@ -26,22 +29,24 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE = 1600
-SAMPLE_BYTES = 32 << 10
-MAX_LANGUAGES = 256
-LANDMARKS = 128
+SAMPLE, LEAST_TEXTS = 1600, 4
+SAMPLE_CHARS, SAMPLE_TOTAL = 32 << 10, 56 << 20
+MAX_LANGUAGES = 8192
+#: Landmarks: one of each language at least, up to ``MOST_LANDMARKS``.
+LANDMARKS, MOST_LANDMARKS = 128, 1024
 LANDMARK_BYTES = 4096
 ORDERS = (1, 2, 3, 4)
 SPACE_BITS = 21
 RIDGE = 0.3
 UNDETERMINED = "und"
-#: Texts in a presence matrix.
+#: Texts in a presence matrix, and cells up to which the matrices are dense.
 BATCH_ROWS = 128
+DENSE_CELLS = 1 << 24
 #: Characters of a text that are taken at once, and shared by neighbouring parts at least; for memory only.
 PART, OVERLAP = 1 << 18, 64
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint64)
@@ -98,44 +103,79 @@ def parts(text: str) -> list[str]:
 
 
 class Model:
-    """Landmark matrix and regression weights; arrays only, so that it can be broadcast."""
+    """N-grams of landmarks and regression weights; arrays only, so that it can be broadcast.
 
-    def __init__(self, languages, slot, landmarks, size, weights, bias):
-        self.languages, self.slot, self.landmarks, self.size, self.weights, self.bias = languages, slot, landmarks, size, weights, bias
+    slot: number of each n-gram hash among the landmarks' n-grams; grams: (n-gram, landmark) pairs, in order;
+    size: n-grams of each landmark.
+    """
 
-    def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        matrix = np.zeros((len(texts), self.landmarks.shape[0]), dtype=np.float32)
+    def __init__(self, languages, slot, grams, size, weights, bias):
+        self.languages, self.slot, self.grams, self.size, self.weights, self.bias = languages, slot, grams, size, weights, bias
+        self.n_grams = int(grams[0].max()) + 1 if len(grams[0]) else 0
+        self.first = np.searchsorted(grams[0], np.arange(self.n_grams + 1))
+        self.landmarks = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"landmarks": None}
+
+    @property
+    def dense(self) -> bool:
+        return self.n_grams * max(len(self.size), BATCH_ROWS) <= DENSE_CELLS
+
+    def present(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs of a text and a landmarks' n-gram in it, by text and n-gram, and which texts have a letter."""
         has = np.zeros(len(texts), dtype=bool)
+        pairs: list[np.ndarray] = []
         owner, held = [], []
+
+        def mark():
+            if held:
+                codes, rows, letter = gram_codes(held)
+                place = np.array(owner)
+                has[place[letter]] = True
+                slots = self.slot[codes]
+                known = slots >= 0
+                pairs.append(np.unique(place[rows[known]] * self.n_grams + slots[known]))
+
         for k, text in enumerate(texts):
             for part in parts(text):
                 owner.append(k)
                 held.append(part)
                 if len(text) > PART:
-                    self._mark(matrix, has, owner, held)
+                    mark()
                     owner, held = [], []
-        self._mark(matrix, has, owner, held)
-        return matrix, has
+        mark()
+        whole = pairs[0] if len(pairs) == 1 else np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        return whole // max(1, self.n_grams), whole % max(1, self.n_grams), has
 
-    def _mark(self, matrix, has, owner, texts) -> None:
-        if not texts:
-            return
-        codes, rows, letter = gram_codes(texts)
-        place = np.array(owner)
-        has[place[letter]] = True
-        slots = self.slot[codes]
-        known = slots >= 0
-        matrix[place[rows[known]], slots[known]] = 1.0
+    def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        rows, slots, has = self.present(texts)
+        matrix = np.zeros((len(texts), self.n_grams), dtype=np.float32)
+        matrix[rows, slots] = 1.0
+        return matrix, has
 
-    def kernel(self, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = matrix.sum(axis=1)
-        return matrix @ self.landmarks / np.sqrt(np.maximum(own, 1.0)[:, None] * self.size), own > 0
+    def kernel(self, rows: np.ndarray, slots: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Kernel values of n texts with all landmarks, and which texts have any n-gram of them."""
+        own = np.bincount(rows, minlength=n)
+        if self.dense:
+            if self.landmarks is None:
+                self.landmarks = np.zeros((self.n_grams, len(self.size)), dtype=np.float32)
+                self.landmarks[self.grams] = 1.0
+            matrix = np.zeros((n, self.n_grams), dtype=np.float32)
+            matrix[rows, slots] = 1.0
+            shared = matrix @ self.landmarks
+        else:  # the same product, over the landmarks of each n-gram
+            many = self.first[slots + 1] - self.first[slots]
+            landmark = self.grams[1][common.ragged(self.first[slots], many)]
+            shared = np.bincount(np.repeat(rows, many) * len(self.size) + landmark, minlength=n * len(self.size)).reshape(n, -1).astype(np.float32)
+        return shared / np.sqrt(np.maximum(own, 1.0)[:, None] * self.size), own > 0
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, scores = [], []
         for at in range(0, len(texts), BATCH_ROWS):
-            matrix, has = self.presence([t or "" for t in texts[at : at + BATCH_ROWS]])
-            kernel, some = self.kernel(matrix)
+            part = [t or "" for t in texts[at : at + BATCH_ROWS]]
+            rows, slots, has = self.present(part)
+            kernel, some = self.kernel(rows, slots, len(part))
             out = kernel @ self.weights + self.bias
             best = out.argmax(axis=1)
             names += [self.languages[b] if letter else UNDETERMINED for b, letter in zip(best, has, strict=True)]
@@ -154,17 +194,23 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
     queues = [[k for k in np.flatnonzero(y == c) if 200 <= len(texts[k].encode()) <= LANDMARK_BYTES] or list(np.flatnonzero(y == c)) for c in range(len(languages))]
     while len(order) < LANDMARKS and any(queues):
         order += [q.pop(0) for q in queues if q]
-    chosen = [texts[k] for k in order[: max(LANDMARKS, len(languages))]]
+    longest = max(1, LANDMARKS * LANDMARK_BYTES // max(LANDMARKS, len(languages)))
+    chosen = [texts[k][:longest] for k in order[: min(MOST_LANDMARKS, max(LANDMARKS, len(languages)))]]
     codes, rows, _ = gram_codes(chosen)
     vocabulary, inverse = np.unique(codes, return_inverse=True)
     slot = np.full(1 << SPACE_BITS, -1, dtype=np.int32)
     slot[vocabulary] = np.arange(len(vocabulary), dtype=np.int32)
-    landmarks = np.zeros((len(vocabulary), len(chosen)), dtype=np.float32)
-    landmarks[inverse, rows] = 1.0
-    model = Model(languages, slot, landmarks, np.maximum(landmarks.sum(axis=0), 1.0), None, None)
-    blocks = [model.kernel(model.presence(texts[k : k + BATCH_ROWS])[0])[0] for k in range(0, len(texts), BATCH_ROWS)]
-    cross = np.concatenate(blocks).astype(np.float64)
-    inner = model.kernel(landmarks.T.copy())[0].astype(np.float64)
+    pairs = np.unique(inverse.astype(np.int64) * len(chosen) + rows)
+    grams = (pairs // len(chosen), pairs % len(chosen))
+    size = np.maximum(np.bincount(grams[1], minlength=len(chosen)), 1).astype(np.float32)
+    model = Model(languages, slot, grams, size, None, None)
+
+    def kernel(part: list[str]) -> np.ndarray:
+        own, slots, _ = model.present(part)
+        return model.kernel(own, slots, len(part))[0]
+
+    cross = np.concatenate([kernel(texts[k : k + BATCH_ROWS]) for k in range(0, len(texts), BATCH_ROWS)]).astype(np.float64)
+    inner = np.concatenate([kernel(chosen[k : k + BATCH_ROWS]) for k in range(0, len(chosen), BATCH_ROWS)]).astype(np.float64)
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
@@ -180,14 +226,19 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
 
 def sample(docs: DataFrame, held_out) -> list:
     """(text, lang) rows to learn from, bounded as the module says."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out & (F.octet_length("text") <= SAMPLE_BYTES) & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out & F.col("text").rlike(r"\p{L}"))
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
         return []
-    each = max(8, SAMPLE // len(counts))
+    each = max(LEAST_TEXTS, SAMPLE // len(counts))
+    chars = min(SAMPLE_CHARS, SAMPLE_TOTAL // (each * len(counts)))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, (each + 4 * each**0.5 + 8) / n) * (1 << 30)))])
-    rows = usable.where(draw < F.try_element_at(share, F.col("lang"))).select("text", "lang", draw.alias("draw")).collect()
+    # more than enough by chance; ranked then, so that no more than twice ``each`` come to the driver
+    shares = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, (each + 4 * each**0.5 + 8) / r["count"]) * (1 << 30))) for r in counts], "lang string, _share long")
+    drawn = usable.select(F.col("lang").cast("string").alias("lang"), F.substring("text", 1, chars).alias("text"), draw.alias("draw"))
+    drawn = drawn.join(F.broadcast(shares), "lang").where(F.col("draw") < F.col("_share"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", F.xxhash64("text")))
+    rows = drawn.withColumn("_place", place).where(F.col("_place") <= 2 * each).select("text", "lang", "draw").collect()
     taken: dict[str, list] = {}
     for row in sorted(rows, key=lambda r: (r["draw"], r["text"])):
         own = taken.setdefault(row["lang"], [])

@@ -25,16 +25,18 @@ def test_language_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
-def test_language_kernel_is_the_presence_kernel():
+def test_language_kernel_is_the_presence_kernel(monkeypatch):
     texts, labels = ["the cat sat", "el gato come", "the dog ran", "los gatos comen"], ["en", "es", "en", "es"]
     model = language_id.fit(texts, labels)
-    matrix, _ = model.presence(texts)
-    kernel, _ = model.kernel(matrix)
+    rows, slots, _ = model.present(texts)
+    kernel, _ = model.kernel(rows, slots, len(texts))
+    monkeypatch.setattr(language_id, "DENSE_CELLS", 0)
+    assert model.kernel(rows, slots, len(texts))[0] == pytest.approx(kernel)
     sets = []
     for t in texts:
         codes, _, _ = language_id.gram_codes([t])
         sets.append(set(codes.tolist()))
-    order = [0, 1, 2, 3] if model.landmarks.shape[1] == 4 else []
+    order = [0, 1, 2, 3] if len(model.size) == 4 else []
     queue = [0, 1, 2, 3]  # languages in turn: en 0, es 1, en 2, es 3
     for i in range(4):
         for j in order:
@@ -66,6 +68,20 @@ def test_language_edges(spark):
     assert language_id.identify(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_many_languages(spark):
+    """More languages than landmarks, and one that has only very long texts."""
+    rng = random.Random(2)
+    words = [["".join(chr(0x4E00 + 10 * lang + rng.randrange(10)) for _ in range(3)) for _ in range(9)] for lang in range(300)]
+    rows = [(1000 * lang + k, " ".join(rng.choice(words[lang]) for _ in range(12)), f"l{lang:03d}") for lang in range(300) for k in range(12)]
+    rows += [(500_000 + k, "ωδη " * 9000, "long") for k in range(9)] + [(7, "repeated", "l000")] * 3000
+    got = {r.doc_id: r for r in language_id.identify(frame(spark, rows).repartition(4)).collect()}
+    held = [r for k, r in got.items() if r.held_out and k != 7]
+    lang = {k: lang for k, _, lang in rows}
+    assert len(held) > 900
+    assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.98 * len(held)
+    assert {r.lang_pred for k, r in got.items() if k >= 500_000} == {"long"}
+
+
 # --- SimHash
 
 
