@@ -64,9 +64,10 @@ def _words(text: np.ndarray, pad: int) -> np.ndarray:
 def _sort_directly(places: np.ndarray, words: np.ndarray, sums: np.ndarray, back: np.ndarray, n: int, depth: int) -> np.ndarray:
     """``places`` in the order of their suffixes' first ``depth`` bytes; shorter ones come first on a tie.
 
-    Suffixes that tie are a group. The common prefix of neighbours in a group is found by a binary search
-    over prefix hashes; a group skips what all of it shares and is split by the next eight bytes. So
-    each turn splits every group, and copies are done with in one turn, however deep they agree.
+    Suffixes that tie are a group. Each is compared with the group's middle one: a binary search over prefix
+    hashes gives their common prefix, whole words of eight bytes, and the next words their order. Those
+    before the middle one rank by growing, those after it by falling length of the common prefix, then by the next
+    word; what still ties is a group of the next turn. Turns grow as the logarithm of a group's size.
     """
     order = places[np.argsort(words[places], kind="stable")]
     key = words[order]
@@ -74,24 +75,25 @@ def _sort_directly(places: np.ndarray, words: np.ndarray, sums: np.ndarray, back
     at, base = at[tied], np.full(int(tied.sum()), 8, dtype=np.int64)
     while len(at):
         place = order[at]
-        pair = np.flatnonzero(~head[1:])
-        i, j, shared = place[pair], place[pair + 1], base[pair]
+        group = np.cumsum(head) - 1
+        first = np.flatnonzero(head)
+        sizes = np.diff(np.r_[first, len(at)])
+        middle = place[first + sizes // 2][group]
+        shared = base
         for step in (256, 128, 64, 32, 16, 8):
-            x, y = np.minimum(i + shared, n), np.minimum(j + shared, n)
+            x, y = np.minimum(place + shared, n), np.minimum(middle + shared, n)
             left = (sums[np.minimum(x + step, n)] - sums[x]) * back[x]
             alike = left == (sums[np.minimum(y + step, n)] - sums[y]) * back[y]
             shared = shared + step * alike
-        group = np.cumsum(head) - 1
-        first = np.flatnonzero(head)
-        skip = np.minimum.reduceat(shared, first - np.arange(len(first)))[group]
-        done = skip >= depth
-        key = np.where(done, (n - place).astype(np.uint64), words[np.minimum(place + skip, len(words) - 1)])
-        rank = np.lexsort((key, group))
-        place, key = place[rank], key[rank]
-        order[at] = place
-        live = ~done & (place + skip < n)
-        _, now, tied = _ties(live, key, group)
-        at, head, base = at[tied], now, (skip + 8)[tied]
+        own, other = words[np.minimum(place + shared, len(words) - 1)], words[np.minimum(middle + shared, len(words) - 1)]
+        done = shared >= depth
+        rank = np.where(done | (own == other), 1 << 32, np.where(own < other, shared, (1 << 33) - shared))
+        key = np.where(done, (n - place).astype(np.uint64), own)
+        turn = np.lexsort((key, rank, group))
+        order[at] = place[turn]
+        key, rank, shared, live = key[turn], rank[turn], shared[turn], (~done & (place + shared < n))[turn]
+        _, now, tied = _ties(live, key, group << 34 | rank)
+        at, head, base = at[tied], now, shared[tied] + 8
     return order
 
 
