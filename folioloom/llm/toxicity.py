@@ -10,14 +10,16 @@ texts of a batch in step. The token marginals give the document score (a logisti
 of the greatest and the summed marginal, fitted on the same rows) and the toxic spans: character
 offsets of maximal runs of tokens whose marginal is at least one half.
 
-The fit takes a bounded sample of labelled rows: ``SAMPLE`` documents per class, chosen by a hash of
-doc_id, each of at most ``SAMPLE_BYTES`` bytes. Scoring reads every whole text.
+The fit takes a bounded sample of labelled rows: ``SAMPLE`` documents per class of those that documents has, chosen by
+a hash of doc_id, of each the first ``SAMPLE_CHARS`` characters; of near copies with one label the first
+counts. Scoring reads every whole text.
 
 Defined results: null, empty and wordless texts have no token and the score of no evidence; a
 doc_id with several labels counts as toxic if any of them says so; null labels and null doc_ids are
-not learned from, and a null doc_id is not held out. Without a row of each class the score is the
-share of toxic rows, 0 without rows. Repeated rows each get a row; an empty table gives an empty
-table; further columns are left out.
+not learned from, and a null doc_id is not held out; of rows that share a doc_id the one of the least text hash is
+learned from. Without a row of each class the score is the share of toxic rows, 0 without rows. Repeated
+rows each get a row; a very long text is scored whole, in memory by its length; an empty table gives an empty table;
+further columns are left out.
 """
 
 from __future__ import annotations
@@ -28,14 +30,16 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from . import common
 
 SAMPLE = 2000
-SAMPLE_BYTES = 32 << 10
+SAMPLE_CHARS = 32 << 10
+#: Jaccard similarity of word sets from which two texts of one label are copies of each other.
+COPY = 0.8
 FEATURE_BITS = 18
 #: Twice the log-likelihood ratio from which a feature marks tokens as toxic, and its least documents.
 EVIDENCE = 30.0
@@ -46,6 +50,13 @@ _LIMIT = 30.0
 SPANS = ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()))
 
 
+def tokens(text: str) -> list[str]:
+    """Lower-cased words of a text."""
+    low = text.lower()
+    # lower case may be longer; then places would not be those of the text
+    return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
+
+
 def features(word: str) -> list[int]:
     """Hashed features of a lower-cased word: the word, beginnings of 3-6, endings of 3-5 letters."""
     mask = (1 << FEATURE_BITS) - 1
@@ -121,7 +132,7 @@ class Model:
     def token_marginals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words, lengths = [], []
         for text in texts:
-            own = WORD.findall(text.lower())
+            own = tokens(text)
             words += own
             lengths.append(len(own))
         lengths = np.array(lengths, dtype=np.int64)
@@ -139,7 +150,7 @@ class Model:
         spans: list[list[tuple[int, int]]] = [[] for _ in texts]
         for k in np.flatnonzero(hits):
             own = toxic[ends[k] - lengths[k] : ends[k]]
-            found = [m.span() for m in WORD.finditer(texts[k].lower())]
+            found = [m.span() for m in WORD.finditer(texts[k])]
             last = -2
             for at in np.flatnonzero(own).tolist():
                 if at == last + 1:
@@ -183,25 +194,33 @@ def _toxic_features(flat, starts, counts, token_type, lengths, toxic_doc) -> np.
     return (2 * ratio >= EVIDENCE) & (k1 / n1 > 8 * (k0 + 0.5) / n0)
 
 
-def _first_of_copies(texts: list[str]) -> np.ndarray:
-    """Indices of texts whose three least word hashes no earlier text has: near copies count once."""
-    seen: dict[tuple, int] = {}
+def _first_of_copies(texts: list[str], toxic: np.ndarray) -> np.ndarray:
+    """Indices of texts that are no near copies of an earlier one of the same label.
+
+    Only texts with the same three least word hashes are compared, so this spares some copies, and drops nothing else.
+    """
+    kept: dict[tuple, list[set]] = {}
+    first = []
     for k, text in enumerate(texts):
-        least = sorted({zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in WORD.findall(text.lower())})[:3]
-        seen.setdefault(tuple(least), k)
-    return np.array(sorted(seen.values()), dtype=np.int64)
+        own = set(tokens(text))
+        least = sorted(zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in own)[:3]
+        others = kept.setdefault((bool(toxic[k]), *least), [])
+        if not any(len(own & o) >= COPY * len(own | o) for o in others):
+            others.append(own)
+            first.append(k)
+    return np.array(first, dtype=np.int64)
 
 
 def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
     """Fit on texts with 0/1 labels; ``weight`` restores the classes' true shares in the score."""
-    first = _first_of_copies(texts)
+    first = _first_of_copies(texts, toxic)
     texts, toxic, weight = [texts[k] for k in first], toxic[first].astype(bool), weight[first]
     if toxic.all() or not toxic.any():
         return Model(np.zeros(1), (), np.zeros(3), float((weight * toxic).sum() / weight.sum()) if len(toxic) else 0.0)
     kinds: dict[str, int] = {}
     token_type, lengths = array("q"), []
     for text in texts:
-        own = WORD.findall(text.lower())
+        own = tokens(text)
         token_type.extend(kinds.setdefault(w, len(kinds)) for w in own)
         lengths.append(len(own))
     token_type, lengths = np.array(token_type, dtype=np.int64), np.array(lengths, dtype=np.int64)
@@ -268,15 +287,20 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame, held_out_modulus: int = 5) -> Model:
     """Fit on labelled documents whose id's bucket is not 0."""
     spark = docs.sparkSession
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (common.crc_bucket(F.col("doc_id"), held_out_modulus) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    usable = F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (common.crc_bucket(F.col("doc_id"), held_out_modulus) != 0)
+    known = labels.where(usable).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    # drawn among the labelled rows that documents has
+    known = common.materialise(known.join(docs.where(F.col("text").isNotNull()).select("doc_id"), "doc_id", "left_semi"), "labelled")
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     chosen = []
     for kind in totals:
         chosen += [(r["doc_id"], kind) for r in known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(SAMPLE).select("doc_id").collect()]
     if not chosen:
         return fit([], np.zeros(0), np.zeros(0))
-    ids = spark.createDataFrame(chosen, "doc_id long, toxic int")  # 2 * SAMPLE rows at most
-    rows = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text").join(F.broadcast(ids), "doc_id").collect()
+    ids = spark.createDataFrame(chosen, known.schema)  # 2 * SAMPLE rows at most
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("text").alias("_hash")).join(F.broadcast(ids), "doc_id")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("_hash"))
+    rows = texts.withColumn("_place", place).where("_place = 1").collect()
     found = sorted({(r["doc_id"], r["text"], r["toxic"]) for r in rows})
     toxic = np.array([t for _, _, t in found], dtype=int)
     taken = {kind: max(1, int((toxic == kind).sum())) for kind in totals}

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import zlib
 from collections import Counter
 from fractions import Fraction
 
@@ -253,6 +254,31 @@ def test_toxicity(spark):
     assert {r.predicted for r in toxicity.rate(docs, table.where("toxic = 1")).collect()} == {1}
 
 
+def test_spans_are_places_of_the_text(spark):
+    rows, labels = toxic_rows()
+    rows += [(2000, "İİ the sun İ Vilest, grotty", 0), (2001, "ẞ VILENESS", 0)]
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string, spans int"), spark.createDataFrame([(k, t) for k, _, t, _ in labels], "doc_id long, toxic int")
+    got = {r.doc_id: [rows[-2 if r.doc_id == 2000 else -1][1][s.start : s.end] for s in r.spans] for r in toxicity.rate(docs, table).where("doc_id >= 2000").collect()}
+    assert got == {2000: ["Vilest, grotty"], 2001: ["VILENESS"]}
+
+
+def test_toxicity_sample():
+    words = [f"w{k}" for k in range(40)]
+    ranked = sorted(words, key=lambda w: zlib.crc32(w.encode()))
+    near, far = ranked[:39], ranked[:3] + ranked[20:]  # both have the three least hashes
+    texts = [" ".join(x) for x in (words, near, far, words)]
+    # copies of one label go; another label, or unlike texts, stay
+    assert toxicity._first_of_copies(texts, np.array([0, 0, 0, 1])).tolist() == [0, 2, 3]
+
+
+def test_labels_without_documents(spark):
+    rows, labels = toxic_rows()
+    docs = spark.createDataFrame([(k, t + " filler" * 5000 if k % 4 == 0 else t, 0) for k, t, _ in rows] + [(0, "again", 0)] * 50, "doc_id long, text string, score int")
+    table = spark.createDataFrame([(k, t) for k, _, t, _ in labels] + [(k, k % 2) for k in range(10_000, 16_000)], "doc_id long, toxic int")
+    got = [r for r in toxicity.rate(docs, table).where("held_out").collect() if r.doc_id]
+    assert sum(r.predicted == (r.doc_id % 4 == 0) for r in got) >= 0.95 * len(got)
+
+
 def test_toxicity_held_out(spark):
     got = queries.op4_toxicity(spark, "/root/testdata/sf0.1").where("held_out")
     labels = queries.table(spark, "/root/testdata/sf0.1", "labels")
