@@ -26,6 +26,7 @@ further columns are left out.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -122,60 +123,60 @@ class Model:
     def dense(self) -> bool:
         return self.n_grams * max(len(self.size), BATCH_ROWS) <= DENSE_CELLS
 
-    def present(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs of a text and a landmarks' n-gram in it, by text and n-gram, and which texts have a letter."""
-        has = np.zeros(len(texts), dtype=bool)
-        pairs: list[np.ndarray] = []
+    def pairs(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows and landmarks' n-grams of texts, as they occur, in turns that bound memory; and the rows with a letter."""
         owner, held = [], []
 
-        def mark():
-            if held:
-                codes, rows, letter = gram_codes(held)
-                place = np.array(owner)
-                has[place[letter]] = True
-                slots = self.slot[codes]
-                known = slots >= 0
-                pairs.append(np.unique(place[rows[known]] * self.n_grams + slots[known]))
+        def found():
+            codes, rows, letter = gram_codes(held)
+            place = np.array(owner)
+            slots = self.slot[codes]
+            known = slots >= 0
+            return place[rows[known]], slots[known], place[letter]
 
         for k, text in enumerate(texts):
             for part in parts(text):
                 owner.append(k)
                 held.append(part)
                 if len(text) > PART:
-                    mark()
+                    yield found()
                     owner, held = [], []
-        mark()
-        whole = pairs[0] if len(pairs) == 1 else np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-        return whole // max(1, self.n_grams), whole % max(1, self.n_grams), has
+        if held:
+            yield found()
 
     def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        rows, slots, has = self.present(texts)
-        matrix = np.zeros((len(texts), self.n_grams), dtype=np.float32)
-        matrix[rows, slots] = 1.0
+        """Which n-grams each text has, as a matrix, and which texts have a letter."""
+        matrix, has = np.zeros((len(texts), self.n_grams), dtype=np.float32), np.zeros(len(texts), dtype=bool)
+        for rows, slots, letters_in in self.pairs(texts):
+            matrix[rows, slots] = 1.0
+            has[letters_in] = True
         return matrix, has
 
-    def kernel(self, rows: np.ndarray, slots: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Kernel values of n texts with all landmarks, and which texts have any n-gram of them."""
-        own = np.bincount(rows, minlength=n)
+    def kernel(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Kernel values with all landmarks, which texts have any n-gram of them, and which have a letter."""
+        n = len(texts)
         if self.dense:
             if self.landmarks is None:
                 self.landmarks = np.zeros((self.n_grams, len(self.size)), dtype=np.float32)
                 self.landmarks[self.grams] = 1.0
-            matrix = np.zeros((n, self.n_grams), dtype=np.float32)
-            matrix[rows, slots] = 1.0
-            shared = matrix @ self.landmarks
+            matrix, has = self.presence(texts)
+            own, shared = matrix.sum(axis=1), matrix @ self.landmarks
         else:  # the same product, over the landmarks of each n-gram
+            has, seen = np.zeros(n, dtype=bool), [np.zeros(0, np.int64)]
+            for rows, slots, letters_in in self.pairs(texts):
+                has[letters_in] = True
+                seen.append(np.unique(rows * self.n_grams + slots))
+            rows, slots = np.divmod(np.unique(np.concatenate(seen)), max(1, self.n_grams))
+            own = np.bincount(rows, minlength=n)
             many = self.first[slots + 1] - self.first[slots]
             landmark = self.grams[1][common.ragged(self.first[slots], many)]
             shared = np.bincount(np.repeat(rows, many) * len(self.size) + landmark, minlength=n * len(self.size)).reshape(n, -1).astype(np.float32)
-        return shared / np.sqrt(np.maximum(own, 1.0)[:, None] * self.size), own > 0
+        return shared / np.sqrt(np.maximum(own, 1.0)[:, None] * self.size), own > 0, has
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, scores = [], []
         for at in range(0, len(texts), BATCH_ROWS):
-            part = [t or "" for t in texts[at : at + BATCH_ROWS]]
-            rows, slots, has = self.present(part)
-            kernel, some = self.kernel(rows, slots, len(part))
+            kernel, some, has = self.kernel([t or "" for t in texts[at : at + BATCH_ROWS]])
             out = kernel @ self.weights + self.bias
             best = out.argmax(axis=1)
             names += [self.languages[b] if letter else UNDETERMINED for b, letter in zip(best, has, strict=True)]
@@ -204,13 +205,8 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
     grams = (pairs // len(chosen), pairs % len(chosen))
     size = np.maximum(np.bincount(grams[1], minlength=len(chosen)), 1).astype(np.float32)
     model = Model(languages, slot, grams, size, None, None)
-
-    def kernel(part: list[str]) -> np.ndarray:
-        own, slots, _ = model.present(part)
-        return model.kernel(own, slots, len(part))[0]
-
-    cross = np.concatenate([kernel(texts[k : k + BATCH_ROWS]) for k in range(0, len(texts), BATCH_ROWS)]).astype(np.float64)
-    inner = np.concatenate([kernel(chosen[k : k + BATCH_ROWS]) for k in range(0, len(chosen), BATCH_ROWS)]).astype(np.float64)
+    cross = np.concatenate([model.kernel(texts[k : k + BATCH_ROWS])[0] for k in range(0, len(texts), BATCH_ROWS)]).astype(np.float64)
+    inner = np.concatenate([model.kernel(chosen[k : k + BATCH_ROWS])[0] for k in range(0, len(chosen), BATCH_ROWS)]).astype(np.float64)
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])

@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common, simple8b, token_output
+from . import common, token_output
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: Pieces of one length that one task ranks, about, at most.
 SALT_ROWS = 50_000
+#: Pairs of a length and a salt up to which their counts are broadcast, some 10 MB; more meet in a sorted join.
+BROADCAST_ROWS = 200_000
 
 
 def bin_cost(capacity: int) -> float:
@@ -166,6 +168,8 @@ def pack(lengths: DataFrame, key: str = "doc_id", length: str = "n_tokens", capa
     histogram = {r[0]: r[1] for r in counts.groupBy("n_tokens").agg(F.sum("_k")).collect()}  # at most as many rows as the greatest capacity
     before = counts.select("n_tokens", "_salt", (F.sum("_k").over(Window.partitionBy("n_tokens").orderBy("_salt")) - F.col("_k")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("n_tokens", "_salt").orderBy(key, "piece", "_row")).cast("long")
+    if salts * len(histogram) <= BROADCAST_ROWS:
+        before = F.broadcast(before)
     ranked = salted.withColumn("_own", rank).join(before, ["n_tokens", "_salt"]).select(key, "_row", "piece", "n_tokens", (F.col("_own") - 1 + F.col("_before")).alias("_rank"))
     held = spark.sparkContext.broadcast(Finder(Packing(histogram, capacities, cost)))
     passed = [key, "_row"] if row else [key]
@@ -189,7 +193,7 @@ def _fill(batches):
     def close():
         counts = np.array([n for _, _, n, _ in held], dtype=np.int64)
         keys = [k for k, _, _, _ in held]
-        ids = np.concatenate([simple8b.decode(np.frombuffer(coded, "<u8")) for _, _, _, coded in held])
+        ids = np.frombuffer(b"".join(own for _, _, _, own in held), "<i4")
         return *now, int(counts.sum()), keys, [p for _, p, _, _ in held], token_output.pack(keys, counts, ids)
 
     def batch_of(rows):
@@ -197,9 +201,9 @@ def _fill(batches):
         columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
         return pa.RecordBatch.from_arrays(columns, names=["bin_id", "capacity", "n_tokens", "doc_ids", "pieces", "payload"])
 
-    for batch in common.slices(batches, "coded"):
+    for batch in common.slices(batches, "ids"):
         out = []
-        columns = [common.column(batch, c).to_pylist() for c in ("bin_id", "capacity", "_key", "piece", "n_tokens", "coded")]
+        columns = [common.column(batch, c).to_pylist() for c in ("bin_id", "capacity", "_key", "piece", "n_tokens", "ids")]
         for number, capacity, *part in zip(*columns, strict=True):
             if now is None or number != now[0]:
                 if held:
@@ -219,9 +223,9 @@ def sequences(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", capacit
     ``token_output.unpack`` or ``read_range``. Keys are cast to longs.
     """
     spark = docs.sparkSession
-    coded = token_output.token_pieces(docs, tokenizer_path, key, max(capacities))
-    coded = common.materialise(coded.withColumn("_place", F.monotonically_increasing_id()), "coded")
-    placed = pack(coded.select("_key", "n_tokens", "_place"), "_key", "n_tokens", capacities, cost, row="_place")
-    parts = placed.select("_place", "bin_id", "bin_offset", "capacity").join(coded, "_place")
+    pieces = token_output.token_pieces(docs, tokenizer_path, key, max(capacities))
+    pieces = common.materialise(pieces.withColumn("_place", F.monotonically_increasing_id()), "token-pieces")
+    placed = pack(pieces.select("_key", "n_tokens", "_place"), "_key", "n_tokens", capacities, cost, row="_place")
+    parts = placed.select("_place", "bin_id", "bin_offset", "capacity").join(pieces, "_place")
     ordered = parts.repartition(common.partitions(spark), "bin_id").sortWithinPartitions("bin_id", "bin_offset")
-    return ordered.select("bin_id", "capacity", "_key", "piece", "n_tokens", "coded").mapInArrow(_fill, SEQUENCE_SCHEMA)
+    return ordered.select("bin_id", "capacity", "_key", "piece", "n_tokens", "ids").mapInArrow(_fill, SEQUENCE_SCHEMA)

@@ -285,15 +285,15 @@ def _pieces(batches, path: str, end_id: int, most: int):
         piece = common.ragged(np.zeros(len(many), np.int64), many)
         start = (np.cumsum(counts) - counts)[owner] + piece * most
         size = np.minimum(counts[owner] - piece * most, most)
-        coded = [simple8b.encode(ids[a : a + n])[0].astype("<u8").tobytes() for a, n in zip(start.tolist(), size.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([common.column(batch, "_key").take(pa.array(owner)), pa.array(piece), pa.array(size), pa.array(coded, pa.binary())], names=["_key", "piece", "n_tokens", "coded"])
+        own = [ids[a : a + n].astype("<i4").tobytes() for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([common.column(batch, "_key").take(pa.array(owner)), pa.array(piece), pa.array(size), pa.array(own, pa.binary())], names=["_key", "piece", "n_tokens", "ids"])
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, key: str, most: int, end_id: int = 2) -> DataFrame:
-    """_key (the key as a long), piece, n_tokens and the Simple-8b words of each piece of ``most`` ids at most."""
+    """_key (the key as a long), piece, n_tokens and the ids (four bytes each) of each piece of ``most`` ids at most."""
     common.ship(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("_key"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(lambda batches: _pieces(batches, tokenizer_path, end_id, most), "_key long, piece long, n_tokens long, coded binary")
+    return source.mapInArrow(lambda batches: _pieces(batches, tokenizer_path, end_id, most), "_key long, piece long, n_tokens long, ids binary")
 
 
 def token_folder(spark) -> str:

@@ -28,10 +28,9 @@ def test_language_accuracy(spark):
 def test_language_kernel_is_the_presence_kernel(monkeypatch):
     texts, labels = ["the cat sat", "el gato come", "the dog ran", "los gatos comen"], ["en", "es", "en", "es"]
     model = language_id.fit(texts, labels)
-    rows, slots, _ = model.present(texts)
-    kernel, _ = model.kernel(rows, slots, len(texts))
+    kernel = model.kernel(texts)[0]
     monkeypatch.setattr(language_id, "DENSE_CELLS", 0)
-    assert model.kernel(rows, slots, len(texts))[0] == pytest.approx(kernel)
+    assert model.kernel(texts)[0] == pytest.approx(kernel)
     sets = []
     for t in texts:
         codes, _, _ = language_id.gram_codes([t])
