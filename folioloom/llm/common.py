@@ -17,6 +17,7 @@ from folioloom.sources.shared import root
 __all__ = ["column", "crc_bucket", "guarded", "materialise", "partitions", "ragged", "root", "ship", "slices", "text_bytes"]
 
 
+_MADE: list[str] = []
 #: Bytes of an Arrow batch on its way to Python; a row may have more.
 BATCH_BYTES = 4 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -38,9 +39,24 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> int:
+    """How many tables were written so far and not dropped."""
+    return len(_MADE)
+
+
+def drop_since(spark: SparkSession, mark: int, keep: int = 0) -> None:
+    """Delete the tables written after ``made`` was ``mark``, but for the last ``keep``: what they led to is written."""
+    gone = _MADE[mark : len(_MADE) - keep]
+    del _MADE[mark : len(_MADE) - keep]
+    for path in gone:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -193,7 +193,8 @@ def _fill(batches):
     def close():
         counts = np.array([n for _, _, n, _ in held], dtype=np.int64)
         keys = [k for k, _, _, _ in held]
-        ids = np.frombuffer(b"".join(own for _, _, _, own in held), "<i4")
+        whole = b"".join(own for _, _, _, own in held)
+        ids = np.frombuffer(whole, "<u2" if len(whole) == 2 * int(counts.sum()) else "<u4")
         return *now, int(counts.sum()), keys, [p for _, p, _, _ in held], token_output.pack(keys, counts, ids)
 
     def batch_of(rows):

@@ -54,6 +54,8 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         self.ends_word[[k for piece, k in vocabulary.items() if piece.endswith("</w>")]] = True
+        #: of ids on their way: two bytes where all ids fit
+        self.id_kind = id_kind(max([end_id, *vocabulary.values()]))
         self.store = words.Lists()
 
     def encode_each(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -146,6 +148,10 @@ class WordEncoder:
         return out, per_text
 
 
+def id_kind(largest: int) -> str:
+    return "<u2" if largest < 1 << 16 else "<u4"
+
+
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
@@ -285,12 +291,12 @@ def _pieces(batches, path: str, end_id: int, most: int):
         piece = common.ragged(np.zeros(len(many), np.int64), many)
         start = (np.cumsum(counts) - counts)[owner] + piece * most
         size = np.minimum(counts[owner] - piece * most, most)
-        own = [ids[a : a + n].astype("<i4").tobytes() for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+        own = [ids[a : a + n].astype(tool.id_kind).tobytes() for a, n in zip(start.tolist(), size.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([common.column(batch, "_key").take(pa.array(owner)), pa.array(piece), pa.array(size), pa.array(own, pa.binary())], names=["_key", "piece", "n_tokens", "ids"])
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, key: str, most: int, end_id: int = 2) -> DataFrame:
-    """_key (the key as a long), piece, n_tokens and the ids (four bytes each) of each piece of ``most`` ids at most."""
+    """_key (the key as a long), piece, n_tokens and the ids (of two or four bytes each) of each piece of ``most`` ids at most."""
     common.ship(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("_key"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(lambda batches: _pieces(batches, tokenizer_path, end_id, most), "_key long, piece long, n_tokens long, ids binary")
