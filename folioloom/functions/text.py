@@ -6,6 +6,8 @@ Lengths are in code points.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -148,11 +150,20 @@ def summary(c: Column, limit: int = 320) -> Column:
     return F.substring(collapse(F.element_at(F.split(c, "\\n\\s*\\n"), 1)), 1, limit)
 
 
+def bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of a value that is computed once, however often ``make`` uses it, in nested functions too."""
+    return F.element_at(F.transform(F.array(value), make), 1)
+
+
 def ngrams(tokens: Column, longest: int = 12) -> Column:
     """All runs of 1 to ``longest`` tokens, joined by spaces."""
-    sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.size(tokens)))
-    runs = F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda k: F.array_join(F.slice(tokens, k, n), " ")))
-    return F.when(F.size(tokens) > 0, F.array_distinct(F.flatten(runs))).otherwise(F.array().cast("array<string>"))
+
+    def runs(t: Column) -> Column:
+        sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.size(t)))
+        each = F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda k: F.array_join(F.slice(t, k, n), " ")))
+        return F.when(F.size(t) > 0, F.array_distinct(F.flatten(each))).otherwise(F.array().cast("array<string>"))
+
+    return bound(tokens, runs)
 
 
 def normalized_heading(c: Column) -> Column:

@@ -11,13 +11,35 @@ from .catalog import top_of_each
 
 MAX_FILES, MAX_FILE_BYTES = 20_000, 25 << 20
 
-#: Fixed patterns: path parts that no manuscript comes from, and words of files that are none.
-EXCLUDED_PART = "(?i)(?:^|[_. -])(?:backup|archive|old|publication|reports?|audit|outline|planning|research|design|prompts?|video)(?:$|[_. -])|do[_ -]?not[_ -]?publish"
+#: Fixed patterns: names of folders and files that no manuscript comes from, and words of files that are none.
+WORK_PART = "(?i)^(?:\\..+\\.mobile_work|mobile_.+_work)$"
+EXCLUDED_PART = "(?i)(?:^|[_. -])(?:backup|archive|old|publication|pre[_ -]?s\\d|mobile[_ .-]?work|reports?|audit|outline|planning|research|design|prompts?|video|\\.agent|\\.reasonix)(?:$|[_. -])"
+BLOCKED_PART = "(?i)禁止发布|隔离|do[_ -]?not[_ -]?publish|写作中转"
 NO_MANUSCRIPT = "report|audit|outline|bible|concept|synopsis|ledger|notes|readme|validation|prompt|narration"
+#: Fixed patterns: pictures, and words of pictures that are no covers.
+PICTURE, NO_COVER = "\\.(?:jpe?g|png|webp)$", "promo|video|frame|caption|contact.sheet"
 
 
 def excluded_path(path: Column) -> Column:
-    return F.exists(F.split(path, "[/\\\\]+"), lambda part: part.rlike(EXCLUDED_PART))
+    return F.exists(F.split(path, "[/\\\\]+"), lambda part: part.rlike(WORK_PART) | part.rlike(EXCLUDED_PART) | part.rlike(BLOCKED_PART))
+
+
+def cover_score(path: Column, language: str) -> Column:
+    """How likely a picture is the cover of an edition in ``language``; null if it cannot be."""
+    lower = F.lower(path)
+    name = F.element_at(F.split(lower, "/"), -1)
+    marked = {code: name.rlike(f"(?:^|[_\\-.]){code}(?:[_\\-.]|$)") for code in ("en", "sw")}
+    spelled = {"en": name.rlike("english"), "sw": name.rlike("swahili")}
+    other = "sw" if language == "en" else "en"
+    points = [(name.rlike("cover"), 30), (marked[language] | spelled[language], 50), (marked[other], -100), (name.rlike("\\.jpe?g$"), 5)]
+    return F.when(lower.rlike(PICTURE) & ~lower.rlike(NO_COVER), sum((F.when(holds, worth).otherwise(0) for holds, worth in points), F.lit(0)))
+
+
+def best_covers(files: DataFrame) -> DataFrame:
+    """(folder, language, path, score) of the likeliest cover of each folder in each language; ties by path."""
+    each = F.explode(F.array(*[F.struct(F.lit(code).alias("language"), cover_score(F.col("path"), code).alias("score")) for code in ("en", "sw")]))
+    scored = files.select("folder", "path", each.alias("_s")).select("folder", "path", "_s.*").where("score is not null")
+    return top_of_each(scored, ["folder", "language"], [F.desc("score"), F.col("path")])
 
 
 def manuscript_score(path: Column) -> Column:
@@ -56,6 +78,39 @@ def drift(expected: DataFrame, actual: DataFrame, fields: list[str], tags: str |
     return both.select(F.col("e.slug").alias("slug"), F.explode(messages).alias("message"))
 
 
+def release_drift(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """(slug, message) of every check of a release that a published book fails.
+
+    expected: slug, title, author, language, category, status, chapters, description_length, tags, cover_uploaded,
+    translation_of_slug. actual: slug, title, author_name, language_code, category, status, total_chapters,
+    actual_chapters, published_chapters, description, tags, cover_url, parent_slug.
+    """
+    e, a = (lambda c: F.col(f"e.{c}")), (lambda c: F.col(f"a.{c}"))
+    told = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
+    count = lambda c, name: (a(c), e("chapters"), F.concat(F.lit(f"{name} "), told(a(c)), F.lit(", expected "), told(e("chapters"))))
+    none = F.array().cast("array<string>")
+    cover = F.coalesce(a("cover_url"), F.lit(""))
+    equal = [
+        (a("title"), e("title"), "title mismatch"),
+        (a("author_name"), e("author"), "author mismatch"),
+        (a("language_code"), e("language"), "language mismatch"),
+        (a("category"), e("category"), "category mismatch"),
+        (a("status"), e("status"), F.concat(F.lit("status is "), told(a("status")), F.lit(", expected "), told(e("status")))),
+        count("total_chapters", "total_chapters is"),
+        count("actual_chapters", "chapter rows are"),
+        count("published_chapters", "published chapter rows are"),
+        (F.length(F.coalesce(a("description"), F.lit(""))), e("description_length"), "description mismatch"),
+        (text.tag_key(F.coalesce(a("tags"), none)), text.tag_key(F.coalesce(e("tags"), none)), "tags mismatch"),
+        (a("parent_slug"), e("translation_of_slug"), "translation pairing mismatch"),
+    ]
+    found = [F.when(~x.eqNullSafe(y), F.lit(m) if isinstance(m, str) else m) for x, y, m in equal]
+    found.append(F.when(cover == "", "cover_url is missing"))
+    found.append(F.when(F.coalesce(e("cover_uploaded"), F.lit(False)) & ~cover.rlike("[?&]v=\\d+"), "uploaded cover is not versioned"))
+    both = expected.alias("e").join(actual.alias("a"), e("slug") == a("slug"), "left")
+    messages = F.when(a("slug").isNull(), F.array(F.lit("missing"))).otherwise(F.array_compact(F.array(*found)))
+    return both.select(e("slug").alias("slug"), F.explode(messages).alias("message"))
+
+
 def asset_totals(files: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """One row: files, bytes, the largest file, how many are too large, and whether all limits hold."""
     total = files.agg(
@@ -92,16 +147,17 @@ def to_transfer(source: DataFrame, present: DataFrame, key: str = "path", size:
 
 
 def match_ids(slugs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(slug, book_id): ids ``<date>_<name>`` whose name is the slug with ``_`` for ``-``, or else the
-    longest that the slug begins with. A slug that matches none has a null id.
+    """(slug, book_id): the first of the ids ``<date>_<name>``, in their order, that ends with the slug, or whose name
+    the slug contains with ``_`` for ``-``; else the first id; null if there is none.
 
-    The slug's beginnings at word ends meet the names in an equality join.
+    Any place of a name in a slug may match, so slugs meet the ids of a build in a nested loop. The ids are
+    those of one build, and come as one row: an array.
     """
-    parts = F.split(F.replace(F.col("slug"), F.lit("-"), F.lit("_")), "_")
-    starts = slugs.select("slug", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "_"))).alias("_name"))
-    named = ids.select("book_id", F.regexp_replace("book_id", "^\\d{4}-\\d{2}-\\d{2}_", "").alias("_name"))
-    best = starts.join(named, "_name").groupBy("slug").agg(F.max_by("book_id", F.struct(F.length("_name"), "book_id")).alias("book_id"))
-    return slugs.select("slug").join(best, "slug", "left")
+    listed = ids.agg(F.array_sort(F.collect_list("book_id")).alias("_ids"))
+    spelled = F.replace(F.col("slug"), F.lit("-"), F.lit("_"))
+    name = lambda i: F.array_join(F.slice(F.split(i, "_"), F.lit(2), F.greatest(F.size(F.split(i, "_")) - 1, F.lit(0))), "_")
+    fit = lambda i: i.endswith(F.col("slug")) | F.contains(spelled, name(i))
+    return slugs.crossJoin(F.broadcast(listed)).select("slug", F.coalesce(F.try_element_at(F.filter("_ids", fit), F.lit(1)), F.try_element_at("_ids", F.lit(1))).alias("book_id"))
 
 
 def same_characters(left: DataFrame, right: DataFrame, key: str, column: str) -> DataFrame:
@@ -118,3 +174,44 @@ def stored_sizes(chapters: DataFrame) -> DataFrame:
 def log_steps(spark, path: str, rows: list[tuple[str, str, str]]) -> None:
     """Append (run, step, outcome) rows to a release log; earlier steps stay if a later one fails."""
     spark.createDataFrame(rows, "run string, step string, outcome string").coalesce(1).write.mode("append").json(path)
+
+
+def offline_status(chapters: DataFrame, books: DataFrame) -> DataFrame:
+    """(book_id, downloaded_count, is_available) of every book: stored chapters, and whether there is any."""
+    counts = chapters.groupBy("book_id").agg(F.count("*").alias("_n"))
+    n = F.coalesce("_n", F.lit(0).cast("long"))
+    return books.select("book_id").join(counts, "book_id", "left").select("book_id", n.alias("downloaded_count"), (n > 0).alias("is_available"))
+
+
+def environment(text_rows: DataFrame, column: str = "line", order: str = "position") -> DataFrame:
+    """(key, value) of ``KEY=VALUE`` lines; later lines win; comments, lines without a key and enclosing quotes are left out."""
+    line = F.trim(F.col(column))
+    parts = F.regexp_extract(line, "^(?:export\\s+)?([A-Za-z_][A-Za-z0-9_]*)\\s*=", 1)
+    value = F.trim(F.regexp_replace(line, "^[^=]*=", ""))
+    rows = text_rows.where(~line.startswith("#") & (parts != "")).select(parts.alias("key"), value.alias("_value"), F.col(order).alias("_order"))
+    last = rows.groupBy("key").agg(F.max_by("_value", "_order").alias("_value"))
+    value = F.col("_value")
+    bare = F.when(value.rlike("^\".*\"$|^'.*'$") & (F.length(value) > 1), F.expr("substr(_value, 2, length(_value) - 2)")).otherwise(value)
+    return last.select("key", bare.alias("value"))
+
+
+def response_rows(responses: DataFrame) -> DataFrame:
+    """(slug, state, found): responses (slug, status, body, error) as rows of an audit; a failure is a row, not an end."""
+    state = F.when(F.col("error").isNotNull(), "error").when(F.col("status").between(200, 299), "ok").otherwise(F.concat(F.lit("http-"), F.coalesce(F.col("status").cast("string"), F.lit("none"))))
+    listed = F.try_variant_get(F.try_parse_json("body"), "$.books", "array<variant>")
+    return responses.select("slug", state.alias("state"), F.when(state == "ok", F.coalesce(F.size(listed), F.lit(0))).otherwise(0).alias("found"))
+
+
+#: Attempts of a request, the first wait, the longest, and the longest that a server may ask for, in milliseconds.
+ATTEMPTS, FIRST_WAIT, LONGEST_WAIT, LONGEST_ASKED = 5, 500, 8000, 15_000
+
+
+def retry_waits(attempts: DataFrame) -> DataFrame:
+    """Attempts (attempt, status, retry_after_seconds) with wait_ms before the next one, null if there is none.
+
+    Failures without a status, too many requests and server errors are tried again.
+    """
+    again = (F.col("attempt") < ATTEMPTS) & (F.col("status").isNull() | (F.col("status") == 429) | (F.col("status") >= 500))
+    doubled = F.least(F.lit(LONGEST_WAIT), F.lit(FIRST_WAIT) * F.pow(F.lit(2), F.col("attempt") - 1)).cast("long")
+    asked = F.when(F.col("retry_after_seconds").isNotNull(), F.least(F.lit(LONGEST_ASKED), F.col("retry_after_seconds") * 1000)).cast("long")
+    return attempts.withColumn("wait_ms", F.when(again, F.coalesce(asked, doubled)))

@@ -154,12 +154,39 @@ def tab(rows: DataFrame, name: str) -> DataFrame:
 
 
 def is_classic() -> Column:
-    return F.col("category").rlike(CLASSIC) | F.exists("tags", lambda t: t.rlike(CLASSIC))
+    return F.coalesce(F.col("category").rlike(CLASSIC), F.lit(False)) | F.coalesce(F.exists("tags", lambda t: t.rlike(CLASSIC)), F.lit(False))
 
 
-def hero(rows: DataFrame) -> DataFrame:
-    """The first featured English book that is no classic, else the first such book."""
-    return rows.where((F.col("language_code") == "en") & ~is_classic()).orderBy(F.desc("is_featured"), "id").limit(1)
+def hero(rows: DataFrame, *order: Column) -> DataFrame:
+    """The first featured English book with a cover that is no classic, else the first such book; ``order`` is the catalogue's."""
+    fit = (F.col("language_code") == "en") & ~is_classic() & (F.coalesce("cover_url", F.lit("")) != "")
+    return rows.where(fit).orderBy(F.coalesce("is_featured", F.lit(False)).desc(), *(order or [F.col("id")])).limit(1)
+
+
+def editors_choice(rows: DataFrame, flag: str, *order: Column) -> DataFrame:
+    """The first book that is flagged, else the first."""
+    return rows.orderBy(F.coalesce(flag, F.lit(False)).desc(), *(order or [F.col("id")])).limit(1)
+
+
+def search_state(rows: DataFrame, text: str, columns: list[str], category: str) -> DataFrame:
+    """One row: matches of a search, those of them in a category (all for 'All'), and whether it matched elsewhere only."""
+    found = search_joined(rows, text, columns)
+    here = F.lit(True) if category == "All" else F.col("category") == category
+    counts = found.agg(F.count("*").alias("matches"), F.count_if(here).alias("shown"))
+    return counts.withColumn("only_elsewhere", F.lit(text.strip() != "") & (F.col("matches") > 0) & (F.col("shown") == 0))
+
+
+def owned(rows: DataFrame, user: str | None, role: str = "reader", owner: str = "user_id") -> DataFrame:
+    """Rows that a user may see of a table in which each row belongs to one; administrators see all."""
+    if role == "admin":
+        return rows
+    return rows.where(F.col(owner) == F.lit(user)) if user is not None else rows.limit(0)
+
+
+def new_profiles(users: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``profiles`` (id, display_name, role) with a reader's profile for each user (id, full_name, email) that has none."""
+    name = F.coalesce("full_name", "email")
+    return profiles.select("id", "display_name", "role").unionByName(users.join(profiles.select("id"), "id", "left_anti").select("id", name.alias("display_name"), F.lit("reader").alias("role")))
 
 
 def shelf(entries: DataFrame, books: DataFrame) -> DataFrame:

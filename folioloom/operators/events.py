@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The event types, and those that need no chapter.
-EVENT_TYPES = ("book_view", "chapter_start", "chapter_progress", "chapter_complete", "bookshelf_add", "offline_download", "share", "search")
-BOOK_LEVEL = ("book_view", "bookshelf_add")
-MAX_SECONDS = 86_400
-UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$"
+#: The event types, those that need a chapter, and the limits of a request.
+EVENT_TYPES = ("book_view", "chapter_start", "chapter_25", "chapter_50", "chapter_75", "chapter_complete", "bookshelf_add", "offline_download")
+CHAPTER_EVENTS = ("chapter_start", "chapter_25", "chapter_50", "chapter_75", "chapter_complete", "offline_download")
+MAX_SECONDS, MAX_BODY_BYTES = 86_400, 4096
+UUID = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 
 
 def actor() -> Column:
@@ -136,18 +136,55 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return best.select(*keys, "_row.*")
 
 
+def is_uuid(c: Column) -> Column:
+    return F.coalesce(c.rlike(UUID), F.lit(False))
+
+
 def rejections(events: DataFrame) -> DataFrame:
-    """Events with the first rule that they break, null if none."""
+    """Events with the first rule that they break as ``rejection``, null if none.
+
+    The chapter is ``chapter_id`` where there is one, else ``chapter_number``. Ids that are texts must be
+    UUIDs; a reader without an account must have an anonymous UUID.
+    """
+    chapter = "chapter_id" if "chapter_id" in events.columns else "chapter_number"
+    told = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
+    wrong = lambda c: told(c).isNotNull() & ~is_uuid(F.col(c)) if dict(events.dtypes)[c] == "string" else F.lit(False)
+    seconds = F.col("reading_seconds").cast("double")
     rule = (
         F.when(F.col("event_type").isNull() | ~F.col("event_type").isin(*EVENT_TYPES), "unknown event type")
-        .when(F.col("book_id").isNull(), "book required")
-        .when(~F.col("event_type").isin(*BOOK_LEVEL) & F.col("chapter_number").isNull(), "chapter required")
-        .when(F.col("user_id").isNull() & (F.coalesce("anonymous_id", F.lit("")) == ""), "reader required")
-        .when(F.col("reading_seconds").isNotNull() & ~F.col("reading_seconds").between(0, MAX_SECONDS), "seconds out of range")
+        .when(told("book_id").isNull(), "book required")
+        .when(wrong("book_id"), "book is no UUID")
+        .when(wrong(chapter), "chapter is no UUID")
+        .when(F.col("event_type").isin(*CHAPTER_EVENTS) & told(chapter).isNull(), "chapter required")
+        .when(seconds.isNotNull() & ~(seconds.between(0, MAX_SECONDS) & (seconds == F.floor(seconds))), "seconds out of range")
+        .when(F.col("user_id").isNull() & ~is_uuid(F.trim("anonymous_id")), "reader required")
     )
     return events.withColumn("rejection", rule)
 
 
+def request_outcomes(requests: DataFrame, body: str = "body") -> DataFrame:
+    """Requests (``body``, user_id) with ``outcome``: why a request is refused, null if its event is recorded.
+
+    A body is a JSON object of at most MAX_BODY_BYTES bytes. Values of another JSON type count as wrong.
+    """
+    value = F.try_parse_json(F.col(body).cast("string"))
+    field = lambda name: F.try_variant_get(value, f"$.{name}", "variant")
+    kind = lambda name: F.coalesce(F.schema_of_variant(field(name)), F.lit("VOID"))
+    string = lambda name: F.when(kind(name) == "STRING", F.try_variant_get(value, f"$.{name}", "string"))
+    empty = lambda name: (kind(name) == "VOID") | F.coalesce(string(name) == "", F.lit(False))
+    event, seconds = F.coalesce(string("eventType"), F.lit("")), F.try_variant_get(value, "$.readingSeconds", "double")
+    whole = kind("readingSeconds").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & F.coalesce(seconds.between(0, MAX_SECONDS) & (seconds == F.floor(seconds)), F.lit(False))
+    chapter = empty("chapterId") | is_uuid(string("chapterId"))
+    good = event.isin(*EVENT_TYPES) & is_uuid(string("bookId")) & chapter & (~event.isin(*CHAPTER_EVENTS) | ~empty("chapterId")) & ((kind("readingSeconds") == "VOID") | whole)
+    outcome = (
+        F.when(F.octet_length(body) > MAX_BODY_BYTES, "too large")
+        .when(value.isNull(), "not JSON")
+        .when(~F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False)) | ~good, "invalid event")
+        .when(F.col("user_id").isNull() & ~is_uuid(F.trim(string("anonymousId"))), "invalid reader")
+    )
+    return requests.withColumn("outcome", outcome)
+
+
 def month_window(now: str) -> tuple[Column, Column]:
     """The month before that of ``now``, as [start, end) dates."""
     this = F.date_trunc("month", F.lit(now).cast("timestamp")).cast("date")
@@ -166,3 +203,31 @@ def report_rows(rollups: DataFrame) -> DataFrame:
 def throttled(events: DataFrame, seconds: int = 12) -> DataFrame:
     """Of each reader the events at least ``seconds`` after the last one kept."""
     return admit(events, quota=1, seconds=seconds).where("accepted").select("event_id", "actor")
+
+
+def reading_seconds(opened: Column, closed: Column) -> Column:
+    """Seconds between two times, whole and at least one."""
+    return F.greatest(F.lit(1), F.floor((F.unix_millis(closed) - F.unix_millis(opened)) / 1000 + 0.5)).cast("long")
+
+
+def scroll_percent(offset: Column, reach: Column) -> Column:
+    """How far a page is scrolled, 0 to 100; a page that cannot be scrolled is read whole."""
+    share = F.floor(offset / F.when(reach > 0, reach) * 100 + 0.5)
+    return F.when(reach > 0, F.greatest(F.lit(0), F.least(F.lit(100), share))).otherwise(100).cast("int")
+
+
+#: Shares of a chapter at which an event is sent.
+CHECKPOINTS = {25: "chapter_25", 50: "chapter_50", 75: "chapter_75", 98: "chapter_complete"}
+
+
+def scroll_checkpoints(scrolls: DataFrame, session: str = "session_id", percent: str = "percent", at: str = "created_at") -> DataFrame:
+    """(session, event_type, first_at): the first time that a session reaches each share, once however often it does."""
+    reached = F.array_compact(F.array(*[F.when(F.col(percent) >= share, name) for share, name in CHECKPOINTS.items()]))
+    return scrolls.select(session, at, F.explode(reached).alias("event_type")).groupBy(session, "event_type").agg(F.min(at).alias("first_at"))
+
+
+def debounced(events: DataFrame, key: str, at: str = "created_at", millis: int = 500) -> DataFrame:
+    """Events after which none of the same key follows within ``millis``: what a debounced sender sends."""
+    following = F.lead(at).over(Window.partitionBy(key).orderBy(at, "event_id"))
+    waits = F.unix_millis(following) - F.unix_millis(at)
+    return events.withColumn("_waits", waits).where(F.col("_waits").isNull() | (F.col("_waits") >= millis)).drop("_waits")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,6 +175,146 @@ def parent_errors(books: DataFrame) -> DataFrame:
     return books.where("parent_book_id is not null").join(parents, F.col("parent_book_id") == F.col("_id"), "left").select("id", "parent_book_id", rule.alias("error"))
 
 
+def batch_parents(batch: DataFrame, existing: DataFrame) -> DataFrame:
+    """``batch`` (slug, language, translation_of_slug) with parent_id, parent_in_batch and ``error``.
+
+    An original is looked for in the batch first, then among ``existing`` books (id, slug, language_code).
+    """
+    inside = batch.select(F.col("slug").alias("_slug"), F.col("language").alias("_here"), F.nullif(F.col("translation_of_slug"), F.lit("")).alias("_of"), F.lit(True).alias("_in"))
+    outside = existing.select(F.col("slug").alias("_known"), F.col("id").alias("_id"), F.col("language_code").alias("_there"))
+    wanted = F.nullif(F.col("translation_of_slug"), F.lit(""))
+    both = batch.join(inside, wanted == F.col("_slug"), "left").join(outside, wanted == F.col("_known"), "left")
+    within = F.coalesce("_in", F.lit(False))
+    error = first_error(
+        [
+            (wanted.isNotNull() & ~within & F.col("_known").isNull(), "no such original"),
+            (within & F.col("_of").isNotNull(), "original is a translation"),
+            (wanted.isNotNull() & (F.coalesce("_here", "_there") == F.col("language")), "same language as its original"),
+        ]
+    )
+    return both.select(*batch.columns, F.when(wanted.isNotNull(), F.col("_id")).alias("parent_id"), within.alias("parent_in_batch"), error.alias("error"))
+
+
+def paired_groups(files: DataFrame) -> DataFrame:
+    """Editions (folder, slug, language, translation_of_slug) with the original of their group and ``error``.
+
+    The root of a group is its first English edition, else its first; another edition translates the root unless it names
+    an original itself. A group may have one edition of a language.
+    """
+    first = F.min(F.struct((F.col("language") != "en").alias("_later"), "slug", "language"))
+    groups = files.groupBy("folder").agg(first.alias("_root"), F.count("*").alias("_n"), F.countDistinct("language").alias("_languages"))
+    root = F.col("_root.slug")
+    own = F.nullif(F.col("translation_of_slug"), F.lit(""))
+    of = F.when(F.col("slug") == root, own).otherwise(F.coalesce(own, root))
+    error = F.when(F.col("_n") != F.col("_languages"), "two editions of one language")
+    return files.join(groups, "folder").select("folder", "slug", "language", root.alias("root_slug"), of.alias("translation_of_slug"), error.alias("error"))
+
+
+def chapters_only_errors(batch: DataFrame, existing: DataFrame, precomputed: bool = False) -> DataFrame:
+    """Updates of chapters alone (slug, title, integrity, chapters) with ``error``.
+
+    Only existing books (slug, title, tags) can be updated; their own title and tags decide whether the gate for
+    classics applies, not those that were sent.
+    """
+    known = existing.select("slug", F.col("title").alias("_title"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.lit(True).alias("_known"))
+    both = batch.drop("tags").join(known, "slug", "left").withColumns({"title": F.coalesce(F.nullif(F.col("_title"), F.lit("")), F.col("title")), "tags": F.coalesce("tags", F.array().cast("array<string>"))})
+    checked = integrity_errors(both, precomputed)
+    return checked.withColumn("error", F.when(F.col("_known").isNull(), "no such book").otherwise(F.col("error"))).drop("_title", "_known")
+
+
+def single_import_errors(books: DataFrame) -> DataFrame:
+    """One-book imports (book_id, title, author, language, chapters) with the first rule that each breaks."""
+    chapters = F.coalesce("chapters", F.array().cast("array<struct<number:bigint,title:string,content:string>>"))
+    numbers = F.transform(chapters, lambda c: c["number"])
+    whole = F.forall(chapters, lambda c: F.coalesce((c["number"] >= 1) & (c["number"] <= (1 << 53) - 1), F.lit(False)) & ~blank(c["title"]) & ~blank(c["content"]))
+    unnamed = F.col("book_id").isNull() & (blank(F.col("title")) | blank(F.col("author")) | blank(F.col("language")))
+    return books.withColumn(
+        "error",
+        first_error(
+            [
+                (~F.size(chapters).between(1, 100), "provide between 1 and 100 chapters"),
+                (~whole | (F.size(F.array_distinct(numbers)) != F.size(numbers)), "every chapter needs its own positive number, a title and content"),
+                (unnamed, "title, author and language are required"),
+            ]
+        ),
+    )
+
+
+def publication(books: DataFrame, chapters: DataFrame, batch: DataFrame, sent: DataFrame, now: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Snapshots of an import: books while it runs, chapters, and books after it.
+
+    ``batch`` has the columns of ``books`` (id, status, published_at, total_chapters among them), ``sent`` those of
+    ``chapters``. While chapters change the books are drafts; chapters are replaced by number, the others of a
+    sent book go; then each book gets its status, its time of publication and its number of chapters.
+    """
+    time = F.lit(now).cast("timestamp")
+    counts = sent.groupBy(F.col("book_id").alias("id")).agg(F.count("*").alias("_n"))
+    counted = batch.join(counts, "id", "left").withColumn("total_chapters", F.coalesce("_n", F.lit(0)).cast(books.schema["total_chapters"].dataType)).drop("_n")
+    draft = counted.withColumns({"status": F.lit("draft"), "published_at": F.lit(None).cast("timestamp")})
+    final = counted.withColumn("published_at", F.when(F.col("status") == "published", time))
+    timed = sent.withColumn("published_at", F.when(F.col("status") == "published", time))
+    kept = chapters.join(batch.select(F.col("id").alias("book_id")), "book_id", "left_anti")
+    return upsert(books, draft, ["id"]), kept.unionByName(timed.select(*chapters.columns)), upsert(books, final, ["id"])
+
+
+#: What must be said to delete everything, and (fixed) the most slugs that may be named.
+DELETE_ALL, MOST_DELETED = "DELETE ALL BOOKS", 50
+
+
+def guarded_delete(books: DataFrame, slugs: list[str], confirmation: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Books that stay, slugs that go, and wanted slugs that are not there. All go only with the exact confirmation."""
+    if confirmation == DELETE_ALL:
+        return books.limit(0), books.select("slug"), books.select("slug").limit(0)
+    wanted = sorted({t for s in slugs if re.fullmatch(SLUG, t := s.strip())})
+    if not 1 <= len(wanted) <= MOST_DELETED:
+        raise ValueError(f"provide between 1 and {MOST_DELETED} slugs")
+    asked = books.sparkSession.createDataFrame([(s,) for s in wanted], "slug string")
+    stay, missing = delete_by_key(books, asked, "slug")
+    return stay, books.where(F.col("slug").isin(*wanted)).select("slug"), missing
+
+
+def linked_translations(books: DataFrame) -> DataFrame:
+    """``books`` in which a Kiswahili edition without a parent has the English one whose slug is its own without ``-sw``."""
+    originals = books.where((F.col("language_code") == "en") & F.col("parent_book_id").isNull()).select(F.col("id").alias("_original"), F.concat("slug", F.lit("-sw")).alias("_twin"))
+    lone = (F.col("language_code") == "sw") & F.col("parent_book_id").isNull()
+    both = books.join(originals, lone & (F.col("slug") == F.col("_twin")), "left")
+    return both.withColumn("parent_book_id", F.coalesce("parent_book_id", "_original")).select(*books.columns)
+
+
+def without_parents(rows: DataFrame, gone: DataFrame, reference: str, rule: str) -> DataFrame:
+    """``rows`` after the rows with the ids of ``gone`` went: ``cascade`` drops those that refer to them, ``set null`` keeps them."""
+    ids = gone.select(F.col("id").alias("_gone")).distinct()
+    if rule == "cascade":
+        return rows.join(ids, F.col(reference) == F.col("_gone"), "left_anti")
+    met = rows.join(ids, F.col(reference) == F.col("_gone"), "left")
+    return met.withColumn(reference, F.when(F.col("_gone").isNull(), F.col(reference))).select(*rows.columns)
+
+
+def touched(before: DataFrame, after: DataFrame, key: str, now: str, column: str = "updated_at") -> DataFrame:
+    """``after`` with ``column`` set to ``now`` in every row that was there before and was sent again, whatever was sent in it."""
+    known = before.select(key, F.lit(True).alias("_known"))
+    stamp = F.when(F.col("_known"), F.lit(now).cast(after.schema[column].dataType)).otherwise(F.col(column))
+    return after.join(known, key, "left").withColumn(column, stamp).select(*after.columns)
+
+
+def first_filled(*columns: Column) -> Column:
+    """The first value that is neither null nor empty."""
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
+
+
+def local_chapters(chapters: DataFrame) -> DataFrame:
+    """Chapters of a local book that can be shown: a safe positive whole number, and content that is a text."""
+    number = F.col("number").cast("double")
+    return chapters.where((number >= 1) & (number <= float((1 << 53) - 1)) & (number == F.floor(number)) & F.col("content").isNotNull())
+
+
+def batch_totals(batch: DataFrame, existing: DataFrame) -> DataFrame:
+    """One row: books, chapters, how many books are new and how many are updated."""
+    known = existing.select("slug", F.lit(True).alias("_known")).dropDuplicates(["slug"])
+    both = batch.join(known, "slug", "left")
+    return both.agg(F.count("*").alias("books"), F.coalesce(F.sum(F.size("chapters")), F.lit(0)).cast("long").alias("chapters"), F.count_if(F.col("_known").isNull()).alias("creates"), F.count_if(F.col("_known").isNotNull()).alias("updates"))
+
+
 def changes(source: DataFrame, target: DataFrame, key: str, content: str) -> DataFrame:
     """key and create, update, unchanged or removed."""
     both = source.select(key, F.col(content).alias("_new"), F.lit(True).alias("_in")).join(target.select(key, F.col(content).alias("_old"), F.lit(True).alias("_was")), key, "full_outer")
@@ -181,9 +323,9 @@ def changes(source: DataFrame, target: DataFrame, key: str, content: str) -> Dat
 
 
 def all_or_nothing(checked: DataFrame) -> DataFrame:
-    """The rows if none has an error, else none."""
-    failed = not checked.where("error is not null").limit(1).isEmpty()
-    return checked.where(F.lit(not failed)).drop("error")
+    """The rows if none has an error, else none. One failed row is looked for; no row is brought to the driver."""
+    failed = checked.where("error is not null").select(F.lit(True).alias("_failed")).limit(1)
+    return checked.join(F.broadcast(failed), F.col("_failed"), "left_anti").drop("error")
 
 
 #: Columns that an editor may change.

@@ -95,6 +95,138 @@ def sitemap_entries(links: DataFrame, lastmod: str) -> DataFrame:
     return pages.select("id", "chapter_number", element.alias("element"))
 
 
+def page_versions(books: DataFrame) -> DataFrame:
+    """(id, version_slug, version_language): the other editions of a work, by parent alone, for a book's page."""
+    own = books.select("id", "slug", "language_code", F.coalesce("parent_book_id", "id").alias("_root"))
+    other = own.select(F.col("slug").alias("version_slug"), F.col("language_code").alias("version_language"), "_root")
+    return own.join(other, "_root").where("slug <> version_slug").select("id", "version_slug", "version_language")
+
+
+#: The site maps that the index names.
+SITEMAPS = ("home", "books-en", "books-sw", "chapters")
+
+
+def url_group(url: Column, language: Column) -> Column:
+    """The site map that a page belongs to."""
+    return F.when(url.startswith(f"{SITE}/read/"), "chapters").when(url.startswith(f"{SITE}/books/") & (F.length(url) > len(SITE) + 7), F.when(language == "sw", "books-sw").otherwise("books-en")).otherwise("home")
+
+
+def sitemap_pages(pages: DataFrame, today: str) -> DataFrame:
+    """(sitemap, url, element) of pages (url, language, lastmod): weekly, chapters monthly; the home page first in priority."""
+    url, reading = F.col("url"), F.col("url").startswith(f"{SITE}/read/")
+    priority = F.when(url == f"{SITE}/", "1.0").when(reading, "0.6").otherwise("0.8")
+    element = F.concat(
+        F.lit("<url><loc>"), text.html_escape(url), F.lit("</loc><lastmod>"), F.coalesce("lastmod", F.lit(today)), F.lit("</lastmod><changefreq>"), F.when(reading, "monthly").otherwise("weekly"), F.lit("</changefreq><priority>"), priority, F.lit("</priority></url>")
+    )
+    return pages.select(url_group(url, F.col("language")).alias("sitemap"), "url", element.alias("element"))
+
+
+def sitemap_index(today: str) -> str:
+    """The index of the site maps."""
+    children = "".join(f"<sitemap><loc>{SITE}/sitemap-{name}.xml</loc><lastmod>{today}</lastmod></sitemap>" for name in SITEMAPS)
+    return f'<?xml version="1.0" encoding="UTF-8"?>\n<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">{children}</sitemapindex>\n'
+
+
+def annotated(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """Pages with the language links of their canonical address, an array of (code, url) in order, null without any."""
+    lists = links.groupBy("canonical").agg(F.array_sort(F.collect_set(F.struct("code", "url"))).alias("links"))
+    return pages.join(lists, pages["url"] == lists["canonical"], "left").drop("canonical")
+
+
+def book_page(books: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(id, page): a plain page of each book with its description, its chapters in order and its other editions."""
+    entry = F.struct("chapter_number", F.concat(F.lit('<li><a href="'), chapter_url(F.col("slug"), F.col("chapter_number")), F.lit('">'), text.html_escape(F.col("_title")), F.lit("</a></li>")).alias("item"))
+    rows = chapters.select("book_id", "chapter_number", F.col("title").alias("_title")).join(books.select(F.col("id").alias("book_id"), "slug"), "book_id")
+    listed = rows.groupBy("book_id").agg(F.array_sort(F.collect_list(entry)).alias("_entries")).select(F.col("book_id").alias("id"), F.array_join("_entries.item", "").alias("_list"))
+    other = F.concat(F.lit('<a href="'), F.lit(f"{SITE}/books/"), text.uri_component(F.col("version_slug")), F.lit('/" hreflang="'), "version_language", F.lit('"></a>'))
+    versions = page_versions(books).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set(other)), "").alias("_versions"))
+    both = books.join(listed, "id", "left").join(versions, "id", "left")
+    none = F.lit("")
+    page = F.concat(
+        F.lit("<!doctype html><title>"), text.html_escape(F.col("title")), F.lit('</title><link rel="canonical" href="'), F.lit(f"{SITE}/books/"), text.uri_component(F.col("slug")), F.lit('/"><h1>'),
+        text.html_escape(F.col("title")), F.lit("</h1><p>"), text.html_escape(F.coalesce("description", none)), F.lit("</p><ol>"), F.coalesce("_list", none), F.lit("</ol>"), F.coalesce("_versions", none),
+    )
+    return both.select("id", page.alias("page"))
+
+
+def feed(items: DataFrame, title: str, built: str) -> DataFrame:
+    """One row: an RSS document of the items (id, item) in their order."""
+    listed = items.agg(F.array_sort(F.collect_list(F.struct("id", "item"))).alias("_items"))  # as many as a feed has
+    head = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<rss version="2.0"><channel><title>'), text.html_escape(F.lit(title)), F.lit(f"</title><link>{SITE}/books/</link><language>en</language><lastBuildDate>{built}</lastBuildDate>"))
+    return listed.select(F.concat(head, F.array_join("_items.item", ""), F.lit("</channel></rss>\n")).alias("document"))
+
+
+def robots(agents: list[str], closed: list[str]) -> str:
+    """robots.txt: everyone may read all but the ``closed`` paths; ``agents`` are named and may read all."""
+    rules = ["User-agent: *", "Allow: /", *(f"Disallow: {path}" for path in closed)]
+    for agent in agents:
+        rules += ["", f"User-agent: {agent}", "Allow: /"]
+    return "\n".join([*rules, "", f"Sitemap: {SITE}/sitemap.xml", ""])
+
+
+def catalogue_counts(books: DataFrame) -> DataFrame:
+    """One row for the policy files: editions by language, and classics."""
+    from .catalog import is_classic
+
+    return books.agg(F.count_if(F.col("language_code") != "sw").alias("english"), F.count_if(F.col("language_code") == "sw").alias("kiswahili"), F.count_if(is_classic()).alias("classics"), F.count("*").alias("editions"))
+
+
+def llms_listing(books: DataFrame) -> DataFrame:
+    """(slug, line): a line a book for the listing that language models read: title, author, address and summary."""
+    line = F.concat(F.lit("- ["), "title", F.lit("]("), F.lit(f"{SITE}/books/"), text.uri_component(F.col("slug")), F.lit("/) by "), F.coalesce("author_name", F.lit("unknown")), F.lit(": "), text.summary(F.coalesce("description", F.lit("")), 160))
+    return books.select("slug", line.alias("line"))
+
+
+def write_snapshot(books: DataFrame, path: str) -> None:
+    """The catalogue as JSON lines, for readers that must not wait for the database."""
+    books.write.mode("overwrite").json(path)
+
+
+def write_build(hashes: DataFrame, path: str, version: int, code_hash: str) -> None:
+    """The state of a build: version, hash of the code, and (slug, content_hash) of every book."""
+    hashes.select(F.lit(version).alias("version"), F.lit(code_hash).alias("code_hash"), "slug", "content_hash").write.mode("overwrite").json(path)
+
+
+def rebuild(now: DataFrame, before: DataFrame, code_hash: str) -> DataFrame:
+    """(slug, state) as build_changes; every book that stays counts as changed if the code has."""
+    state = build_changes(now, before)
+    other = before.agg(F.max(F.col("code_hash") != F.lit(code_hash)).alias("_other"))  # one row
+    return state.join(F.broadcast(other)).select("slug", F.when((F.col("state") == "unchanged") & F.coalesce("_other", F.lit(False)), "changed").otherwise(F.col("state")).alias("state"))
+
+
+def record_problems(chapters: DataFrame) -> DataFrame:
+    """(book_id, problem) of chapters that cannot be read: numbers below 1 or repeated, empty bodies."""
+    bad = F.array_compact(F.array(F.when(F.coalesce(F.col("chapter_number") < 1, F.lit(True)), "number below 1"), F.when(text.js_trim(F.coalesce("content", F.lit(""))) == "", "empty body")))
+    single = chapters.select("book_id", F.explode(bad).alias("problem"))
+    repeated = chapters.groupBy("book_id", "chapter_number").agg(F.count("*").alias("_n")).where("_n > 1").select("book_id", F.lit("repeated number").alias("problem"))
+    return single.unionByName(repeated).distinct()
+
+
+CHAPTER_RECORD = "schemaVersion int, book struct<slug:string,title:string,author:string,language:string>, chapter struct<id:string,number:bigint,title:string,content:string,paragraphs:array<string>>"
+
+
+def read_chapter(rows: DataFrame, slug: Column, number: Column, column: str = "record") -> DataFrame:
+    """Rows with ``chapter``: the chapter of a JSON record, null unless it is of the expected book and number and has a text.
+
+    Paragraphs that are missing are cut out of the content.
+    """
+    r = F.from_json(column, CHAPTER_RECORD)
+    parsed = rows.withColumn("_r", r)
+    chapter = F.col("_r.chapter")
+    body = F.coalesce(chapter["content"], F.array_join(chapter["paragraphs"], "\n\n"))
+    listed = F.when(F.size(F.coalesce(chapter["paragraphs"], F.array())) > 0, chapter["paragraphs"]).otherwise(text.paragraphs(F.coalesce(body, F.lit(""))))
+    good = (F.col("_r.schemaVersion") == 1) & (F.col("_r.book.slug") == slug) & (chapter["number"] == number) & (text.js_trim(F.coalesce(body, F.lit(""))) != "")
+    made = F.struct(chapter["id"].alias("id"), chapter["number"].alias("number"), F.coalesce(chapter["title"], F.concat(F.lit("Chapter "), chapter["number"].cast("string"))).alias("title"), listed.alias("paragraphs"))
+    return parsed.withColumn("chapter", F.when(F.coalesce(good, F.lit(False)), made)).drop("_r")
+
+
+def total_mismatches(books: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(id, total_chapters, published): books whose positive total is not the number of published chapters; a build is refused then."""
+    counts = chapters.where("status = 'published'").groupBy(F.col("book_id").alias("id")).agg(F.count("*").alias("_n"))
+    n = F.coalesce("_n", F.lit(0).cast("long"))
+    return books.join(counts, "id", "left").where((F.col("total_chapters") > 0) & (F.col("total_chapters") != n)).select("id", "total_chapters", n.alias("published"))
+
+
 def write_sitemap(elements: DataFrame, path: str) -> None:
     """Elements as text files, one line each, to be wrapped in <urlset> by the server."""
     elements.select("element").write.mode("overwrite").text(path)

@@ -113,9 +113,9 @@ def top1_per_group(spark, d):
     return catalog.top_of_each(books(spark, d), ["category", "language_code"], [F.desc("price"), F.col("id")]).select("category", "language_code", "id", "price")
 
 
-@query("editors_choice", f"WITH {BOOKS} SELECT id FROM books WHERE language_code = 'en' AND id % 13 <> 0 ORDER BY is_featured DESC, id LIMIT 1")
+@query("editors_choice", f"WITH {BOOKS} SELECT id FROM books ORDER BY is_featured DESC, id LIMIT 1")
 def editors_choice(spark, d):
-    return catalog.hero(tagged(spark, d)).select("id")
+    return catalog.editors_choice(books(spark, d), "is_featured").select("id")
 
 
 CONV = "rows AS (SELECT conv_id AS book_id, turn AS chapter_number, text FROM conversations)"
@@ -146,9 +146,9 @@ def contiguity_check(spark, d):
     return catalog.contiguity(chapters(spark, d), "book_id", "chapter_number")
 
 
-@query("search_header", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '1') OR contains(lower(p_type), 'steel')")
+@query("search_header", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'small') OR contains(lower(p_type), 'small')")
 def search_header(spark, d):
-    return catalog.search(table(spark, d, "part"), " STEEL ", ["p_type"]).unionByName(catalog.search(table(spark, d, "part"), "1", ["p_name"])).select("p_partkey", "p_name").distinct()
+    return catalog.search(table(spark, d, "part"), " SmalL ", ["p_name", "p_type"]).select("p_partkey", "p_name")
 
 
 @query("search_classics", "SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE contains(lower(concat_ws(' ', s_name, n_name)), 'a')")
@@ -331,12 +331,17 @@ def build_changes(spark, d):
 
 @query(
     "sitemap",
-    f"""WITH {BOOKS}, {CHAPTERS}, own AS (SELECT b.id, chapter_number, language_code AS code, '{publish.SITE}/read/' || slug || '/' || chapter_number AS url FROM chapters JOIN books b ON b.id = book_id)
-    SELECT id, chapter_number, '<url><loc>' || url || '</loc><xhtml:link rel="alternate" hreflang="' || code || '" href="' || url || '"/><lastmod>2000-01-01</lastmod><changefreq>monthly</changefreq><priority>0.6</priority></url>' AS element FROM own""",
+    f"""WITH {BOOKS}, {CHAPTERS}, {SIBLINGS}, {SIBLING_CHAPTERS}, own AS (SELECT b.id, chapter_number, language_code AS code, '{publish.SITE}/read/' || slug || '/' || chapter_number AS url FROM chapters JOIN books b ON b.id = book_id),
+    others AS (SELECT id, chapter_number, sibling_language AS code, '{publish.SITE}/read/' || sibling_slug || '/' || chapter_number AS url FROM sibling_chapters),
+    english AS (SELECT id, chapter_number, min(url) AS url FROM others WHERE code = 'en' GROUP BY 1, 2),
+    links AS (SELECT * FROM own UNION ALL SELECT * FROM others UNION ALL SELECT id, chapter_number, 'x-default', coalesce(e.url, own.url) FROM own LEFT JOIN english e USING (id, chapter_number)),
+    lists AS (SELECT id, chapter_number, array_to_string(list_sort(list(DISTINCT '<xhtml:link rel="alternate" hreflang="' || code || '" href="' || url || '"/>')), '') AS l FROM links GROUP BY 1, 2)
+    SELECT id, chapter_number, '<url><loc>' || url || '</loc>' || l || '<lastmod>2000-01-01</lastmod><changefreq>monthly</changefreq><priority>0.6</priority></url>' AS element FROM own JOIN lists USING (id, chapter_number)""",
 )
 def sitemap(spark, d):
-    rows = chapters(spark, d).join(books(spark, d).select(F.col("id").alias("book_id"), "slug", "language_code"), "book_id")
-    links = rows.select(F.col("book_id").alias("id"), "chapter_number", F.col("language_code").alias("code"), publish.chapter_url(F.col("slug"), F.col("chapter_number")).alias("url"), F.lit(True).alias("_self"))
+    own = books(spark, d).select("id", "slug")
+    links = publish.alternates(books(spark, d), chapters(spark, d)).join(own, "id")
+    links = links.withColumn("_self", F.col("url") == publish.chapter_url(F.col("slug"), F.col("chapter_number")))
     return publish.sitemap_entries(links, "2000-01-01")
 
 
@@ -352,21 +357,44 @@ def release_audit_counts(spark, d):
     return audit.release_counts(books(spark, d), chapters(spark, d)).select("id", "actual_chapters", "published_chapters", "parent_slug")
 
 
+#: Ways in which every so many books differ from what is expected of them.
+DRIFTS = {
+    6: "title mismatch",
+    7: "author mismatch",
+    8: "language mismatch",
+    9: "category mismatch",
+    10: "status is gone, expected ' || status || '",
+    11: "total_chapters is ' || (total_chapters + 1) || ', expected ' || total_chapters || '",
+    12: "chapter rows are ' || (total_chapters + 1) || ', expected ' || total_chapters || '",
+    13: "published chapter rows are none, expected ' || total_chapters || '",
+    14: "description mismatch",
+    16: "tags mismatch",
+    17: "translation pairing mismatch",
+    18: "cover_url is missing",
+}
+
+
 @query(
     "drift_report",
-    f"""WITH {BOOKS}, a AS (SELECT *, CASE WHEN id % 6 = 0 THEN 'other' ELSE title END AS t2, CASE WHEN id % 10 = 0 THEN total_chapters + 1 ELSE total_chapters END AS n2 FROM books WHERE id % 15 <> 0)
-    SELECT slug, 'missing' AS message FROM books WHERE id % 15 = 0 UNION ALL SELECT slug, 'title mismatch' FROM a WHERE t2 <> title UNION ALL SELECT slug, 'total_chapters mismatch' FROM a WHERE n2 <> total_chapters
-    UNION ALL SELECT slug, 'tags mismatch' FROM a WHERE id % 14 = 0""",
+    f"WITH {BOOKS}, a AS (SELECT * FROM books WHERE id % 15 <> 0) SELECT slug, 'missing' AS message FROM books WHERE id % 15 = 0 "
+    + " ".join(f"UNION ALL SELECT slug, '{message}' FROM a WHERE id % {n} = 0" for n, message in DRIFTS.items())
+    + " UNION ALL SELECT slug, 'uploaded cover is not versioned' FROM a WHERE id % 2 = 0 AND (id % 18 = 0 OR id % 19 = 0)",
 )
 def drift_report(spark, d):
-    rows = books(spark, d).select("id", "slug", "title", "total_chapters")
+    k = F.col("id")
+    tags = lambda *names: F.array(*map(F.lit, names))
+    rows = books(spark, d)
+    expected = rows.select(
+        "slug", "title", F.col("author_name").alias("author"), F.col("language_code").alias("language"), "category", "status", F.col("total_chapters").alias("chapters"), F.lit(5).alias("description_length"), tags("One", "two").alias("tags"), (k % 2 == 0).alias("cover_uploaded"), F.lit(None).cast("string").alias("translation_of_slug")
+    )
+    other = lambda n, c, value: F.when(k % n == 0, value).otherwise(F.col(c))
+    n = F.col("total_chapters")
     actual = rows.where("id % 15 <> 0").select(
-        "slug",
-        F.when(F.col("id") % 6 == 0, "other").otherwise(F.col("title")).alias("title"),
-        F.when(F.col("id") % 10 == 0, F.col("total_chapters") + 1).otherwise(F.col("total_chapters")).alias("total_chapters"),
-        F.when(F.col("id") % 14 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("B"), F.lit("a"))).alias("tags"),
+        "slug", other(6, "title", "other").alias("title"), other(7, "author_name", "other").alias("author_name"), other(8, "language_code", "fr").alias("language_code"), other(9, "category", None).alias("category"), other(10, "status", "gone").alias("status"),
+        other(11, "total_chapters", n + 1).alias("total_chapters"), other(12, "total_chapters", n + 1).alias("actual_chapters"), other(13, "total_chapters", None).alias("published_chapters"), F.when(k % 14 == 0, "four").otherwise("fives").alias("description"),
+        F.when(k % 16 == 0, tags("one")).otherwise(tags("TWO", "One")).alias("tags"), F.when(k % 18 == 0, None).when(k % 19 == 0, "u?version=1").otherwise("u?x=2&v=1").alias("cover_url"), F.when(k % 17 == 0, "p").alias("parent_slug"),
     )
-    return audit.drift(rows.withColumn("tags", F.array(F.lit("A"), F.lit("b"))), actual, ["title", "total_chapters"], "tags")
+    return audit.release_drift(expected, actual)
 
 
 @query(

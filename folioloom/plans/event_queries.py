@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioloom.operators import events as ev
 
-from .stand_ins import EVENT_NOW, READINGS, books, reading_events
+from .stand_ins import EVENT_NOW, READINGS, books, reading_events, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -148,26 +148,99 @@ def bookshelf_set(spark, d):
     return reading_events(spark, d).where("event_type = 'bookshelf_add' and user_id is not null and book_id is not null").select("user_id", "book_id").distinct()
 
 
+UUID_SQL = "'(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$'"
+
+
 @query(
     "event_validation",
-    f"""WITH {READINGS}, shaped AS (
-      SELECT event_type || CASE WHEN event_id % 41 = 0 THEN '?' ELSE '' END AS event_type, book_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE chapter_number END AS chapter_number,
-             user_id, anonymous_id, CAST(round(value * 1000) AS BIGINT) AS reading_seconds FROM readings)
-    SELECT CASE WHEN event_type NOT IN {ev.EVENT_TYPES!r} THEN 'unknown event type' WHEN book_id IS NULL THEN 'book required'
-           WHEN event_type NOT IN {ev.BOOK_LEVEL!r} AND chapter_number IS NULL THEN 'chapter required'
-           WHEN user_id IS NULL AND coalesce(anonymous_id, '') = '' THEN 'reader required'
-           WHEN reading_seconds NOT BETWEEN 0 AND 86400 THEN 'seconds out of range' END AS rejection, count(*) AS n FROM shaped GROUP BY 1""",
+    f"""WITH shaped AS (
+      SELECT event_id, CASE event_id % 11 WHEN 0 THEN 'book_view' WHEN 1 THEN 'chapter_start' WHEN 2 THEN 'chapter_25' WHEN 3 THEN 'chapter_50' WHEN 4 THEN 'chapter_75' WHEN 5 THEN 'chapter_complete'
+               WHEN 6 THEN 'bookshelf_add' WHEN 7 THEN 'offline_download' WHEN 8 THEN 'chapter_progress' WHEN 9 THEN 'share' ELSE 'search' END AS event_type,
+             CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 19 = 0 THEN 'book-' || user_id ELSE '00000000-0000-4000-8000-' || lpad(CAST(user_id AS VARCHAR), 12, '0') END AS book_id,
+             CASE WHEN event_id % 13 = 0 THEN '' WHEN event_id % 23 = 0 THEN 'x' ELSE '00000000-0000-1000-a000-' || lpad(CAST(user_id AS VARCHAR), 12, '0') END AS chapter_id,
+             CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS user_id,
+             CASE WHEN event_id % 29 = 0 THEN 'anon-' || user_id ELSE 'AAAAAAAA-AAAA-5AAA-BAAA-' || lpad(CAST(user_id AS VARCHAR), 12, '0') END AS anonymous_id,
+             CASE WHEN event_id % 31 = 0 THEN NULL WHEN event_id % 37 = 0 THEN 1.5 ELSE round(value * 1000) END AS reading_seconds FROM events)
+    SELECT event_id, CASE WHEN event_type NOT IN ('book_view', 'chapter_start', 'chapter_25', 'chapter_50', 'chapter_75', 'chapter_complete', 'bookshelf_add', 'offline_download') THEN 'unknown event type'
+           WHEN book_id IS NULL THEN 'book required' WHEN NOT regexp_matches(book_id, {UUID_SQL}) THEN 'book is no UUID'
+           WHEN chapter_id <> '' AND NOT regexp_matches(chapter_id, {UUID_SQL}) THEN 'chapter is no UUID'
+           WHEN event_type NOT IN ('book_view', 'bookshelf_add') AND chapter_id = '' THEN 'chapter required'
+           WHEN reading_seconds < 0 OR reading_seconds > 86400 OR reading_seconds <> floor(reading_seconds) THEN 'seconds out of range'
+           WHEN user_id IS NULL AND NOT regexp_matches(anonymous_id, {UUID_SQL}) THEN 'reader required' END AS rejection FROM shaped""",
 )
 def event_validation(spark, d):
-    rows = reading_events(spark, d)
-    rows = rows.withColumns(
-        {
-            "event_type": F.concat("event_type", F.when(F.col("event_id") % 41 == 0, "?").otherwise("")),
-            "chapter_number": F.when(F.col("event_id") % 13 == 0, None).otherwise(F.col("chapter_number")),
-            "reading_seconds": F.round(F.col("value") * 1000).cast("long"),
-        }
+    k, user = F.col("event_id"), F.col("user_id").cast("string")
+    kinds = F.array(*[F.lit(x) for x in ("book_view", "chapter_start", "chapter_25", "chapter_50", "chapter_75", "chapter_complete", "bookshelf_add", "offline_download", "chapter_progress", "share", "search")])
+    told = lambda head: F.concat(F.lit(head), F.lpad(user, 12, "0"))
+    rows = table(spark, d, "events").select(
+        "event_id",
+        F.get(kinds, (k % 11).cast("int")).alias("event_type"),
+        F.when(k % 17 == 0, None).when(k % 19 == 0, F.concat(F.lit("book-"), user)).otherwise(told("00000000-0000-4000-8000-")).alias("book_id"),
+        F.when(k % 13 == 0, "").when(k % 23 == 0, "x").otherwise(told("00000000-0000-1000-a000-")).alias("chapter_id"),
+        F.when(k % 3 != 0, user).alias("user_id"),
+        F.when(k % 29 == 0, F.concat(F.lit("anon-"), user)).otherwise(told("AAAAAAAA-AAAA-5AAA-BAAA-")).alias("anonymous_id"),
+        F.when(k % 31 == 0, None).when(k % 37 == 0, 1.5).otherwise(F.round(F.col("value") * 1000)).alias("reading_seconds"),
     )
-    return ev.rejections(rows).groupBy("rejection").agg(F.count("*").alias("n"))
+    return ev.rejections(rows).select("event_id", "rejection")
+
+
+SCROLLS = "scrolls AS (SELECT user_id AS session_id, CAST(event_id * 7 % 101 AS INTEGER) AS percent, ts AS created_at, event_id FROM events)"
+
+
+def scrolls(spark, d):
+    rows = table(spark, d, "events")
+    return rows.select(F.col("user_id").alias("session_id"), (F.col("event_id") * 7 % 101).cast("int").alias("percent"), F.col("ts").cast("timestamp").alias("created_at"), "event_id")
+
+
+@query(
+    "scroll_checkpoints",
+    f"""WITH {SCROLLS} SELECT session_id, event_type, min(created_at) AS first_at FROM scrolls, (VALUES (25, 'chapter_25'), (50, 'chapter_50'), (75, 'chapter_75'), (98, 'chapter_complete')) AS v(share, event_type) WHERE percent >= share GROUP BY 1, 2""",
+)
+def scroll_checkpoints(spark, d):
+    return ev.scroll_checkpoints(scrolls(spark, d))
+
+
+@query("reading_time", "SELECT event_id, CAST(greatest(1, floor(CAST(round(value * 100) AS BIGINT) / 1000.0 + 0.5)) AS BIGINT) AS seconds FROM events")
+def reading_time(spark, d):
+    opened = F.col("ts").cast("timestamp")
+    closed = F.timestamp_millis(F.unix_millis(opened) + F.round(F.col("value") * 100).cast("long"))
+    return table(spark, d, "events").select("event_id", ev.reading_seconds(opened, closed).alias("seconds"))
+
+
+@query(
+    "debounced_progress",
+    f"""WITH {SCROLLS} SELECT event_id FROM (SELECT event_id, epoch_ms(lead(created_at) OVER (PARTITION BY session_id ORDER BY created_at, event_id)) - epoch_ms(created_at) AS waits FROM scrolls) WHERE waits IS NULL OR waits >= 7200000""",
+)
+def debounced_progress(spark, d):
+    return ev.debounced(scrolls(spark, d), "session_id", millis=7_200_000).select("event_id")
+
+
+@query(
+    "throttled_progress",
+    """WITH RECURSIVE rows AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    steps AS (SELECT user_id, event_id, k, ts AS kept_at, TRUE AS kept FROM rows WHERE k = 1
+      UNION ALL SELECT n.user_id, n.event_id, n.k, CASE WHEN n.ts > s.kept_at + INTERVAL 6 HOURS THEN n.ts ELSE s.kept_at END, n.ts > s.kept_at + INTERVAL 6 HOURS FROM steps s JOIN rows n ON n.user_id = s.user_id AND n.k = s.k + 1)
+    SELECT event_id, 'user:' || user_id AS actor FROM steps WHERE kept""",
+)
+def throttled_progress(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("created_at"), F.col("user_id").cast("string").alias("user_id"), F.lit(None).cast("string").alias("anonymous_id"))
+    return ev.throttled(rows, 6 * 3600)
+
+
+@query("purge_after_report", f"WITH {READINGS} SELECT count(*) FILTER (created_at >= TIMESTAMP '2024-01-16') AS kept, count(*) FILTER (created_at < TIMESTAMP '2024-01-16') AS going FROM readings")
+def purge_after_report(spark, d):
+    kept, going = ev.purge(reading_events(spark, d), "2024-01-16 00:00:00", "sent")
+    return kept.agg(F.count("*").alias("kept"), F.lit(going).cast("long").alias("going"))
+
+
+@query(
+    "report_table",
+    f"""WITH {READINGS}, {ROLLUP} SELECT '<tr><td>' || CASE WHEN book_id IS NULL THEN 'All books' WHEN book_id % 4 = 0 THEN 'Deleted book' ELSE coalesce('A &amp; B &lt;' || o_orderkey || '&gt;', 'Deleted book') END || '</td><td>' || event_type || '</td><td>'
+    || format('{{:,}}', event_count) || '</td><td>' || format('{{:,}}', unique_readers) || '</td></tr>' AS html FROM rollups LEFT JOIN orders ON o_orderkey = book_id""",
+)
+def report_table(spark, d):
+    named = books(spark, d).where("id % 4 <> 0").withColumn("title", F.concat(F.lit("A & B <"), F.col("id").cast("string"), F.lit(">")))
+    return ev.report_rows(ev.rollup_titles(ev.rollup(reading_events(spark, d)), named))
 
 
 @query("json_props", "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")

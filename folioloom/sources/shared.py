@@ -10,12 +10,16 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+#: Bytes of an Arrow batch on its way to Python; a row may have more.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, or a temporary folder where it is unset (local runs)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="folioloom-tables-"))
         base = "file://" + _LOCAL[0]
@@ -33,7 +37,10 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's modules to the executors, once an application."""
+    """Send this package's modules to the executors, once an application, and bound Arrow batches by bytes
+    unless the session does."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_folioloom_shipped", None) == context.applicationId:
         return

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioloom.functions import text
@@ -114,11 +115,11 @@ def test_manifests(spark):
 
 
 def test_ranks_and_hero(spark):
-    books = spark.createDataFrame([(k, "en", k % 3 == 0, "Romance", ["x"]) for k in range(100)], "id int, language_code string, is_featured boolean, category string, tags array<string>")
+    books = spark.createDataFrame([(k, "en", k % 3 == 0, "Romance", ["x"], "c" if k > 4 else None) for k in range(100)], "id int, language_code string, is_featured boolean, category string, tags array<string>, cover_url string")
     got = {r.id: r["rank"] for r in catalog.ranked(books, F.desc("is_featured"), F.col("id")).collect()}
     order = sorted(range(100), key=lambda k: (k % 3 != 0, k))
     assert got == {k: i + 1 for i, k in enumerate(order)}
-    assert catalog.hero(books).first().id == 0
+    assert catalog.hero(books).first().id == 6 and catalog.editors_choice(books, "is_featured").first().id == 0
     assert catalog.search(books, " ROM ", ["category"]).count() == 100 and catalog.search(books, "zzz", ["category"]).count() == 0
     assert one(spark, F.size(publish.middle_insert(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda x: x.cast("string")), F.lit("ad")))) == 21
 
@@ -154,7 +155,8 @@ def test_transfers_and_matches(spark):
     assert sorted(r.path for r in audit.to_transfer(files, have).collect()) == ["b", "c"]
     slugs = spark.createDataFrame([("red-moon",), ("red-moon-sw",), ("sun",)], "slug string")
     ids = spark.createDataFrame([("2026-01-01_red_moon",), ("2026-01-01_red",)], "book_id string")
-    assert sorted(map(tuple, audit.match_ids(slugs, ids).collect())) == [("red-moon", "2026-01-01_red_moon"), ("red-moon-sw", "2026-01-01_red_moon"), ("sun", None)]
+    assert sorted(map(tuple, audit.match_ids(slugs, ids).collect())) == [("red-moon", "2026-01-01_red"), ("red-moon-sw", "2026-01-01_red"), ("sun", "2026-01-01_red")]
+    assert {r.book_id for r in audit.match_ids(slugs, ids.limit(0)).collect()} == {None}
     left = spark.createDataFrame([(1, "ab c"), (2, "x")], "k int, t string")
     right = spark.createDataFrame([(1, "c\nba"), (2, "y")], "k int, t string")
     assert {r.k: r.same for r in audit.same_characters(left, right, "k", "t").collect()} == {1: True, 2: False}
@@ -177,3 +179,39 @@ def test_report_and_throttle(spark):
     at = dt.datetime(2024, 1, 1)
     frame = spark.createDataFrame([(k, at + dt.timedelta(seconds=s), "u", None) for k, s in enumerate([0, 5, 13, 20])], "event_id long, created_at timestamp, user_id string, anonymous_id string")
     assert sorted(r.event_id for r in ev.throttled(frame).collect()) == [0, 2]
+
+
+def test_snapshots_and_builds(spark, tmp_path):
+    hashes = spark.createDataFrame([("a", "1"), ("b", "2")], "slug string, content_hash string")
+    publish.write_build(hashes, f"{tmp_path}/build", 3, "code")
+    before = spark.read.json(f"{tmp_path}/build")
+    assert {tuple(r) for r in publish.rebuild(hashes, before, "code").collect()} == {("a", "unchanged"), ("b", "unchanged")}
+    assert {r.state for r in publish.rebuild(hashes, before, "other").collect()} == {"changed"}
+    publish.write_snapshot(hashes, f"{tmp_path}/catalogue")
+    assert spark.read.json(f"{tmp_path}/catalogue").count() == 2
+    index = publish.sitemap_index("2000-01-01")
+    assert index.count("<sitemap>") == 4 and "sitemap-books-sw.xml" in index
+    assert publish.robots(["SomeBot"], ["/admin/"]).split("\n")[:3] == ["User-agent: *", "Allow: /", "Disallow: /admin/"]
+
+
+def test_guards(spark):
+    books = spark.createDataFrame([(1, "a"), (2, "b")], "id int, slug string")
+    for slugs, said in (([], None), (["Not a slug"], None), ([f"s{k}" for k in range(51)], None), ([], "delete all books")):
+        with pytest.raises(ValueError):
+            ingest.guarded_delete(books, slugs, said)
+    stay, gone, missing = ingest.guarded_delete(books, ["a", "c"])
+    assert [[r.slug for r in part.collect()] for part in (stay, gone, missing)] == [["b"], ["a"], ["c"]]
+
+
+def test_shared_folder_is_asked_for(spark, monkeypatch):
+    from folioloom.sources import shared
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default=None: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        shared.root(Cluster())

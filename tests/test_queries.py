@@ -1,6 +1,7 @@
 """Every registered query of the engine's own operators against its SQL in DuckDB."""
 
 import datetime as dt
+import re
 
 import duckdb
 import pytest
@@ -40,6 +41,16 @@ def test_query(spark, sf_dir, oracle, name):
     assert sorted(tuple(plain(r[c]) for c in columns) for r in rows) == expected
 
 
+def test_ngram_phrases(spark, sf_dir):
+    got = {r.doc_id: r.phrases for r in registry.QUERIES["ngram_phrases"](spark, sf_dir).collect()}
+    marks = dict(zip("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy", strict=True))
+    for doc, passage in duckdb.execute(f"SELECT doc_id, text FROM '{sf_dir}/documents.parquet'").fetchall():
+        plain_text = "".join(marks.get(c, c) for c in passage.lower())
+        words = re.findall("[a-z0-9]+", re.sub(r"^#{1,6}\s+|^[_*]+|[_*]+$", "", plain_text.strip()))
+        assert got.pop(doc) == len({" ".join(words[k : k + n]) for n in range(1, 13) for k in range(len(words) - n + 1)})
+    assert not got
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -16,7 +16,7 @@ def made(n=400):
     for k in range(n):
         who = rng.randrange(5)
         at = start + dt.timedelta(seconds=rng.randrange(1800) + 1800 * (k // 100))
-        rows.append((k, at, str(who) if who else None, f"anon-{who}", rng.choice(ev.EVENT_TYPES[:5]), rng.choice([None, 1, 2]), rng.choice([None, 1, 2]), rng.choice([None, 5, -1])))
+        rows.append((k, at, str(who) if who else None, f"0000000{who}-0000-4000-8000-000000000000", rng.choice(ev.EVENT_TYPES[:5]), rng.choice([None, 1, 2]), rng.choice([None, 1, 2]), rng.choice([None, 5, -1])))
     return rows
 
 
@@ -74,7 +74,7 @@ def test_unique_readers(spark, arrived, tmp_path):
 
 
 def test_parsing(spark):
-    raw = spark.createDataFrame([('{"event_id": 1, "event_type": "book_view", "book_id": 2, "anonymous_id": "a"}',), ("{broken",), ('{"x": "' + "y" * 5000 + '"}',)], "value string")
+    raw = spark.createDataFrame([('{"event_id": 1, "event_type": "book_view", "book_id": 2, "anonymous_id": "aaaaaaaa-aaaa-4aaa-8aaa-aaaaaaaaaaaa"}',), ("{broken",), ('{"x": "' + "y" * 5000 + '"}',)], "value string")
     rows = stream.parsed(raw).collect()
     assert [r.event_id for r in rows] == [1, None, None]
     assert stream.accepted(stream.parsed(raw)).count() == 1
