@@ -13,7 +13,8 @@ mask drops; what then meets agrees on all but about 14 bits, which bounds every
 
 Defined results: a null or blank text has fingerprint zero, linked like any other; fewer than three
 words make one shingle; rows with a null doc_id get a component but never name one (its id is null if
-all its doc_ids are); repeated rows each get a row; an empty table gives an empty table.
+all its doc_ids are); repeated rows each get a row; very long texts are read whole, in memory by their number of
+words; an empty table gives an empty table; further columns are left out (``deduplicate`` passes them as they are).
 """
 
 from __future__ import annotations
@@ -195,19 +196,20 @@ def clusters(docs: DataFrame, key: str = "doc_id", width: int = SHINGLE, radius:
 def deduplicate(docs: DataFrame, key: str = "doc_id", width: int = SHINGLE, radius: int = RADIUS, hot: int = HOT_BUCKET) -> DataFrame:
     """``docs`` with one row of each component: that of the least key, known keys first.
 
-    Among rows of that key and fingerprint the one with the least text hash stays. Texts are not
+    Among rows of that key and fingerprint the one with the least hash of the row stays. Texts are not
     written aside: they are fingerprinted again as they are read for the result.
     """
+    docs, names, restored = common.guarded(docs, key, "text")
     mark = [F.col(key).isNull().alias("_null"), F.coalesce(F.col(key), F.lit(0)).alias("_key")]
     known = common.materialise(fingerprints(docs, [key], width).select(*mark, "fp"), "fingerprints")
     # one row of each fingerprint before components are joined: copies weigh nothing there
     first = common.materialise(known.groupBy("fp").agg(F.min(F.struct("_null", "_key")).alias("_first")), "distinct")
     named = named_roots(first.select("fp"), radius, hot)
     stay = first.join(named, "fp").groupBy("_root").agg(F.min(F.struct("_first", "fp")).alias("_row")).select("_row._first._null", "_row._first._key", "_row.fp")
-    whole = fingerprints(docs, docs.columns, width).select(*docs.columns, *mark, "fp")
+    whole = fingerprints(docs, names, width).select(*names, *mark, "fp")
     joined = whole.join(stay, ["_null", "_key", "fp"], "left_semi")
-    place = F.row_number().over(Window.partitionBy("_null", "_key", "fp").orderBy(F.xxhash64("text")))
-    return joined.withColumn("_place", place).where("_place = 1").select(*docs.columns)
+    place = F.row_number().over(Window.partitionBy("_null", "_key", "fp").orderBy(F.xxhash64(*names)))
+    return restored(joined.withColumn("_place", place).where("_place = 1"))
 
 
 def fingerprint_hex(fp):

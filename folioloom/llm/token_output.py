@@ -7,8 +7,8 @@ lengths, the word offset of every Simple-8b block and the coded words. ``seq`` a
 Spark's commit protocol writes the table, so a lost executor leaves no torn file.
 
 Defined results: a null text is empty and has the end id alone; null doc_ids come first;
-rows that share a doc_id follow in the order of their texts' hash; an empty table gives an
-empty table; further columns are ignored.
+rows that share a doc_id follow in the order of their texts' hash; a very long text is one document of
+one segment, however large; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ Defined results: a null url, or one without ``://``, has an empty host and an em
 rule fits it. An empty path begins with no rule path but the empty one. Among fitting rules the
 one with most characters (host and path) wins, ties go to the longer host, then to the larger
 rule text. Where no rule fits, ``rule`` is null and the verdict is ``default``. Repeated rows
-each get a row, empty tables give empty results, further columns are left out.
+each get a row, urls of any length are read whole, empty tables give empty results, further columns are left out.
 """
 
 from __future__ import annotations
