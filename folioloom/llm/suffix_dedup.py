@@ -15,7 +15,8 @@ removed. All starts are judged, exactly, in three steps that keep the sorting lo
    a neighbour in the array reaches ``length``.
 
 A bucket of over ``HOT_SEGMENTS`` distinct segments (a passage within very many different texts) is
-not brought to one task: its windows are counted by digest instead, which is exact too.
+not brought to one task: its windows are counted by digest instead, which is exact too, and the digests that
+occur twice are looked up (if few, broadcast; else in a join).
 
 Defined results: null texts are empty; texts shorter than ``length`` lose nothing; copies of a text
 remove each other; repeated rows and repeated or null doc_ids are documents of their own; a very long text is
@@ -38,6 +39,8 @@ from . import common
 LENGTH = 400
 GRAM = 64
 HOT_SEGMENTS = 2000
+#: Digests of strings repeated in such buckets up to which they are broadcast, 8 MB; more meet in a join.
+BROADCAST_WINDOWS = 1 << 19
 #: Bytes that are suffix-sorted at once (more only if one bucket has more).
 SORT_BYTES = 1 << 20
 #: Bytes of texts that are searched for anchors at once; a longer text is cut into overlapping parts.
@@ -377,6 +380,21 @@ def _window_digests(batches, length):
             )
 
 
+def _repeated_windows(batches, length, held):
+    """Ranges of a segment's starts whose strings have one of the ``held`` digests (two sorted arrays)."""
+    first, second = held.value
+    for batch in batches:
+        out = []
+        for s1, s2, segment in zip(common.column(batch, "s1").to_pylist(), common.column(batch, "s2").to_pylist(), common.column(batch, "segment"), strict=True):
+            view = memoryview(segment.as_py())
+            found = digests(view[k : k + length] for k in range(len(view) - length + 1))
+            low, high = np.searchsorted(first, found[:, 0], "left"), np.searchsorted(first, found[:, 0], "right")
+            again = np.array([x < y and bool((second[x:y] == d).any()) for x, y, d in zip(low.tolist(), high.tolist(), found[:, 1].tolist(), strict=True)])
+            out += [(s1, s2, a, b) for a, b in runs(again)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], names=["s1", "s2", "low", "high"])
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT_SEGMENTS, gram: int = GRAM) -> DataFrame:
     """(c1, c2, ranges): for each distinct text that has any, the ranges of repeated starts.
 
@@ -399,10 +417,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT_SEGMENT
     whole = texts.mapInArrow(lambda b: _distinct(b, length), "c1 long, c2 long, _bytes binary")
     cut = common.materialise(whole.join(wanted, ["c1", "c2"]).mapInArrow(lambda b: _cut(b, length), _CUT_SCHEMA), "cut")
     found = cut.where("not hot").select("h", "s1", "s2", "segment").repartition(n, "h").sortWithinPartitions("h").mapInArrow(lambda b: _sorted_ranges(b, length), _RANGE_SCHEMA)
-    windows = cut.where("hot").dropDuplicates(["s1", "s2"]).mapInArrow(lambda b: _window_digests(b, length), "s1 long, s2 long, low long, w1 long, w2 long")
-    windows = common.materialise(windows, "windows")
-    twice = common.materialise(windows.groupBy("w1", "w2").agg(F.count("*").alias("_k")).where("_k > 1"), "twice")
-    counted = windows.join(twice, ["w1", "w2"]).select("s1", "s2", "low", (F.col("low") + 1).alias("high"))
+    many = common.materialise(cut.where("hot").dropDuplicates(["s1", "s2"]).select("s1", "s2", "segment"), "hot")
+    windows = many.mapInArrow(lambda b: _window_digests(b, length), "s1 long, s2 long, low long, w1 long, w2 long")
+    twice = common.materialise(windows.groupBy("w1", "w2").agg(F.count("*").alias("_k")).where("_k > 1").select("w1", "w2"), "twice")
+    if twice.count() <= BROADCAST_WINDOWS:  # few distinct strings, however often each occurs
+        table = twice.orderBy("w1").toArrow()
+        held = spark.sparkContext.broadcast((table["w1"].to_numpy(), table["w2"].to_numpy()))
+        counted = many.mapInArrow(lambda b: _repeated_windows(b, length, held), _RANGE_SCHEMA)
+    else:
+        counted = common.materialise(windows, "windows").join(twice, ["w1", "w2"]).select("s1", "s2", "low", (F.col("low") + 1).alias("high"))
     copied = kinds.where("n > 1").select("s1", "s2", F.lit(0).cast("long").alias("low"), F.col("m").alias("high"))
     ranges = common.materialise(copied.unionByName(found).unionByName(counted), "ranges")
     placed = anchors.select("s1", "s2", "c1", "c2", "lo").join(ranges, ["s1", "s2"])

@@ -61,8 +61,9 @@ def made_texts(length):
     return texts
 
 
-@pytest.mark.parametrize(("length", "hot"), [(400, 2000), (400, 2), (200, 2000)])
-def test_removal(spark, length, hot):
+@pytest.mark.parametrize(("length", "hot", "broadcast"), [(400, 2000, 9999), (400, 2, 9999), (400, 2, 0), (200, 2000, 9999)])
+def test_removal(spark, monkeypatch, length, hot, broadcast):
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_WINDOWS", broadcast)
     texts = made_texts(length)
     frame = spark.createDataFrame([(k if k % 7 else None, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, n_bytes int").repartition(3)
     got = suffix_dedup.remove_repeats(frame, ["doc_id"], length, hot).drop("kept").collect()
