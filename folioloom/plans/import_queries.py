@@ -180,7 +180,7 @@ def single_imports(spark, d):
     n AS (SELECT b.id, b.status, count(s.book_id) AS total FROM b LEFT JOIN s ON s.book_id = b.id GROUP BY ALL)
     SELECT 'staged' AS step, id, 0 AS number, coalesce(CASE WHEN n.id IS NULL THEN books.status END, 'draft') AS status, CASE WHEN n.id IS NULL THEN published_at END AS published_at, coalesce(total, total_chapters) AS total FROM books LEFT JOIN n USING (id)
     UNION ALL SELECT 'final', id, 0, coalesce(n.status, books.status), CASE WHEN n.id IS NULL THEN published_at WHEN n.status = 'published' THEN TIMESTAMP '{NOW}' END, coalesce(total, total_chapters) FROM books LEFT JOIN n USING (id)
-    UNION ALL SELECT 'chapters', book_id, chapter_number, status, CASE WHEN book_id % 10 = 0 THEN TIMESTAMP '{NOW}' ELSE published_at END, 0 FROM chapters c WHERE book_id % 10 <> 0 OR chapter_number % 2 = 1 AND book_id NOT IN (SELECT book_id FROM s WHERE FALSE)""".replace("SELECT 'chapters', book_id, chapter_number, status,", "SELECT 'chapters', book_id, chapter_number, CASE WHEN book_id % 10 = 0 THEN 'published' ELSE status END,").replace(" AND book_id NOT IN (SELECT book_id FROM s WHERE FALSE)", ""),
+    UNION ALL SELECT 'chapters', book_id, chapter_number, CASE WHEN book_id % 10 = 0 THEN 'published' ELSE status END, CASE WHEN book_id % 10 = 0 THEN TIMESTAMP '{NOW}' ELSE published_at END, 0 FROM chapters WHERE book_id % 10 <> 0 OR chapter_number % 2 = 1""",
 )
 def publication_steps(spark, d):
     all_books, all_chapters = books(spark, d), chapters(spark, d)
