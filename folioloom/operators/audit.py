@@ -215,3 +215,18 @@ def retry_waits(attempts: DataFrame) -> DataFrame:
     doubled = F.least(F.lit(LONGEST_WAIT), F.lit(FIRST_WAIT) * F.pow(F.lit(2), F.col("attempt") - 1)).cast("long")
     asked = F.when(F.col("retry_after_seconds").isNotNull(), F.least(F.lit(LONGEST_ASKED), F.col("retry_after_seconds") * 1000)).cast("long")
     return attempts.withColumn("wait_ms", F.when(again, F.coalesce(asked, doubled)))
+
+
+def recorded(publishes: DataFrame, books: DataFrame, releases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The log of publications with ``releases`` added, and the books with the outcome of their last one: to be published together.
+
+    ``releases`` have book_id, result, remote_status, slug, error and finished_at. A release that is logged already
+    is not logged again; one of a book that is not there is left out, as it would have no parent.
+    """
+    known = releases.join(books.select("book_id"), "book_id", "left_semi").select(publishes.columns)
+    log = publishes.unionByName(known).distinct()
+    last = known.groupBy("book_id").agg(F.max_by(F.struct("result", "slug", "finished_at", "error"), F.struct("finished_at", "result", "slug", "error")).alias("_last"))
+    new = {"publish_state": "result", "published_slug": "slug", "published_at_remote": "finished_at", "last_error": "error"}
+    both = books.join(last, "book_id", "left")
+    updated = both.withColumns({column: F.when(F.col("_last").isNotNull(), F.col(f"_last.{field}")).otherwise(F.col(column)) for column, field in new.items()})
+    return log, updated.select(books.columns)

@@ -26,6 +26,11 @@ def known_actor() -> Column:
     return F.nullif(actor(), F.lit(""))
 
 
+def reader_key() -> Column:
+    """Who a limit applies to: the account, else the anonymous id; null if there is neither."""
+    return F.when(F.col("user_id").isNotNull(), F.concat(F.lit("user:"), "user_id")).otherwise(F.concat(F.lit("anonymous:"), F.nullif(F.col("anonymous_id"), F.lit(""))))
+
+
 def rollup(events: DataFrame) -> DataFrame:
     """Events and distinct readers by month, book and type."""
     month = F.date_trunc("month", "created_at")
