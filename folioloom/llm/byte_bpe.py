@@ -16,8 +16,9 @@ A token whose own bytes merge into others is reachable only as a whole match, wh
 so does this module. If a token's parts have higher ranks than itself, the pairwise rule does not hold: the
 vocabulary is then encoded by its merges, step by step (``Merges.run``).
 
-Each distinct match of the splitting pattern is encoded once while it is in a worker's store, of bounded size. Decoding
-takes ids in chunks: an incremental UTF-8 machine holds the bytes of an unfinished character back for the next chunk.
+No match of the splitting pattern goes on after a space or a line feed between two characters that are no white space
+(``Encoder``), so texts are cut there without the pattern, and each distinct unit is split and encoded once
+while it is in a worker's store, of bounded size. Decoding takes ids in chunks: an incremental UTF-8 machine holds the bytes of an unfinished character back for the next chunk.
 
 Defined results: a null or empty text has no ids and decodes to nothing; a match of any length takes time in proportion
 to it; a very long text is split and decoded in chunks, though its ids are one row; bytes that are not UTF-8 are read as
@@ -40,8 +41,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Matches kept a worker, and the most characters of one that is kept; states and judged pairs of tokens.
-STORE_PIECES, STORE_CHARS, MOST_STATES, MOST_PAIRS = 200_000, 48, 200_000, 500_000
+#: Units kept a worker, and the most characters of one that is kept; states and judged pairs of tokens.
+STORE_PIECES, STORE_CHARS, MOST_STATES, MOST_PAIRS = 150_000, 48, 120_000, 400_000
 #: Matches, and ids, taken at once of one text.
 CHUNK = 1 << 16
 ID = np.dtype("<u4")
@@ -197,6 +198,9 @@ class Transducer:
         token, held = ended
         if not places:
             found = (self._state(((0, token, ()),)), held)
+        elif not places[0][2]:  # the oldest place holds nothing back: nothing is common
+            places.append((0, token, held))
+            found = (self._state(tuple(places)), ())
         else:
             common = 0
             for own in zip(held, *(place[2] for place in places)):  # noqa: B905 as far as the shortest goes
@@ -238,36 +242,71 @@ class Transducer:
         return self.merges.run(piece)
 
 
-class Encoder(dict):
-    """Matches to their ids as bytes; what is missing is encoded. When it is full, it becomes the older of two
-    generations: what is still asked for is taken over from there, the rest goes with it."""
-
-    def __init__(self, path: str, pattern: str):
-        import regex
+class Store(dict):
+    """Units to their ids as bytes; what is missing is made. When it is full, it becomes the older of two generations:
+    what is still asked for is taken over from there, the rest goes with it."""
 
+    def __init__(self, make):
         super().__init__()
-        self.transducer = Transducer(read_ranks(path))
-        self.pattern = regex.compile(pattern)
+        self.make = make
         self.older: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.older.get(unit)
         if ids is None:
-            ids = np.array(self.transducer.encode(piece.encode()), dtype=ID).tobytes()
-        if len(piece) <= STORE_CHARS:
+            ids = self.make(unit)
+        if len(unit) <= STORE_CHARS:
             if len(self) >= STORE_PIECES:
                 self.older = dict(self)
                 self.clear()
-            self[piece] = ids
+            self[unit] = ids
         return ids
 
+
+class Encoder:
+    """Texts to ids.
+
+    With ``units``, for patterns like the public one, a text is cut before each space, and around each line feed, that
+    stands between two characters that are no white space: there a match ends and another begins, as a space can only
+    be the first character of a match that is not all white space, and a line feed one of its own. So what
+    lies between (``words``: with the space before it; ``heads``: at the beginning of a line) is split alike
+    wherever it stands. Texts with other white space are split by the pattern.
+    """
+
+    #: The patterns for which this holds.
+    UNITS = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",)
+
+    def __init__(self, path: str, pattern: str):
+        import regex
+
+        self.transducer = Transducer(read_ranks(path))
+        self.pattern = regex.compile(pattern)
+        self.loose = regex.compile(r"\s[ \n]|[ \n]\s|^[ \n]|[ \n]\Z") if pattern in self.UNITS else None
+        self.words, self.heads = Store(lambda unit: self._split(" " + unit)), Store(self._split)
+
+    def _split(self, unit: str) -> bytes:
+        pieces = self.pattern.findall(unit)
+        if len(pieces) == 1:
+            return np.array(self.transducer.encode(unit.encode()), dtype=ID).tobytes()
+        return b"".join([self.words[p[1:]] if len(p) > 1 and p[0] == " " and p[1] != " " else self.heads[p] for p in pieces])
+
     def ids(self, text: str) -> bytes:
+        if self.loose is not None and text and not self.loose.search(text):
+            known, head = self.words.__getitem__, self.heads
+            lines = []
+            for line in text.split("\n"):
+                first, *rest = line.split(" ")
+                lines.append(head[first] + b"".join(map(known, rest)))
+            return head["\n"].join(lines)
         found = (m[0] for m in self.pattern.finditer(text))
         chunks = []
         while part := list(islice(found, CHUNK)):
-            chunks.append(b"".join(map(self.__getitem__, part)))
+            chunks.append(b"".join(map(self._kept, part)))
         return b"".join(chunks)
 
+    def _kept(self, piece: str) -> bytes:
+        return self.heads[piece]
+
 
 def _utf8_machine() -> list[list[int]]:
     """[state][byte] to state: 0 a whole character, 1 to 3 so many bytes to come, 4 to 7 the second byte after E0, ED, F0

@@ -303,7 +303,27 @@ def test_store_keeps_what_is_asked_for(monkeypatch, public):
     tool = byte_bpe.Encoder(queries.tokenizer_path(MULTI), public_tokenizers.PATTERN)
     text = " ".join(f"word{k % 13}" for k in range(100))
     assert np.frombuffer(tool.ids(text), "<u4").tolist() == public[1].encode_ordinary(text)
-    assert len(tool) <= 5 and len(tool.older) <= 5
+    assert len(tool.words) <= 5 and len(tool.words.older) <= 5
+
+
+@settings(deadline=None, max_examples=400)
+@given(st.text(alphabet="ab'sé1½.,-日 \n\t\r\x1c\u00a0\u3000", max_size=40))
+def test_units_are_split_as_the_whole(transducer_encoder, text):
+    tool, library = transducer_encoder
+    assert np.frombuffer(tool.ids(text), "<u4").tolist() == library.encode_ordinary(text)
+
+
+@pytest.fixture(scope="module")
+def transducer_encoder(public):
+    import public_tokenizers
+
+    tool = byte_bpe.Encoder(queries.tokenizer_path(MULTI), public_tokenizers.PATTERN)
+    assert tool.loose is not None
+    return tool, public[1]
+
+
+def test_other_patterns_are_not_cut():
+    assert byte_bpe.Encoder(queries.tokenizer_path(MULTI), r"\S+\s*|\s+").loose is None
 
 
 # --- the queries
