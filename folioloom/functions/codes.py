@@ -43,3 +43,14 @@ def unmasked(c: Column, key: Column) -> Column:
     places = F.when(F.length(digits) > 0, F.sequence(F.lit(1), F.length(digits), F.lit(2))).otherwise(F.array().cast("array<int>"))
     signs = F.transform(places, lambda k: F.char(F.conv(F.substr(digits, k, F.lit(2)), 16, 10).cast("int").bitwiseXOR(key.cast("int"))))
     return F.url_decode(F.replace(F.array_join(signs, ""), F.lit("+"), F.lit("%2B")))
+
+
+def sealed(c: Column, key: Column, bound: Column) -> Column:
+    """Text under AES-GCM with a fresh initial vector, which is put first; the tag is put last. ``bound`` (say the book and
+    chapter) is no part of it, and must be the same for it to be opened. ``key`` has 16, 24 or 32 bytes."""
+    return F.aes_encrypt(c.cast("binary"), key, F.lit("GCM"), F.lit("DEFAULT"), F.lit("").cast("binary"), bound)
+
+
+def opened(c: Column, key: Column, bound: Column) -> Column:
+    """The text that was sealed; null if a byte, the key or ``bound`` differs."""
+    return F.try_aes_decrypt(c, key, F.lit("GCM"), F.lit("DEFAULT"), bound).cast("string")

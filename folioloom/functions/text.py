@@ -115,6 +115,13 @@ def normalize_tags(tags: Column) -> Column:
     return F.filter(clean, lambda t, i: F.array_position(lower, F.lower(t)) == i + 1)
 
 
+def tag_list(c: Column) -> Column:
+    """Tags out of a text: a JSON array, of which only strings count, or else values between commas; none for null."""
+    listed = F.try_variant_get(F.try_parse_json(c), "$", "array<variant>")
+    strings = F.transform(F.filter(listed, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.try_variant_get(v, "$", "string"))
+    return F.when(c.isNull(), F.array().cast("array<string>")).when(F.substring(js_trim(c), 1, 1) == "[", F.coalesce(strings, F.split(c, ","))).otherwise(F.split(c, ","))
+
+
 def tag_key(tags: Column) -> Column:
     """Equal for equal multisets of tags without regard to case."""
     return F.array_sort(F.transform(tags, F.lower))
@@ -191,6 +198,11 @@ def block_kind(c: Column) -> Column:
     return kind
 
 
+def blocks(c: Column, mark: str = "\\n\\s*\\n") -> Column:
+    """The blocks of a text, in order: structs of kind and text."""
+    return F.transform(paragraphs(c, mark), lambda p: F.struct(block_kind(p).alias("kind"), p.alias("text")))
+
+
 def strip_markup(c: Column) -> Column:
     return F.regexp_replace(c, "(?m)^#{1,6}[ \\t]+", "")
 

@@ -148,16 +148,48 @@ def to_transfer(source: DataFrame, present: DataFrame, key: str = "path", size:
 
 def match_ids(slugs: DataFrame, ids: DataFrame) -> DataFrame:
     """(slug, book_id): the first of the ids ``<date>_<name>``, in their order, that ends with the slug, or whose name
-    the slug contains with ``_`` for ``-``; else the first id; null if there is none.
+    the slug contains with ``_`` for ``-``; null if none does. An id without a name is contained in every slug.
 
-    Any place of a name in a slug may match, so slugs meet the ids of a build in a nested loop. The ids are
-    those of one build, and come as one row: an array.
+    Both conditions are equal keys first. An id meets a slug in its own suffixes. A name meets a slug in its
+    first 2^k characters, the most that it has, which stand at some place of the slug; what met is then compared whole.
     """
-    listed = ids.agg(F.array_sort(F.collect_list("book_id")).alias("_ids"))
-    spelled = F.replace(F.col("slug"), F.lit("-"), F.lit("_"))
-    name = lambda i: F.array_join(F.slice(F.split(i, "_"), F.lit(2), F.greatest(F.size(F.split(i, "_")) - 1, F.lit(0))), "_")
-    fit = lambda i: i.endswith(F.col("slug")) | F.contains(spelled, name(i))
-    return slugs.crossJoin(F.broadcast(listed)).select("slug", F.coalesce(F.try_element_at(F.filter("_ids", fit), F.lit(1)), F.try_element_at("_ids", F.lit(1))).alias("book_id"))
+    texts = slugs.select("slug").where(F.length("slug") > 0).distinct()
+    named = ids.select("book_id").where("book_id is not null").distinct().withColumn("_name", F.regexp_extract("book_id", "^[^_]*_(.*)$", 1))
+    ends = named.select("book_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("book_id")), lambda k: F.expr("book_id").substr(k, F.length("book_id")))).alias("slug"))
+    by_end = ends.join(texts, "slug").groupBy("slug").agg(F.min("book_id").alias("_id"))
+
+    powers = F.array(*[F.lit(1 << k) for k in range(11)])
+    with_name = named.where(F.length("_name").between(1, 2047)).withColumn("_q", F.array_max(F.filter(powers, lambda q: q <= F.length("_name"))))
+    spelled = texts.withColumn("_spelled", F.replace("slug", F.lit("-"), F.lit("_")))
+    places = F.transform(F.sequence(F.lit(1), F.length("_spelled")), lambda p: F.transform(F.filter(powers, lambda q: q <= F.length("_spelled") - p + 1), lambda q: F.struct(q.alias("_q"), F.col("_spelled").substr(p, q).alias("_gram"))))
+    grams = spelled.select("slug", "_spelled", F.explode(F.array_distinct(F.flatten(places))).alias("_g")).select("slug", "_spelled", "_g.*")
+    met = grams.join(with_name.select("book_id", "_name", "_q", F.col("_name").substr(F.lit(1), F.col("_q")).alias("_gram")), ["_q", "_gram"])
+    by_name = met.where(F.contains("_spelled", "_name")).groupBy("slug").agg(F.min("book_id").alias("_id"))
+
+    any_ = named.where("_name = ''").agg(F.min("book_id").alias("_any"))  # one row
+    best = by_end.unionByName(by_name).groupBy("slug").agg(F.min("_id").alias("_id"))
+    both = slugs.join(best, "slug", "left").join(F.broadcast(any_))
+    return both.select("slug", F.least("_id", F.when(F.length("slug") > 0, F.col("_any"))).alias("book_id"))
+
+
+#: Fixed value: entries of a page of a folder's listing.
+LISTING_PAGE = 200
+
+
+def folder_pages(files: DataFrame, page: int = LISTING_PAGE) -> DataFrame:
+    """(folder, name, is_folder, position, page) of every entry of every folder above ``files`` (path), folders first, then by name.
+
+    Entries are ranked over all folders at once, so a folder of any size is in many tasks.
+    """
+    from .catalog import ranked
+
+    parts = F.filter(F.split("path", "/"), lambda x: x != "")
+    entry = lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k - 1), "/").alias("folder"), F.element_at(parts, k).alias("name"), (k < F.size(parts)).alias("is_folder"))
+    listed = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), entry)).alias("_e")).select("_e.*").distinct()
+    placed = ranked(listed, F.col("folder"), F.desc("is_folder"), F.col("name"))
+    first = placed.groupBy("folder").agg(F.min("rank").alias("_first"))
+    position = F.col("rank") - F.col("_first")
+    return placed.join(first, "folder").select("folder", "name", "is_folder", (position + 1).alias("position"), (F.floor(position / page) + 1).cast("long").alias("page"))
 
 
 def same_characters(left: DataFrame, right: DataFrame, key: str, column: str) -> DataFrame:

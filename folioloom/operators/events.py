@@ -71,6 +71,25 @@ def indicators(events: DataFrame, now: str) -> DataFrame:
     )
 
 
+def dashboard(events: DataFrame, books: DataFrame, now: str) -> DataFrame:
+    """One row: the indicators of seven days, the readers of today and the published books. Events are read once."""
+    at = F.lit(now).cast("timestamp")
+    recent = (F.col("created_at") >= at - F.expr("INTERVAL 7 DAYS")) & (F.col("created_at") <= at)
+    today = (F.col("created_at") >= F.date_trunc("day", at)) & (F.col("created_at") <= at)
+    is_a = lambda kind: recent & (F.col("event_type") == kind)
+    # two counts of one kind of aggregate: distinct readers, and plain ones by reader first, so that none is expanded
+    each = events.where(recent | today).groupBy(known_actor().alias("actor")).agg(
+        F.count_if(is_a("book_view")).alias("views"),
+        F.count_if(is_a("offline_download")).alias("downloads"),
+        F.count_if(is_a("chapter_complete") & (F.col("chapter_number") == 1)).alias("first_chapter_completions"),
+        F.count_if(is_a("chapter_start") & (F.col("chapter_number") == 3)).alias("third_chapter_starts"),
+        F.max(today).alias("_today"),
+    )
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("views", "downloads", "first_chapter_completions", "third_chapter_starts")]
+    row = each.agg(*sums, F.count_if(F.col("_today") & F.col("actor").isNotNull()).alias("readers_today"))
+    return row.join(F.broadcast(books.agg(F.count_if(F.col("status") == "published").alias("published"))))  # single rows
+
+
 def readers_per_day(events: DataFrame) -> DataFrame:
     return events.groupBy(F.col("created_at").cast("date").alias("day")).agg(F.countDistinct(known_actor()).alias("readers"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioloom.functions import text
+from folioloom.sources.shared import written
 
 SITE = "https://example.org"
 
@@ -127,6 +128,55 @@ def sitemap_index(today: str) -> str:
     return f'<?xml version="1.0" encoding="UTF-8"?>\n<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">{children}</sitemapindex>\n'
 
 
+#: The most addresses and bytes of a site map, and the most site maps of an index; a map's head and foot take some bytes.
+MAP_URLS, MAP_BYTES, MAP_FRAME, INDEX_MAPS = 50_000, 50 * 1024 * 1024, 512, 50_000
+
+
+def split_sitemap(elements: DataFrame, most_urls: int = MAP_URLS, most_bytes: int = MAP_BYTES - MAP_FRAME) -> DataFrame:
+    """Elements (sitemap, url, element, ...) with child: 1, 2, ... within each site map by address, none over the limits.
+
+    Running totals come from sorted ranges and the totals of the ranges before, so no site map is in one task. A child
+    is what begins between two marks, one every ``most_urls`` rows and one every so many bytes that the last element
+    still fits; it may be emptier than it could be, never fuller. An element over ``most_bytes`` is an error.
+    """
+    spark = elements.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sized = elements.withColumn("_size", (F.octet_length("element") + 1).cast("long"))
+    parts = sized.repartitionByRange(n, "sitemap", "url").sortWithinPartitions("sitemap", "url").withColumn("_part", F.spark_partition_id())
+    parts = written(parts, "sitemap")  # a second run could draw the ranges elsewhere
+    longest = parts.agg(F.max("_size")).first()[0] or 0
+    if longest > most_bytes:
+        raise ValueError(f"an element has {longest} bytes, over {most_bytes}")
+    width = most_bytes - longest + 1
+    totals = parts.groupBy("sitemap", "_part").agg(F.count("*").alias("_n"), F.sum("_size").alias("_b"))
+    earlier = Window.partitionBy("sitemap").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    before = totals.select("sitemap", "_part", F.coalesce(F.sum("_n").over(earlier), none).alias("_rows"), F.coalesce(F.sum("_b").over(earlier), none).alias("_bytes"))
+    inside = Window.partitionBy("_part", "sitemap").orderBy("url", F.xxhash64("element"))
+    sums = {"_row": F.row_number().over(inside) - 1, "_at": F.coalesce(F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), none)}
+    placed = parts.withColumns(sums).join(F.broadcast(before), ["sitemap", "_part"])  # a row a range and site map
+    marked = placed.withColumns({"_r": F.floor((F.col("_rows") + F.col("_row")) / most_urls), "_b": F.floor((F.col("_bytes") + F.col("_at")) / width)})
+    children = marked.select("sitemap", "_r", "_b").distinct()  # as many as children
+    numbered = children.withColumn("child", F.row_number().over(Window.partitionBy("sitemap").orderBy("_r", "_b")))
+    return marked.join(numbered, ["sitemap", "_r", "_b"]).select(*elements.columns, "child")
+
+
+def sitemap_children(split: DataFrame, lastmod: str = "lastmod") -> DataFrame:
+    """(name, urls, bytes, first_url, last_url, lastmod) of each child: a line of the index."""
+    found = split.groupBy("sitemap", "child").agg(F.count("*").alias("urls"), F.sum(F.octet_length("element") + 1).alias("bytes"), F.min("url").alias("first_url"), F.max("url").alias("last_url"), F.max(lastmod).alias("lastmod"))
+    return found.select(F.concat("sitemap", F.lit("-"), F.col("child").cast("string")).alias("name"), "urls", "bytes", "first_url", "last_url", "lastmod")
+
+
+def sitemap_indexes(children: DataFrame, most: int = INDEX_MAPS) -> DataFrame:
+    """(number, document): indexes of the children by name, ``most`` a document."""
+    from .catalog import ranked
+
+    line = F.concat(F.lit(f"<sitemap><loc>{SITE}/sitemap-"), "name", F.lit(".xml</loc>"), F.coalesce(F.concat(F.lit("<lastmod>"), "lastmod", F.lit("</lastmod>")), F.lit("")), F.lit("</sitemap>"))
+    listed = ranked(children.select("name", line.alias("_line")), F.col("name")).groupBy(F.floor((F.col("rank") - 1) / most).alias("_k")).agg(F.array_sort(F.collect_list(F.struct("rank", "_line"))).alias("_lines"))
+    head, foot = '<?xml version="1.0" encoding="UTF-8"?>\n<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', "</sitemapindex>\n"
+    return listed.select((F.col("_k") + 1).cast("long").alias("number"), F.concat(F.lit(head), F.array_join("_lines._line", ""), F.lit(foot)).alias("document"))
+
+
 def annotated(pages: DataFrame, links: DataFrame) -> DataFrame:
     """Pages with the language links of their canonical address, an array of (code, url) in order, null without any."""
     lists = links.groupBy("canonical").agg(F.array_sort(F.collect_set(F.struct("code", "url"))).alias("links"))
@@ -251,6 +301,31 @@ def feed_items(books: DataFrame, n: int = 20) -> DataFrame:
     return books.orderBy(F.desc("updated_at"), "id").limit(n).select("id", item.alias("item"))
 
 
-def neighbours_of_pages(chapters: DataFrame) -> DataFrame:
-    window = Window.partitionBy("book_id").orderBy("chapter_number")
-    return chapters.withColumns({"previous": F.lag("chapter_number").over(window), "next": F.lead("chapter_number").over(window)})
+def feed_rows(books: DataFrame) -> DataFrame:
+    """(rank, item): RSS items of all books, the last updated first: address, guid, date, description and categories."""
+    from .catalog import ranked
+
+    link = F.concat(F.lit(f"{SITE}/books/"), text.uri_component(F.col("slug")), F.lit("/"))
+    told = F.nullif(text.js_trim(F.coalesce("description", F.lit(""))), F.lit(""))
+    parts = {
+        "title": text.html_escape(F.col("title")),
+        "link": link,
+        "guid": link,
+        "pubDate": F.concat(F.date_format("updated_at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")),
+        "description": text.html_escape(F.coalesce(told, F.concat(F.lit("Read "), F.col("title")))),
+        "category": F.coalesce(text.html_escape(F.col("category")), F.lit("")),
+    }
+    cells = [F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>")) for name, value in parts.items()]
+    language = F.concat(F.lit("<category>"), F.when(F.col("language_code") == "sw", "Kiswahili").otherwise("English"), F.lit("</category>"))
+    item = F.concat(F.lit("<item>"), *cells, language, F.lit("</item>"))
+    return ranked(books.select("id", "updated_at", item.alias("item")), F.desc_nulls_last("updated_at"), F.col("id")).select("rank", "item")
+
+
+def generated(pages: DataFrame, content: str = "content") -> DataFrame:
+    """One row: pages generated, and their bytes."""
+    return pages.agg(F.count("*").alias("pages"), F.coalesce(F.sum(F.octet_length(content)), F.lit(0)).cast("long").alias("bytes"))
+
+
+def rolled_over(cached: DataFrame, version: str) -> DataFrame:
+    """(version, rows, kept): what a reader's device drops and keeps when ``version`` takes over; all rows of others go."""
+    return cached.groupBy("version").agg(F.count("*").alias("rows")).withColumn("kept", F.col("version") == F.lit(version))

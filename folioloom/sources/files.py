@@ -21,7 +21,7 @@ def manuscripts(spark: SparkSession, path: str, pattern: str = "*.{md,txt}") ->
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, modified) of every file below ``path``; contents are not read."""
+    """(path, bytes, modified) of every file below ``path`` that is not empty; contents are not read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return rows.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
