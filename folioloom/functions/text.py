@@ -250,6 +250,17 @@ def cover_address(c: Column, width: int, store: str, stored: str, rendered: str)
     return F.when(host.endswith(store) & F.contains(c, F.lit(stored)), made).otherwise(c)
 
 
+def absolute_address(c: Column, site: str, default: str) -> Column:
+    """A path or an HTTP address as an address; anything else is that of ``default``."""
+    return F.when(c.rlike("^/(?!/)"), F.concat(F.lit(site), c)).when(c.rlike("^https?://[^/?#]"), c).otherwise(F.lit(site + default))
+
+
+def own_path(c: Column, site: str) -> Column:
+    """The path of an address of the site itself, null for any other."""
+    rest = F.substring(c, len(site) + 1, 1 << 30)
+    return F.when(c.startswith(site) & rest.rlike("^(?:$|[/?#])"), F.regexp_extract(rest, "^([^?#]*)", 1))
+
+
 def prompt(instruction: str, context: Column, request: Column) -> Column:
     """A prompt of an instruction, at most 1500 characters of context, and at most 300 of a request."""
     return F.concat(F.lit(instruction + "\n\n"), F.substring(context, 1, 1500), F.lit("\n\n"), F.substring(request, 1, 300))

@@ -186,12 +186,21 @@ def rejections(events: DataFrame) -> DataFrame:
     return events.withColumn("rejection", rule)
 
 
+def strict_json(c: Column) -> Column:
+    """A JSON text as a variant; null if anything stands behind its value, which the parser alone lets pass.
+
+    What follows the value would have to go on both an object and an array.
+    """
+    alone = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}"))).isNotNull()
+    return F.when(alone, F.try_parse_json(c))
+
+
 def request_outcomes(requests: DataFrame, body: str = "body") -> DataFrame:
     """Requests (``body``, user_id) with ``outcome``: why a request is refused, null if its event is recorded.
 
     A body is a JSON object of at most MAX_BODY_BYTES bytes. Values of another JSON type count as wrong.
     """
-    value = F.try_parse_json(F.col(body).cast("string"))
+    value = strict_json(F.col(body).cast("string"))
     field = lambda name: F.try_variant_get(value, f"$.{name}", "variant")
     kind = lambda name: F.coalesce(F.schema_of_variant(field(name)), F.lit("VOID"))
     string = lambda name: F.when(kind(name) == "STRING", F.try_variant_get(value, f"$.{name}", "string"))
@@ -209,9 +218,9 @@ def request_outcomes(requests: DataFrame, body: str = "body") -> DataFrame:
     return requests.withColumn("outcome", outcome)
 
 
-def month_window(now: str) -> tuple[Column, Column]:
+def month_window(now: str | Column) -> tuple[Column, Column]:
     """The month before that of ``now``, as [start, end) dates."""
-    this = F.date_trunc("month", F.lit(now).cast("timestamp")).cast("date")
+    this = F.date_trunc("month", (F.lit(now) if isinstance(now, str) else now).cast("timestamp")).cast("date")
     return F.add_months(this, -1), this
 
 

@@ -362,3 +362,10 @@ def classify(title: Column, sets: dict[str, list[str]], fallback: str, tags: lis
         category = F.when(title.isin(*titles), name).otherwise(category)
     found = F.array_compact(F.array(*[F.when(title.rlike(pattern), tag) for tag, pattern in tags])) if tags else F.array().cast("array<string>")
     return F.struct(category.alias("category"), found.alias("tags"))
+
+
+def first_publication(books: DataFrame, years: DataFrame, key: str = "title") -> DataFrame:
+    """Books with ``label``: the year in which they first came out, out of a table (key, year), or that it is unknown."""
+    known = years.select(key, F.col("year").alias("_year")).dropDuplicates([key])
+    label = F.coalesce(F.concat(F.lit("First published "), F.col("_year").cast("string")), F.lit("Publication year unknown"))
+    return books.join(known, key, "left").withColumn("label", label).drop("_year")

@@ -246,12 +246,3 @@ def report_table(spark, d):
 @query("json_props", "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
 def json_props(spark, d):
     return reading_events(spark, d).groupBy(F.from_json("props", "k long")["k"].alias("k")).agg(F.count("*").alias("n"))
-
-
-@query(
-    "report_window",
-    f"SELECT CAST(date_trunc('month', TIMESTAMP '{EVENT_NOW}') - INTERVAL 1 MONTH AS DATE) AS period_start, CAST(date_trunc('month', TIMESTAMP '{EVENT_NOW}') AS DATE) AS period_end",
-)
-def report_window(spark, d):
-    start, end = ev.month_window(EVENT_NOW)
-    return spark.range(1).select(start.alias("period_start"), end.alias("period_end"))

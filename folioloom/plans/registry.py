@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import book_queries, case_queries, event_queries, import_queries, store_queries, text_queries
+from . import book_queries, derived_queries, event_queries, import_queries, store_queries, text_queries
 
-MODULES = (event_queries, book_queries, text_queries, case_queries, import_queries, store_queries)
+MODULES = (event_queries, book_queries, text_queries, derived_queries, import_queries, store_queries)
 QUERIES = {name: make for module in MODULES for name, make in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
