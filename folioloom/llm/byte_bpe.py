@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import base64
 import gc
+from array import array
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 from itertools import islice
@@ -42,10 +43,13 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Units kept a worker, and the most characters of one that is kept; states and judged pairs of tokens.
-STORE_PIECES, STORE_CHARS, MOST_STATES, MOST_PAIRS = 150_000, 48, 120_000, 400_000
+STORE_PIECES, STORE_CHARS, MOST_STATES, MOST_PAIRS = 300_000, 48, 300_000, 400_000
 #: Matches, and ids, taken at once of one text.
 CHUNK = 1 << 16
 ID = np.dtype("<u4")
+#: White space but for the space and the line feed: in ASCII, and all of it.
+_ASCII_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+_SPACE = _ASCII_SPACE + "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _NEVER = 1 << 62
 
 
@@ -171,22 +175,40 @@ class Transducer:
         self.clear()
 
     def clear(self) -> None:
-        self.states: list[tuple] = []
-        self.number: dict[tuple, int] = {}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.start = self._state(((0, -1, ()),))
-
-    def _state(self, places: tuple) -> int:
-        number = self.number.setdefault(places, len(self.states))
+        self.states: list[bytes] = []
+        self.number: dict[bytes, int] = {}
+        self.moves: dict[int, int] = {}  # state and byte to the state after it and the number of what is emitted
+        self.emitted: list[tuple[int, ...]] = [()]
+        self.emission: dict[tuple[int, ...], int] = {(): 0}
+        self.final: list[tuple[int, ...]] = []  # what a match that ends in a state still emits
+        self.start = self._state([(0, -1, ())])
+
+    def _state(self, places: list[tuple]) -> int:
+        """The number of a state, which is kept in few bytes: for each place node, token before, how many held back, and these."""
+        flat = []
+        for node, last, held in places:
+            flat += (node, last, len(held), *held)
+        packed = array("i", flat).tobytes()
+        number = self.number.setdefault(packed, len(self.states))
         if number == len(self.states):
-            self.states.append(places)
+            self.states.append(packed)
+            self.final.append(places[-1][2])
         return number
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The state after a byte and what is emitted. A place is (node, token before it, tokens held back)."""
+    def places(self, state: int) -> list[tuple[int, int, tuple[int, ...]]]:
+        flat = array("i", self.states[state]).tolist()
+        out, at = [], 0
+        while at < len(flat):
+            end = at + 3 + flat[at + 2]
+            out.append((flat[at], flat[at + 1], tuple(flat[at + 3 : end])))
+            at = end
+        return out
+
+    def _move(self, state: int, byte: int) -> int:
+        """The state after a byte, and the number of what is emitted. A place is (node, token before it, tokens held back)."""
         go, tokens, inner, stand = self.next.get, self.token, self.inner, self.merges.stand
         places, ended = [], None
-        for node, last, held in self.states[state]:
+        for node, last, held in self.places(state):
             child = go(node << 8 | byte)
             if child is not None:
                 if ended is None and tokens[child] >= 0 and stand(last, tokens[child]):
@@ -196,22 +218,24 @@ class Transducer:
         if ended is None:
             raise LookupError("no token ends here")
         token, held = ended
+        out = ()
         if not places:
-            found = (self._state(((0, token, ()),)), held)
+            places, out = [(0, token, ())], held
         elif not places[0][2]:  # the oldest place holds nothing back: nothing is common
             places.append((0, token, held))
-            found = (self._state(tuple(places)), ())
         else:
             common = 0
             for own in zip(held, *(place[2] for place in places)):  # noqa: B905 as far as the shortest goes
                 if own.count(own[0]) != len(own):
                     break
                 common += 1
-            if common:
-                places = [(node, last, kept[common:]) for node, last, kept in places]
+            places = [(node, last, kept[common:]) for node, last, kept in places]
             places.append((0, token, held[common:]))
-            found = (self._state(tuple(places)), held[:common])
-        self.moves[state << 8 | byte] = found
+            out = held[:common]
+        number = self.emission.setdefault(out, len(self.emitted))
+        if number == len(self.emitted):
+            self.emitted.append(out)
+        found = self.moves[state << 8 | byte] = self._state(places) << 32 | number
         return found
 
     def encode(self, piece: bytes) -> list[int]:
@@ -221,37 +245,41 @@ class Transducer:
         if self.merges.ordered:
             if len(self.states) > MOST_STATES:
                 self.clear()
-            out, state, moves = [], self.start, self.moves
+            out, state, moves, emitted = [], self.start, self.moves, self.emitted
             try:
                 for byte in piece:
                     found = moves.get(state << 8 | byte)
                     if found is None:
                         if len(self.states) > 2 * MOST_STATES:  # within a long match: the state is taken along
-                            places = self.states[state]
+                            places = self.places(state)
                             self.clear()
-                            state, moves = self._state(places), self.moves
+                            state, moves, emitted = self._state(places), self.moves, self.emitted
                         found = self._move(state, byte)
-                    state, emitted = found
-                    if emitted:
-                        out += emitted
+                    state = found >> 32
+                    if found & 0xFFFFFFFF:
+                        out += emitted[found & 0xFFFFFFFF]
             except LookupError:
                 if self.merges.ordered:
                     raise
             if self.merges.ordered:
-                return [*out, *self.states[state][-1][2]]
+                return [*out, *self.final[state]]
         return self.merges.run(piece)
 
 
 class Store(dict):
     """Units to their ids as bytes; what is missing is made. When it is full, it becomes the older of two generations:
-    what is still asked for is taken over from there, the rest goes with it."""
+    what is still asked for is taken over from there, the rest goes with it.
 
-    def __init__(self, make):
+    A unit that ends in a letter or digit and one of ``signs`` is the unit before it and the sign, and is not kept."""
+
+    def __init__(self, make, signs: dict[str, bytes]):
         super().__init__()
-        self.make = make
+        self.make, self.signs = make, signs
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, unit: str) -> bytes:
+        if len(unit) > 1 and unit[-1] in self.signs and unit[-2].isalnum():
+            return self[unit[:-1]] + self.signs[unit[-1]]
         ids = self.older.get(unit)
         if ids is None:
             ids = self.make(unit)
@@ -281,17 +309,28 @@ class Encoder:
 
         self.transducer = Transducer(read_ranks(path))
         self.pattern = regex.compile(pattern)
-        self.loose = regex.compile(r"\s[ \n]|[ \n]\s|^[ \n]|[ \n]\Z") if pattern in self.UNITS else None
-        self.words, self.heads = Store(lambda unit: self._split(" " + unit)), Store(self._split)
+        self.units = pattern in self.UNITS
+        self.loose = regex.compile(r"\s[ \n]|[ \n]\s|^[ \n]|[ \n]\Z")
+        signs = {sign: self._ids(sign) for sign in ".,;:!?"} if self.units else {}
+        self.words, self.heads = Store(lambda unit: self._split(" " + unit), signs), Store(self._split, signs)
+
+    def _is_loose(self, text: str) -> bool:
+        """Whether white space stands beside a space or line feed, or one of these at an end."""
+        if text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
+            return True
+        return any(sign in text for sign in (_ASCII_SPACE if text.isascii() else _SPACE)) and self.loose.search(text) is not None
+
+    def _ids(self, piece: str) -> bytes:
+        return array("I", self.transducer.encode(piece.encode())).tobytes()
 
     def _split(self, unit: str) -> bytes:
         pieces = self.pattern.findall(unit)
         if len(pieces) == 1:
-            return np.array(self.transducer.encode(unit.encode()), dtype=ID).tobytes()
+            return self._ids(unit)
         return b"".join([self.words[p[1:]] if len(p) > 1 and p[0] == " " and p[1] != " " else self.heads[p] for p in pieces])
 
     def ids(self, text: str) -> bytes:
-        if self.loose is not None and text and not self.loose.search(text):
+        if self.units and text and not self._is_loose(text):
             known, head = self.words.__getitem__, self.heads
             lines = []
             for line in text.split("\n"):
@@ -413,3 +452,17 @@ def decode(tokens: DataFrame, path: str, passed: list[str]) -> DataFrame:
     common.ship(tokens.sparkSession)
     source = tokens.select(*passed, F.col("ids").alias("_ids"))
     return source.mapInArrow(lambda batches: _decoded(batches, path, passed), tokens.select(*passed).schema.add("decoded", "binary").add("text", "string"))
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, passed: list[str]) -> DataFrame:
+    """``encode`` and, of its ids, ``decode``, in one pass over the rows: ``passed`` columns, n_tokens, ids, decoded, text."""
+    common.ship(docs.sparkSession)
+    source = docs.select(*passed, F.col("text").cast("string").alias("_text"))
+
+    def run(batches):
+        for ids in _encoded(batches, path, pattern, passed):
+            for back in _decoded([ids.append_column("_ids", common.column(ids, "ids"))], path, [*passed, "n_tokens", "ids"]):
+                yield back
+
+    schema = docs.select(*passed).schema.add("n_tokens", "long").add("ids", "binary").add("decoded", "binary").add("text", "string")
+    return source.mapInArrow(run, schema)

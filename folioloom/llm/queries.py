@@ -186,8 +186,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
-    tokens = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, ["doc_id"])
-    whole = byte_bpe.decode(tokens, path, ["doc_id", "n_tokens", "ids"])
+    whole = byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, ["doc_id"])
     return whole.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.char_length("text").cast("long").alias("n_chars"))
 
 
