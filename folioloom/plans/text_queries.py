@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioloom.functions import text
-from folioloom.operators import formatting, ingest, segment
+from folioloom.operators import formatting, ingest, manuscripts, segment
 
 from .stand_ins import table
 
@@ -188,7 +188,7 @@ HEADED = f"""lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), l
 
 @query("chapter_parser", f"WITH {HEADED} SELECT doc_id, CAST(number AS INTEGER) AS number, 'Part' AS title, sha256(regexp_replace(body, '^{WS}+|{WS}+$', '', 'g')) AS digest FROM parts")
 def chapter_parser(spark, d):
-    return segment.chapters(headed(spark, d)).select("doc_id", "number", "title", F.sha2("content", 256).alias("digest"))
+    return manuscripts.marked_chapters(headed(spark, d)).select("doc_id", "number", "title", F.sha2("content", 256).alias("digest"))
 
 
 @query(
@@ -198,7 +198,112 @@ def chapter_parser(spark, d):
 def chapter_contiguity(spark, d):
     from folioloom.operators.catalog import contiguity
 
-    return contiguity(segment.chapters(headed(spark, d, gap=True)), "doc_id", "number")
+    return contiguity(manuscripts.marked_chapters(headed(spark, d, gap=True)), "doc_id", "number")
+
+
+# --- importers
+
+
+def with_lines(spark, d, lines: int, heading, plain=None):
+    """Documents whose lines, each ``lines`` of them, stand below a heading made of their number; those that are ``plain`` have none."""
+    rows = documents(spark, d).select("doc_id", F.filter(F.split("text", "\\n"), lambda x: F.trim(x) != "").alias("l"))
+    starts = F.when(F.size("l") > 0, F.sequence(F.lit(1), F.size("l"), F.lit(lines))).otherwise(F.array().cast("array<int>"))
+    part = F.transform(starts, lambda k, n: F.concat(heading((n + 1).cast("string")), F.lit("\n"), F.array_join(F.slice("l", k, lines), "\n")))
+    whole = F.array_join(part, "\n")
+    return rows.select("doc_id", (whole if plain is None else F.when(plain, F.array_join("l", "\n")).otherwise(whole)).alias("text"))
+
+
+def parted(lines: int) -> str:
+    return f"""lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents),
+  parts AS (SELECT doc_id, (k - 1) // {lines} + 1 AS number, regexp_replace(array_to_string(l[k:k + {lines} - 1], chr(10)), '^{WS}+|{WS}+$', '', 'g') AS body FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1, {lines})) AS k FROM lines))"""
+
+
+STYLES = "e AS (SELECT event_id, event_id % 100 + 1 AS n, event_id // 100 % 5 AS style, event_type FROM events)"
+
+
+@query("chapter_lines", f"WITH {STYLES} SELECT event_id, CAST(n AS INTEGER) AS number, CASE WHEN style = 2 AND n % 2 = 0 THEN 'Sura ya ' || n ELSE event_type END AS title FROM e WHERE style <> 4")
+def chapter_lines(spark, d):
+    """Headings in figures and in words of both languages; those without a mark and a delimiter are none."""
+    k = F.col("event_id")
+    n, style, kind = k % 100 + 1, F.floor(k / 100) % 5, F.col("event_type")
+    spelled = lambda numbers, sizes: F.create_map(*[F.lit(x) for words, value in {v: w for w, v in numbers.items() if w not in sizes}.items() for x in (words, value)])[n.cast("int")]
+    english, kiswahili = spelled(manuscripts._ENGLISH_NUMBERS, ()), spelled(manuscripts._KISWAHILI_NUMBERS, ())
+    figure = n.cast("string")
+    line = (
+        F.when(style == 0, F.concat(F.lit("# Chapter "), figure, F.lit(": "), kind))
+        .when(style == 1, F.concat(F.lit("Chapter "), F.initcap(english), F.lit(" — "), kind))
+        .when(style == 2, F.concat(F.lit("## Sura ya "), kiswahili, F.when(n % 2 == 0, "").otherwise(F.concat(F.lit(": "), kind))))
+        .when(style == 3, F.concat(F.lit("### CHAPTER "), figure, F.lit(" "), kind))
+        .otherwise(F.concat(F.lit("Chapter "), figure, F.lit(" "), kind))
+    )
+    rows = table(spark, d, "events").select("event_id", F.concat(line, F.lit("\n"), "props").alias("text"))
+    return manuscripts.marked_chapters(rows, "event_id").drop("content")
+
+
+@query(
+    "manuscript_problems",
+    f"""WITH {parted(4)}, n AS (SELECT doc_id, coalesce(max(number), 0) AS n FROM documents LEFT JOIN parts USING (doc_id) GROUP BY 1), p AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN greatest(n - 2, 0) ELSE n END AS n FROM n)
+    SELECT doc_id, 'no chapters' AS problem FROM n WHERE n = 0 UNION ALL SELECT doc_id, 'numbers are not 1, 2, ...' FROM n WHERE n >= 3 AND doc_id % 3 = 0
+    UNION ALL SELECT doc_id, 'glued heading on line ' || (SELECT count(*) + 1 FROM (SELECT unnest(l) FROM lines i WHERE i.doc_id = lines.doc_id)) + (SELECT max(number) FROM parts i WHERE i.doc_id = lines.doc_id) FROM lines WHERE doc_id % 5 = 0 AND len(l) > 0""",
+)
+def manuscript_problems(spark, d):
+    """Chapters of which a third of the documents lack one; a fifth have a heading glued to a last line."""
+    glued = F.when((F.col("doc_id") % 5 == 0) & (F.col("text") != ""), F.concat("text", F.lit("\nend. # Chapter 99: glued"))).otherwise(F.col("text"))
+    return manuscripts.problems(headed(spark, d, gap=True).withColumn("text", glued))
+
+
+@query(
+    "text_importer",
+    f"""WITH {parted(5)} SELECT doc_id, CAST(number AS INTEGER) AS number, CASE WHEN number % 2 = 0 THEN 'Title ' || number ELSE 'Chapter ' || number END AS title, sha256(body) AS digest FROM parts WHERE doc_id % 4 <> 0
+    UNION ALL SELECT doc_id, CAST(1 AS INTEGER), CASE WHEN len(l) = 0 THEN 'Full Story' ELSE 'Section 1' END, sha256(regexp_replace(array_to_string(l, chr(10)), '^{WS}+|{WS}+$', '', 'g')) FROM lines WHERE doc_id % 4 = 0 OR len(l) = 0""",
+)
+def text_importer(spark, d):
+    heading = lambda n: F.when(n.cast("int") % 2 == 0, F.concat(F.lit("Section "), n, F.lit(": Title "), n)).otherwise(F.concat(F.lit("  CHAPTER "), n, F.lit(".")))
+    return manuscripts.plain_chapters(with_lines(spark, d, 5, heading, F.col("doc_id") % 4 == 0)).select("doc_id", "number", "title", F.sha2("content", 256).alias("digest"))
+
+
+@query(
+    "numbered_importer",
+    f"""WITH {parted(3)} SELECT doc_id, CAST(number AS INTEGER) AS number, 'Part no. ' || number AS title, sha256(body) AS digest FROM parts
+    UNION ALL SELECT doc_id, CAST(1 AS INTEGER), 'Chapter 1', sha256('more') FROM documents WHERE doc_id % 3 = 0""",
+)
+def numbered_importer(spark, d):
+    heading = lambda n: F.when(n.cast("int") % 2 == 0, F.concat(F.lit("## Chapter "), n, F.lit(": Part no. "), n)).otherwise(F.concat(n, F.lit(") Part no. "), n))
+    rows = with_lines(spark, d, 3, heading)
+    opened = rows.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\nPreface\nmore\n"), "text")).otherwise(F.col("text")))
+    return manuscripts.numbered_chapters(opened).select("doc_id", "number", "title", F.sha2("content", 256).alias("digest"))
+
+
+@query(
+    "heading_importer",
+    f"""WITH {parted(6)}, w AS (SELECT doc_id, list_filter(regexp_split_to_array(array_to_string(l, chr(10)), '{WS}+'), lambda x: x <> '') AS w FROM lines WHERE doc_id % 4 = 0 OR len(l) <= 0)
+    SELECT doc_id, CAST(number AS INTEGER) AS number, 'Part ' || number AS title, sha256(body) AS digest FROM parts WHERE doc_id % 4 <> 0 AND (SELECT max(number) FROM parts i WHERE i.doc_id = parts.doc_id) > 1
+    UNION ALL SELECT doc_id, CAST((k - 1) // 50 + 1 AS INTEGER), 'Section ' || ((k - 1) // 50 + 1), sha256(array_to_string(w[k:k + 49], ' ')) FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1, 50)) AS k FROM (SELECT * FROM w UNION ALL
+      SELECT doc_id, ['Part', '1'] || list_filter(regexp_split_to_array(body, '{WS}+'), lambda x: x <> '') FROM parts WHERE doc_id % 4 <> 0 AND (SELECT max(number) FROM parts i WHERE i.doc_id = parts.doc_id) = 1))""",
+)
+def heading_importer(spark, d):
+    """Parts below "Part N"; documents without such a line, or with one at the very beginning alone, in runs of words."""
+    rows = with_lines(spark, d, 6, lambda n: F.concat(F.lit("Part "), n), F.col("doc_id") % 4 == 0)
+    return manuscripts.heading_parts(rows, size=50).select("doc_id", "number", "title", F.sha2("content", 256).alias("digest"))
+
+
+@query(
+    "described_manuscripts",
+    """WITH s AS (SELECT p_partkey, p_name, p_brand, p_partkey % 4 AS kind, p_size % 3 AS who FROM part)
+    SELECT p_partkey, CASE kind WHEN 0 THEN 'en' WHEN 1 THEN 'sw' WHEN 2 THEN CASE WHEN who = 0 THEN 'sw' ELSE 'en' END END AS language,
+      CASE WHEN kind = 3 THEN 'The ' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') ELSE array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') END AS title,
+      CASE WHEN who = 0 THEN 'Asha ' || p_brand WHEN who = 1 THEN 'By ' || p_type END AS author FROM (SELECT s.*, p_type FROM s JOIN part USING (p_partkey)) AS s""",
+)
+def described_manuscripts(spark, d):
+    """Languages by file names or chapter lines, titles by headings or file names, authors by labels or bylines."""
+    kind, who, name = F.col("p_partkey") % 4, F.col("p_size") % 3, F.col("p_name")
+    file = F.replace(name, F.lit(" "), F.lit("_"))
+    named = F.when(kind == 0, F.concat(F.lit("mobile_"), file, F.lit("_final_en_v2.md"))).when(kind == 1, F.concat(file, F.lit("_sw_TOLEO_LILILOPANULIWA.md"))).when(kind == 2, F.concat(file, F.lit(".txt"))).otherwise("x.md")
+    top = F.when(kind == 3, F.concat(F.lit("---\na: b\n---\n# THE "), F.upper("p_name"), F.lit("\n"))).otherwise("")
+    author = F.when(who == 0, F.concat(F.lit("**Mwandishi: Asha "), "p_brand", F.lit("**\n"))).when(who == 1, F.concat(F.lit("## By "), "p_type", F.lit("\n"))).otherwise("## one two three four five six\n")
+    chapters = F.when(kind == 3, "no chapter line").when(who == 0, "Sura ya 1: A\n# Later").otherwise("# Chapter 1: A\n# Later")
+    rows = table(spark, d, "part").select("p_partkey", named.alias("name"), F.concat(top, author, chapters).alias("text"))
+    return manuscripts.described(rows, "p_partkey")
 
 
 #: Sections of the headed documents: the first begins the text and has 50 words, if any has; others have 6 but for the last.

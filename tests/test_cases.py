@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioloom.functions import codes, text
-from folioloom.operators import audit, events, ingest, publish, segment
+from folioloom.operators import audit, events, ingest, manuscripts, publish
 
 CASES = {}
 
@@ -275,17 +275,17 @@ def _documents(spark, sources):
     [(1, 1, "A", "x"), (1, 2, "B", "y"), (2, 1, "Full Story", ""), (3, 1, "Section 1", "one\n\ntwo"), (4, 1, "Chapter 7", "z")],
 )
 def text_importer(spark, d):
-    return segment.plain_chapters(_documents(spark, ["Chapter 1: A\nx\n第二章 B\ny", "", "one\n\ntwo", "skipped\nSURA YA 7\nz"]))
+    return manuscripts.plain_chapters(_documents(spark, ["Chapter 1: A\nx\n第二章 B\ny", "", "one\n\ntwo", "skipped\nSURA YA 7\nz"]))
 
 
 @listed("numbered_importer", {"doc_id": "int", "number": "int", "title": "string", "content": "string"}, [(1, 1, "One", "a\nb"), (1, 2, "Two", "c"), (2, 1, "Chapter 1", ""), (2, 4, "Four", "d")])
 def numbered_importer(spark, d):
-    return segment.numbered(_documents(spark, ["1. One\na\nb\n## Chapter 2: Two\nc", "preface\n4) Four\nd"]))
+    return manuscripts.numbered_chapters(_documents(spark, ["1. One\na\nb\n## Chapter 2: Two\nc", "preface\n4) Four\nd"]))
 
 
 @listed("heading_importer", {"doc_id": "int", "number": "int", "title": "string", "content": "string"}, [(1, 1, "Intro", "Intro"), (1, 2, "Chapter 1", "body"), (1, 3, "Sura ya pili", "mwili"), (2, 1, "Section 1", "a b c")])
 def heading_importer(spark, d):
-    return segment.heading_parts(_documents(spark, ["Intro\nChapter 1\nbody\nSura ya pili\nmwili", "a b\nc"]))
+    return manuscripts.heading_parts(_documents(spark, ["Intro\nChapter 1\nbody\nSura ya pili\nmwili", "a b\nc"]))
 
 
 @listed(
@@ -300,7 +300,7 @@ def described_manuscripts(spark, d):
         (3, "salt_road_sw_TOLEO_LILILOPANULIWA.md", "**Mwandishi: Asha Ali**\n# Sura ya 1: A"),
         (4, "x.md", "# X\n## one two three four five six"),
     ]
-    return segment.described(spark.createDataFrame(rows, "doc_id int, name string, text string"))
+    return manuscripts.described(spark.createDataFrame(rows, "doc_id int, name string, text string"))
 
 
 _LINES = [
@@ -316,7 +316,7 @@ _LINES = [
 
 @listed("chapter_lines", {"doc_id": "int", "number": "int", "title": "string"}, [(k, number, title) for k, (_, number, title) in enumerate(_LINES, 1)])
 def chapter_lines(spark, d):
-    return segment.chapters(_documents(spark, [f"{line}\nbody" for line, _, _ in [*_LINES, ("Chapter 7 Night", 0, ""), ("# Chapter Zero", 0, "")]])).drop("content")
+    return manuscripts.marked_chapters(_documents(spark, [f"{line}\nbody" for line, _, _ in [*_LINES, ("Chapter 7 Night", 0, ""), ("# Chapter Zero", 0, "")]])).drop("content")
 
 
 # --- readers' files
