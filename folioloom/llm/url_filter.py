@@ -133,12 +133,15 @@ def _dealt_batches(batches: Iterator[pa.RecordBatch], default: str, out_schema:
 def apply_rules(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per page: ``key, host, path, rule, verdict``.
 
-    ``rules`` has columns host, path, verdict; a rule with a null among them is ignored.
+    ``rules`` has columns host, path, verdict; a rule with a null among them is ignored. Hosts are compared with A-Z
+    lower-cased. Of rules of one host and path that disagree, block holds, else the least verdict.
     """
     spark = pages.sparkSession
     common.ship(spark)
     key_type = pages.schema[key].dataType
-    rules = rules.where("host is not null and path is not null and verdict is not null").dropDuplicates(["host", "path"])
+    low = F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    known = rules.where("host is not null and path is not null and verdict is not null").groupBy(low.alias("host"), "path")
+    rules = known.agg(F.coalesce(F.max(F.when(F.col("verdict") == "block", "block")), F.min("verdict")).alias("verdict"))
     rules = rules.select("host", "path", "verdict", reversed_host_column(F.col("host")).alias("key"))
     urls = url_parts(pages.select(key, url), url).select(key, "host", "path", reversed_host_column(F.col("host")).alias("_key"))
     # a hot host is cut by path and page as well, so that no range holds it whole
