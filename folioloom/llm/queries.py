@@ -55,7 +55,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"), "spans")
 
 
 def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

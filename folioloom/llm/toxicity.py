@@ -11,7 +11,7 @@ of the greatest and the summed marginal, fitted on the same rows) and the toxic
 offsets of maximal runs of tokens whose marginal is at least one half.
 
 The fit takes a bounded sample of labelled rows: ``SAMPLE`` documents per class of those that documents has, chosen by
-a hash of doc_id, of each the first ``SAMPLE_CHARS`` characters; of near copies with one label the first
+a hash of doc_id, those of at most ``SAMPLE_CHARS`` characters first, each read whole; of near copies with one label the first
 counts. Scoring reads every whole text.
 
 Defined results: null, empty and wordless texts have no token and the score of no evidence; a
@@ -36,8 +36,10 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from . import common
 
+#: Documents of each class that the fit takes; longer ones than SAMPLE_CHARS only where shorter ones are too few, of these
+#: MOST_LONG at most, and none over LONG_CHARS: the bounds of the driver's sample. Each is read whole, as its label is.
 SAMPLE = 2000
-SAMPLE_CHARS = 32 << 10
+SAMPLE_CHARS, LONG_CHARS, MOST_LONG = 32 << 10, 1 << 20, 50
 #: Jaccard similarity of word sets from which two texts of one label are copies of each other.
 COPY = 0.8
 FEATURE_BITS = 18
@@ -292,14 +294,19 @@ def train(docs: DataFrame, labels: DataFrame, held_out_modulus: int = 5) -> Mode
     # drawn among the labelled rows that documents has
     known = common.materialise(known.join(docs.where(F.col("text").isNotNull()).select("doc_id"), "doc_id", "left_semi"), "labelled")
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    size = F.char_length("text")
+    fit_for = docs.where(size <= LONG_CHARS)
+    sized = common.materialise(known.join(fit_for.groupBy("doc_id").agg(F.min(size > SAMPLE_CHARS).alias("_long")), "doc_id"), "sized")
     chosen = []
     for kind in totals:
-        chosen += [(r["doc_id"], kind) for r in known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(SAMPLE).select("doc_id").collect()]
+        drawn = sized.where(F.col("toxic") == kind).orderBy("_long", F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(SAMPLE).select("doc_id", "_long").collect()
+        short = [(r["doc_id"], kind) for r in drawn if not r["_long"]]
+        chosen += short + [(r["doc_id"], kind) for r in drawn if r["_long"]][:MOST_LONG]
     if not chosen:
         return fit([], np.zeros(0), np.zeros(0))
     ids = spark.createDataFrame(chosen, known.schema)  # 2 * SAMPLE rows at most
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("text").alias("_hash")).join(F.broadcast(ids), "doc_id")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("_hash"))
+    texts = fit_for.select("doc_id", "text", (size > SAMPLE_CHARS).alias("_long"), F.xxhash64("text").alias("_hash")).join(F.broadcast(ids), "doc_id")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("_long", "_hash"))
     rows = texts.withColumn("_place", place).where("_place = 1").collect()
     found = sorted({(r["doc_id"], r["text"], r["toxic"]) for r in rows})
     toxic = np.array([t for _, _, t in found], dtype=int)
