@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, unspaced
 
 LENGTH = 400
 GRAM = 64
@@ -446,13 +446,15 @@ def removed_spans(ranges, length: int) -> list[tuple[int, int]]:
 
 
 def whole_words(text: bytes, low: int, high: int) -> int:
-    """Words of ``text`` that lie within ``low .. high`` from end to end."""
-    inside = len(text[low:high].split())
-    if inside and low and not text[low - 1 : low].isspace() and not text[low : low + 1].isspace():
-        inside -= 1
-    if inside and high < len(text) and not text[high - 1 : high].isspace() and not text[high : high + 1].isspace():
-        inside -= 1
-    return inside
+    """Words of ``text`` that lie within ``low .. high`` from end to end; in scripts without spaces each character is one."""
+    inside = text[low:high].split()
+    if not inside:
+        return 0
+    sizes = [unspaced.word_count(word) for word in (inside[0], inside[-1])]
+    count = sum(map(unspaced.word_count, inside)) if unspaced.LEADS.search(text, low, high) else len(inside)
+    # a word that goes on beyond an end is not whole; in a script without spaces it goes on as other words
+    cut = [low and not text[low - 1 : low].isspace() and not text[low : low + 1].isspace(), high < len(text) and not text[high - 1 : high].isspace() and not text[high : high + 1].isspace()]
+    return count - sum(bool(c) and size == 1 for c, size in zip(cut, sizes, strict=True))
 
 
 def _remove(batches, passed, length, least_words):
