@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from folioloom.functions import codes, text
 from folioloom.operators import audit, events, formatting, publish
-from folioloom.sources import keyed, paged, shared, versions
+from folioloom.sources import epub, keyed, paged, shared, versions
 from folioloom.streaming import events as stream
 from folioloom.streaming import ledger, readers, reports
 
@@ -17,6 +18,8 @@ from .stand_ins import BOOKS, CHAPTERS, EVENT_NOW, READINGS, books, reading_even
 
 QUERIES, ORACLE_SQL = {}, {}
 SITE = publish.SITE
+#: ECMAScript white space in DuckDB's regular expressions.
+WS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
 def query(name: str, sql: str | None = None):
@@ -54,6 +57,49 @@ def folder_pages(spark, d):
     return audit.folder_pages(table(spark, d, "pages").select(F.regexp_extract("url", "://([^?#]*)", 1).alias("path")), 20)
 
 
+def html_text_sql(c: str) -> str:
+    """As ``text.html_text``, of what has no script, style or comment."""
+    signs = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")]
+    out = f"regexp_replace({c}, '(?s)<[^>]*>', ' ', 'g')"
+    for name, sign in signs:
+        out = f"replace({out}, '{name}', '{sign}')"
+    return f"regexp_replace(regexp_replace({out}, '^{WS}+|{WS}+$', '', 'g'), '{WS}+', ' ', 'g')"
+
+
+@query(
+    "epub_chapters",
+    rf"""WITH b AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?is)<head\b.*?</head\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS body FROM pages),
+    t AS (SELECT page_id, html, array_to_string(list_filter(list_transform(string_split(regexp_replace(body, '(?i)</?(?:p|div|section|h[1-6]|li|blockquote)\b[^>]*>', chr(1), 'g'), chr(1)), lambda x: {html_text_sql('x')}), lambda x: length(x) >= 6), chr(10) || chr(10)) AS body FROM b)
+    SELECT 'Pages ' || page_id // 5 AS title, CAST(row_number() OVER (PARTITION BY page_id // 5 ORDER BY page_id DESC) AS INTEGER) AS number, {html_text_sql("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")} AS chapter_title, sha256(body) AS digest FROM t WHERE length(body) >= 50""",
+)
+def epub_chapters(spark, d):
+    """The pages as EPUB files of five, the last page first, read again as chapters."""
+    folder = fresh(spark, "epub")
+    books = table(spark, d, "pages").groupBy(F.floor(F.col("page_id") / 5).alias("book")).agg(F.sort_array(F.collect_list(F.struct("page_id", "html")), asc=False).alias("pages"))
+    keyed.publish(books.mapInPandas(_bound, "path string, content binary"), folder)
+    return epub.chapters(spark, folder).select("title", "number", "chapter_title", F.sha2("text", 256).alias("digest"))
+
+
+def _bound(frames):
+    """Archives of some pages each, a row a book."""
+    import io
+    import zipfile
+
+    for frame in frames:
+        made = []
+        for book, pages in zip(frame["book"], frame["pages"], strict=True):
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w") as archive:
+                archive.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="text/book.opf"/></rootfiles></container>')
+                items = "".join(f'<item id="p{p["page_id"]}" href="{p["page_id"]}.xhtml"/>' for p in pages)
+                order = "".join(f'<itemref idref="p{p["page_id"]}"/>' for p in pages)
+                archive.writestr("text/book.opf", f"<package><metadata><dc:title>Pages {book}</dc:title></metadata><manifest>{items}</manifest><spine>{order}</spine></package>")
+                for p in pages:
+                    archive.writestr(f"text/{p['page_id']}.xhtml", p["html"])
+            made.append((f"b-{book}.epub", held.getvalue()))
+        yield pd.DataFrame(made, columns=["path", "content"])
+
+
 # --- versions of several tables
 
 
@@ -244,7 +290,6 @@ def tags_of_texts(spark, d):
     return table(spark, d, "part").select("p_partkey", text.normalize_tags(text.tag_list(F.when(k % 3 == 0, commas).when(k % 3 == 1, listed))).alias("tags"))
 
 
-WS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
 @query(

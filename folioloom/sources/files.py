@@ -2,14 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
-from collections.abc import Iterator
-from html.parser import HTMLParser
-from xml.etree import ElementTree
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,76 +51,3 @@ def checked_unique(rows: DataFrame, key: str) -> DataFrame:
 def jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     """A database table; partition options go to Spark's reader."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
-
-
-class _Text(HTMLParser):
-    """Collects block texts and a title from XHTML."""
-
-    def __init__(self):
-        super().__init__()
-        self.blocks, self.title, self.skip, self.heading = [""], "", 0, False
-
-    def handle_starttag(self, tag, attrs):
-        self.skip += tag in ("script", "style")
-        self.heading = self.heading or (tag in ("h1", "h2", "title") and not self.title)
-        if tag in ("p", "div", "section", "h1", "h2", "h3", "li", "blockquote"):
-            self.blocks.append("")
-
-    def handle_endtag(self, tag):
-        self.skip -= tag in ("script", "style") and self.skip > 0
-        if tag in ("h1", "h2", "title"):
-            self.heading = False
-        if tag in ("p", "div", "section", "li", "blockquote"):
-            self.blocks.append("")
-
-    def handle_data(self, data):
-        if self.skip:
-            return
-        if self.heading:
-            self.title += data
-        self.blocks[-1] += data
-
-
-def xhtml_text(markup: str) -> tuple[str, str]:
-    """Title, and blocks of over five characters joined by blank lines."""
-    reader = _Text()
-    reader.feed(markup)
-    blocks = [re.sub(r"\s+", " ", b).strip() for b in reader.blocks]
-    return re.sub(r"\s+", " ", reader.title).strip(), "\n\n".join(b for b in blocks if len(b) > 5)
-
-
-def epub_chapters(content: bytes, least: int = 50) -> list[tuple[str, str, int, str, str]]:
-    """(book title, author, number, chapter title, text) of each spine item with ``least`` characters."""
-    name = lambda e: e.tag.rpartition("}")[2]
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        container = ElementTree.fromstring(book.read("META-INF/container.xml"))
-        package_path = next(e.get("full-path") for e in container.iter() if name(e) == "rootfile")
-        package = ElementTree.fromstring(book.read(package_path))
-        text_of = lambda kind: next((e.text.strip() for e in package.iter() if name(e) == kind and e.text), "")
-        places = {e.get("id"): e.get("href") for e in package.iter() if name(e) == "item"}
-        folder = package_path.rpartition("/")[0]
-        out = []
-        for item in (e.get("idref") for e in package.iter() if name(e) == "itemref"):
-            place = f"{folder}/{places[item]}" if folder else places[item]
-            title, text = xhtml_text(book.read(place).decode("utf-8", "replace"))
-            if len(text) >= least:
-                out.append((text_of("title"), text_of("creator"), len(out) + 1, title or f"Chapter {len(out) + 1}", text))
-    return out
-
-
-def epubs(spark: SparkSession, path: str) -> DataFrame:
-    """Chapters of every EPUB file below ``path``; a broken file gives one row with ``error``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.epub").load(path).select("path", "content")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for where, content in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    rows += [(where, *chapter, None) for chapter in epub_chapters(content)]
-                except Exception as error:  # a file from outside may be broken in any way
-                    rows.append((where, None, None, None, None, None, f"{type(error).__name__}: {error}"))
-            out = pd.DataFrame(rows, columns=["path", "title", "author", "number", "chapter_title", "text", "error"])
-            yield out.astype({"number": "Int32"})
-
-    return files.mapInPandas(run, "path string, title string, author string, number int, chapter_title string, text string, error string")
