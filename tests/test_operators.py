@@ -155,7 +155,7 @@ def test_transfers_and_matches(spark):
     assert sorted(r.path for r in audit.to_transfer(files, have).collect()) == ["b", "c"]
     slugs = spark.createDataFrame([("red-moon",), ("red-moon-sw",), ("sun",)], "slug string")
     ids = spark.createDataFrame([("2026-01-01_red_moon",), ("2026-01-01_red",)], "book_id string")
-    assert sorted(map(tuple, audit.match_ids(slugs, ids).collect())) == [("red-moon", "2026-01-01_red"), ("red-moon-sw", "2026-01-01_red"), ("sun", "2026-01-01_red")]
+    assert sorted(map(tuple, audit.match_ids(slugs, ids).collect())) == [("red-moon", "2026-01-01_red"), ("red-moon-sw", "2026-01-01_red"), ("sun", None)]
     assert {r.book_id for r in audit.match_ids(slugs, ids.limit(0)).collect()} == {None}
     left = spark.createDataFrame([(1, "ab c"), (2, "x")], "k int, t string")
     right = spark.createDataFrame([(1, "c\nba"), (2, "y")], "k int, t string")
