@@ -82,38 +82,45 @@ def integrity_errors(books: DataFrame, precomputed: bool = False) -> DataFrame:
     Without ``precomputed`` word counts and suspicious chapters are counted anew from the texts.
     """
     classic = F.exists("tags", lambda t: F.lower(text.js_trim(t)) == CLASSIC_TAG)
-    i = lambda name: F.col(f"integrity.{name}")
+    told = [F.col("integrity").alias("integrity")]
+    if not precomputed:
+        counts = F.transform("chapters", lambda c: text.word_count(c["content"]))
+        odd = F.size(F.filter("chapters", lambda c: suspiciously_short(c["title"], c["content"]))).cast("long")
+        told += [counts.alias("counts"), odd.alias("odd")]
+    # texts are counted once, however many rules ask
+    return books.withColumn("error", F.when(classic, text.bound(F.struct(*told), lambda s: first_error(_integrity_rules(s, precomputed)))))
+
+
+def _integrity_rules(told: Column, precomputed: bool) -> list[tuple[Column, str]]:
+    i = lambda name: told["integrity"][name]
     sha = "^[a-f0-9]{64}$"
     source, rebuilt = F.lower(i("source_sha")), F.lower(i("rebuilt_sha"))
     negative = lambda name: F.coalesce(i(name) < 0, F.lit(True))
     rules = [
-        (F.col("integrity").isNull(), "must include integrity metadata"),
+        (told["integrity"].isNull(), "must include integrity metadata"),
         (~F.coalesce(i("verified"), F.lit(False)), "must have verified integrity metadata"),
         (~F.coalesce(source.rlike(sha) & rebuilt.rlike(sha) & (source == rebuilt), F.lit(False)), "failed its preservation check"),
         (~F.coalesce((i("source_words") > 0) & (i("rebuilt_words") > 0), F.lit(False)), "must include positive word counts"),
         (~F.coalesce((i("source_words") == i("rebuilt_words")) & (i("coverage") == 1), F.lit(False)), "must preserve all source words"),
     ]
     if precomputed:
-        rules += [
+        return rules + [
             (negative("min_words"), "has invalid least words"),
             (negative("max_words"), "has invalid most words"),
             (i("max_words") > LONG_CHAPTER, "contains a too long chapter"),
             (negative("suspicious"), "has an invalid suspicious count"),
             (i("suspicious") != 0, "contains a suspicious chapter"),
         ]
-    else:
-        counts = F.transform("chapters", lambda c: text.word_count(c["content"]))
-        odd = F.size(F.filter("chapters", lambda c: suspiciously_short(c["title"], c["content"]))).cast("long")
-        prints = [F.coalesce(i(n), F.lit("")) for n in ("source_start", "source_end", "rebuilt_start", "rebuilt_end")]
-        rules += [
-            (i("rebuilt_words") != F.aggregate(counts, F.lit(0).cast("long"), lambda a, b: a + b), "does not match the chapters' words"),
-            ((i("min_words") != F.array_min(counts)) | (i("max_words") != F.array_max(counts)), "does not match the chapters' extremes"),
-            (i("suspicious") != odd, "does not match the suspicious chapters"),
-            (odd != 0, "contains a suspicious chapter"),
-            (F.array_max(counts) > LONG_CHAPTER, "contains a too long chapter"),
-            ((prints[0] == "") | (prints[1] == "") | (prints[0] != prints[2]) | (prints[1] != prints[3]), "failed its start and end check"),
-        ]
-    return books.withColumn("error", F.when(classic, first_error(rules)))
+    counts, odd = told["counts"], told["odd"]
+    prints = [F.coalesce(i(n), F.lit("")) for n in ("source_start", "source_end", "rebuilt_start", "rebuilt_end")]
+    return rules + [
+        (i("rebuilt_words") != F.aggregate(counts, F.lit(0).cast("long"), lambda a, b: a + b), "does not match the chapters' words"),
+        ((i("min_words") != F.array_min(counts)) | (i("max_words") != F.array_max(counts)), "does not match the chapters' extremes"),
+        (i("suspicious") != odd, "does not match the suspicious chapters"),
+        (odd != 0, "contains a suspicious chapter"),
+        (F.array_max(counts) > LONG_CHAPTER, "contains a too long chapter"),
+        ((prints[0] == "") | (prints[1] == "") | (prints[0] != prints[2]) | (prints[1] != prints[3]), "failed its start and end check"),
+    ]
 
 
 def missing_metadata(title: Column, author: Column, description: Column, cover: Column, language: Column) -> Column:
