@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioloom.functions import text
+from folioloom.sources.shared import written
 
 from .catalog import top_of_each
 
@@ -150,25 +151,38 @@ def match_ids(slugs: DataFrame, ids: DataFrame) -> DataFrame:
     """(slug, book_id): the first of the ids ``<date>_<name>``, in their order, that ends with the slug, or whose name
     the slug contains with ``_`` for ``-``; null if none does. An id without a name is contained in every slug.
 
-    Both conditions are equal keys first. An id meets a slug in its own suffixes. A name meets a slug in its
+    Both conditions are equal keys first. A name meets a slug in its own suffixes, its first id for all that share it; ids meet
+    a slug in longer suffixes only if what follows the slug's first ``_`` is their name. A name meets a slug in its
     first 2^k characters, the most that it has, which stand at some place of the slug; what met is then compared whole.
+    No join is a broadcast one, as names and slugs are as many as the tables have.
     """
+    rest = "^[^_]*_(.*)$"
     texts = slugs.select("slug").where(F.length("slug") > 0).distinct()
-    named = ids.select("book_id").where("book_id is not null").distinct().withColumn("_name", F.regexp_extract("book_id", "^[^_]*_(.*)$", 1))
-    ends = named.select("book_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("book_id")), lambda k: F.expr("book_id").substr(k, F.length("book_id")))).alias("slug"))
-    by_end = ends.join(texts, "slug").groupBy("slug").agg(F.min("book_id").alias("_id"))
+    named = ids.select("book_id").where("book_id is not null").withColumn("_name", F.regexp_extract("book_id", rest, 1))
+    first = written(named.groupBy("_name").agg(F.min("book_id").alias("book_id")), "first-ids")
+    with_name = first.where("_name <> ''")
+
+    def ends(rows: DataFrame, whole: str, n: Column) -> DataFrame:
+        """The suffixes of ``whole`` that begin at its first ``n`` characters."""
+        return rows.select("book_id", F.explode(F.transform(F.sequence(F.lit(1), n), lambda k: F.substr(whole, k))).alias("slug"))
+
+    rests = texts.select(F.regexp_extract("slug", rest, 1).alias("_name")).where("_name <> ''").distinct()
+    long = named.join(rests.hint("merge"), "_name", "left_semi")
+    nameless = named.where("_name = '' and book_id <> ''")
+    suffixes = ends(with_name, "_name", F.length("_name")).unionByName(ends(long, "book_id", F.length("book_id") - F.length("_name"))).unionByName(ends(nameless, "book_id", F.length("book_id")))
+    by_end = suffixes.join(texts.hint("merge"), "slug").groupBy("slug").agg(F.min("book_id").alias("_id"))
 
     powers = F.array(*[F.lit(1 << k) for k in range(11)])
-    with_name = named.where(F.length("_name").between(1, 2047)).withColumn("_q", F.array_max(F.filter(powers, lambda q: q <= F.length("_name"))))
+    starts = with_name.where(F.length("_name") <= 2047).withColumn("_q", F.array_max(F.filter(powers, lambda q: q <= F.length("_name"))))
     spelled = texts.withColumn("_spelled", F.replace("slug", F.lit("-"), F.lit("_")))
     places = F.transform(F.sequence(F.lit(1), F.length("_spelled")), lambda p: F.transform(F.filter(powers, lambda q: q <= F.length("_spelled") - p + 1), lambda q: F.struct(q.alias("_q"), F.col("_spelled").substr(p, q).alias("_gram"))))
     grams = spelled.select("slug", "_spelled", F.explode(F.array_distinct(F.flatten(places))).alias("_g")).select("slug", "_spelled", "_g.*")
-    met = grams.join(with_name.select("book_id", "_name", "_q", F.col("_name").substr(F.lit(1), F.col("_q")).alias("_gram")), ["_q", "_gram"])
+    met = grams.join(starts.select("book_id", "_name", "_q", F.col("_name").substr(F.lit(1), F.col("_q")).alias("_gram")).hint("merge"), ["_q", "_gram"])
     by_name = met.where(F.contains("_spelled", "_name")).groupBy("slug").agg(F.min("book_id").alias("_id"))
 
-    any_ = named.where("_name = ''").agg(F.min("book_id").alias("_any"))  # one row
+    any_ = first.where("_name = ''").agg(F.min("book_id").alias("_any"))  # one row
     best = by_end.unionByName(by_name).groupBy("slug").agg(F.min("_id").alias("_id"))
-    both = slugs.join(best, "slug", "left").join(F.broadcast(any_))
+    both = slugs.join(best.hint("merge"), "slug", "left").join(F.broadcast(any_))
     return both.select("slug", F.least("_id", F.when(F.length("slug") > 0, F.col("_any"))).alias("book_id"))
 
 
