@@ -7,6 +7,8 @@ nothing is shuffled and no Python runs. Null texts are empty ones.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,12 +81,15 @@ def without_front_block(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "\\r\\n?", "\n"), "\\A(?s:---.*?---\\s*)", "")
 
 
-def cut_at(lines: Column, heading) -> Column:
-    """Arrays of (heading, lines): a chapter for each line for which ``heading`` is not null; what stands before is left out."""
+def cut_at(lines: Column, heading, keep: Callable[[Column], Column] | None = None) -> Column:
+    """Arrays of (heading, lines): a chapter for each line for which ``heading`` is not null; what stands before is left out.
+
+    ``keep`` makes of all heads (at, heading) those that count.
+    """
 
     def found(rows: Column) -> Column:
         heads = F.filter(F.transform(rows, lambda line, k: F.struct(k.alias("at"), heading(line).alias("heading"))), lambda h: h["heading"].isNotNull())
-        return F.struct(rows.alias("rows"), heads.alias("heads"))
+        return F.struct(rows.alias("rows"), (text.bound(heads, keep) if keep else heads).alias("heads"))
 
     def slices(both: Column) -> Column:
         def one(h, k):
@@ -155,27 +160,42 @@ def plain_chapters(rows: DataFrame, key: str = "doc_id", fallback_characters: in
     return by_heading.unionByName(sections).unionByName(whole)
 
 
+def next_numbers(heads: Column) -> Column:
+    """Of the heads (see cut_at) those numbered 1, 2, 3..., each the first after the one before; the first line stays, with any other number as no heading."""
+    bare = F.struct(F.lit(None).cast("int").alias("number"), F.lit(None).cast("string").alias("title"), F.lit(True).alias("first"))
+
+    def step(state: Column, h: Column) -> Column:
+        counts = F.coalesce(h["heading"]["number"] == state["n"] + 1, F.lit(False))
+        kept = F.when(counts, F.concat(state["kept"], F.array(h))).when(h["heading"]["first"], F.concat(state["kept"], F.array(F.struct(h["at"].alias("at"), bare.alias("heading"))))).otherwise(state["kept"])
+        return F.struct((state["n"] + F.when(counts, 1).otherwise(0)).alias("n"), kept.alias("kept"))
+
+    return F.aggregate(heads, F.struct(F.lit(0).alias("n"), F.slice(heads, 1, 0).alias("kept")), step)["kept"]
+
+
 NUMBERED = "(?i)^(?:#{1,6}\\s*)?(?:chapter\\s*)?(\\d{1,9})\\s*[-:.)]\\s*(\\S.*)$"
 
 
-def numbered_chapters(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+def numbered_chapters(rows: DataFrame, key: str = "doc_id", in_order: bool = False) -> DataFrame:
     """(key, number, title, content) of chapters below lines like "3. Title"; what stands before the first is chapter 1, but for
-    its first line, which stands for its heading."""
+    its first line, which stands for its heading. With ``in_order`` chapters are numbered 1, 2, 3...: a line with any number but the
+    next one ("187.231.175", "12:30") is text."""
 
-    def heading(line: Column) -> Column:
-        bare = F.regexp_replace(line, "\\s+$", "")
-        return F.when(bare.rlike(NUMBERED), F.struct(F.regexp_extract(bare, NUMBERED, 1).cast("int").alias("number"), text.js_trim(F.regexp_extract(bare, NUMBERED, 2)).alias("title")))
+    def heading(x: Column) -> Column:
+        bare = F.regexp_replace(x["line"], "\\s+$", "")
+        good = bare.rlike(NUMBERED)
+        told = F.struct(F.when(good, F.regexp_extract(bare, NUMBERED, 1).cast("int")).alias("number"), F.when(good, text.js_trim(F.regexp_extract(bare, NUMBERED, 2))).alias("title"), x["first"].alias("first"))
+        return F.when(good | x["first"], told)
 
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     # the first line that says something stands for a heading, if it is none
     begun = F.transform(lines, lambda line: text.js_trim(line) != "")
     first = F.array_position(begun, True).cast("int")
     both = rows.select(key, lines.alias("_l"), first.alias("_first"))
-    opening = F.struct(F.lit(1).alias("number"), F.lit("Chapter 1").alias("title"))
     tagged = F.transform("_l", lambda line, k: F.struct(line.alias("line"), (k + 1 == F.col("_first")).alias("first")))
-    cut = cut_at(tagged, lambda x: F.coalesce(heading(x["line"]), F.when(x["first"], opening)))
+    cut = cut_at(tagged, heading, next_numbers if in_order else None)
     found = both.select(key, F.explode(cut).alias("_c"))
-    return found.select(key, "_c.heading.number", "_c.heading.title", joined(F.transform("_c.lines", lambda x: x["line"])).alias("content"))
+    number, title = F.coalesce("_c.heading.number", F.lit(1)).alias("number"), F.coalesce("_c.heading.title", F.lit("Chapter 1")).alias("title")
+    return found.select(key, number, title, joined(F.transform("_c.lines", lambda x: x["line"])).alias("content"))
 
 
 ANY = "(?i)^(?:(?:chapter|sura(?:[ \\t]+ya)?|part|section)[ \\t]+[0-9a-z]+\\b|第[0-9一二三四五六七八九十]+[ \\t]*[章卷]|[0-9]+\\.[ \\t]+[a-z])"
