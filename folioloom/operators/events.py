@@ -260,7 +260,8 @@ def scroll_checkpoints(scrolls: DataFrame, session: str = "session_id", percent:
 
 
 def debounced(events: DataFrame, key: str, at: str = "created_at", millis: int = 500) -> DataFrame:
-    """Events after which none of the same key follows within ``millis``: what a debounced sender sends."""
-    following = F.lead(at).over(Window.partitionBy(key).orderBy(at, "event_id"))
+    """Events after which none of the same key follows within ``millis``: what a debounced sender sends. Of one time the
+    event of the largest id is the last, and one without an id after it."""
+    following = F.lead(at).over(Window.partitionBy(key).orderBy(F.asc_nulls_last(at), F.asc_nulls_last("event_id")))
     waits = F.unix_millis(following) - F.unix_millis(at)
     return events.withColumn("_waits", waits).where(F.col("_waits").isNull() | (F.col("_waits") >= millis)).drop("_waits")
