@@ -35,7 +35,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least doc_id of each group of texts whose five-word shingles are 0.8 alike or more."""
+    """Keeps the document of the least doc_id of each group of texts whose five-word shingles are 0.8 alike or more.
+
+    Candidates link by SimHash fingerprints at three bits, or by MinHash bands, which meet those that differ in more bits.
+    """
     return near_copies.deduplicate(docs)
 
 

@@ -1,13 +1,15 @@
-"""Near copies by exact five-word similarity, with candidates from MinHash bands.
+"""Near copies by exact five-word similarity, with candidates from SimHash fingerprints and from MinHash bands.
 
 A text's words are runs between ASCII white space with A-Z lower-cased; its shingles are the set of its
-runs of ``SHINGLE`` words (a shorter text is one shingle). Texts link if their sets have a Jaccard
-similarity of ``SIMILARITY`` or more. SimHash cannot find these pairs: at a similarity of 0.8 about ten of 64
-bits differ, and masks that cover so many bits are too many.
+runs of ``SHINGLE`` words (a shorter text is one shingle). Texts link if their sets have a Jaccard similarity of
+``SIMILARITY`` or more. Candidates come from two tables, and each is verified on the sets of 64-bit shingle hashes:
 
-Candidates agree in a band: ``ROWS`` of the ``BANDS * ROWS`` least values of the shingles under as many
-permutations. A pair at similarity s agrees in no band with probability (1 - s^5)^30: 7 in a million at
-0.8, less above. Every candidate is verified on the sets of 64-bit shingle hashes.
+* SimHash, as in ``simhash_dedup``: fingerprints at three or fewer differing bits meet under a covering mask, each of them. That
+  meets texts that are alike almost all through. At a similarity of 0.8 about ten of 64 bits differ, and masks
+  that cover so many bits are too many, so others need a second table.
+* MinHash bands: ``ROWS`` of the ``BANDS * ROWS`` least values of the shingles under as many
+  permutations. A pair at similarity s agrees in no band with probability (1 - s^5)^30: 7 in a million at
+  0.8, less above.
 
 Equal word sequences count as one text. A bucket of at most ``SMALL`` texts gives all its pairs, a larger
 one a star from the text that most others meet. Once these are verified, a larger bucket whose texts are not yet in one
@@ -84,10 +86,12 @@ def _once(batches, seen):
         yield batch.take(pa.array(fresh, pa.int64()))
 
 
-def _hashes(batches, passed, make, once=False):
+def _hashes(batches, passed, make, once=False, prints=False):
     for batch in common.slices(_once(batches, set()) if once else batches, "text"):
         texts = common.text_bytes(common.column(batch, "text"))
         arrays, names = [common.column(batch, c) for c in passed] + [_signed([words_hash(t) for t in texts])], [*passed, "h"]
+        if prints:
+            arrays, names = [*arrays, _signed([simhash_dedup.fingerprint(simhash_dedup.shingle_hashes(t)) for t in texts])], [*names, "fp"]
         if make:
             lists = [make(found) if len(found) else [] for found in map(shingles, texts)]
             offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32))
@@ -96,14 +100,16 @@ def _hashes(batches, passed, make, once=False):
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def hashed(docs: DataFrame, passed: list[str], make=None, once: bool = False) -> DataFrame:
+def hashed(docs: DataFrame, passed: list[str], make=None, once: bool = False, prints: bool = False) -> DataFrame:
     """``passed`` columns, h (the hash of the word sequence) and, with ``make``, what it makes of the shingles.
 
-    With ``once``, rows of one ``_t`` (a digest of the row) come once a task.
+    With ``prints`` fp, the SimHash fingerprint, comes too. With ``once``, rows of one ``_t`` (a digest of the row) come once a task.
     """
     source = docs.select(*dict.fromkeys([*passed, "text"]))
     schema = docs.select(*passed).schema.add("h", "long")
-    return source.mapInArrow(lambda batches: _hashes(batches, passed, make, once), schema.add("list", ArrayType(LongType())) if make else schema)
+    if prints:
+        schema = schema.add("fp", "long")
+    return source.mapInArrow(lambda batches: _hashes(batches, passed, make, once, prints), schema.add("list", ArrayType(LongType())) if make else schema)
 
 
 def alike(a: np.ndarray, b: np.ndarray, floor: float = SIMILARITY) -> bool:
@@ -198,6 +204,18 @@ def candidates(banded: DataFrame, small: int = SMALL) -> DataFrame:
     return near.unionByName(star)
 
 
+def print_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b), a < b, of distinct (h, fp) rows: edges that connect all texts whose SimHash fingerprints link.
+
+    Texts of one fingerprint are a star around the least of them, which stands for all where fingerprints differ.
+    """
+    low = common.materialise(texts.groupBy("fp").agg(F.min("h").alias("low")), "prints")
+    equal = texts.join(low, "fp").where("h <> low").select(F.col("low").alias("a"), F.col("h").alias("b"))
+    side = lambda c: low.select(F.col("fp").alias(c), F.col("low").alias(f"_{c}"))
+    near = simhash_dedup.links(low.select("fp")).join(side("a"), "a").join(side("b"), "b")
+    return equal.unionByName(near.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")))
+
+
 def similar(pairs: DataFrame, sets: DataFrame, floor: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose sets are ``floor`` alike or more."""
     side = lambda c: sets.select(F.col("h").alias(c), F.col("list").alias(f"_{c}"))
@@ -214,10 +232,10 @@ def _mark(key: str) -> list[Column]:
 
 
 def links(docs: DataFrame, texts: DataFrame, key: str, small: int = SMALL) -> DataFrame:
-    """(a, b) word hashes whose components are those of all similar texts; ``texts`` has a row for each h."""
+    """(a, b) word hashes whose components are those of all similar texts; ``texts`` has a row for each h, with its fp and its bands."""
     banded = texts.select("h", F.explode("list").alias("band"))
     met = common.materialise(candidates(banded, small), "met")
-    pairs = common.materialise(met.select("a", "b").distinct(), "pairs")
+    pairs = common.materialise(print_pairs(texts.select("h", "fp")).unionByName(met.select("a", "b")).distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
     wanted = texts.select("_null", "_key", "h").join(ids, "h", "left_semi")
     rows = hashed(docs.select(*_mark(key), "text"), ["_null", "_key", "text"]).join(wanted, ["_null", "_key", "h"], "left_semi")
@@ -244,10 +262,10 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", small: int = SMALL) -> Dat
     common.ship(docs.sparkSession)
     docs, names, restored = common.guarded(docs, key, "text")
     docs = docs.withColumn("_t", F.xxhash64(*names))
-    known = hashed(docs, [key, "_t"], bands).select(*_mark(key), "_t", "h", "list")
+    known = hashed(docs, [key, "_t"], bands, prints=True).select(*_mark(key), "_t", "h", "fp", "list")
     # one row of each text before anything else: copies weigh nothing there
-    texts = known.groupBy("h").agg(F.min(F.struct("_null", "_key", "_t")).alias("_first"), F.first("list").alias("list"))
-    texts = common.materialise(texts.select("_first.*", "h", "list"), "texts")
+    texts = known.groupBy("h").agg(F.min(F.struct("_null", "_key", "_t")).alias("_first"), F.first("fp").alias("fp"), F.first("list").alias("list"))
+    texts = common.materialise(texts.select("_first.*", "h", "fp", "list"), "texts")
     roots = components.connected(links(docs, texts, key, small))
     named = texts.join(roots, texts["h"] == roots["node"], "left").select("_null", "_key", "_t", "h", F.coalesce("root", "h").alias("_root"))
     stay = common.materialise(named.groupBy("_root").agg(F.min(F.struct("_null", "_key", "_t", "h")).alias("_row")).select("_row.*"), "stay")

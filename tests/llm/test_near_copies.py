@@ -75,3 +75,25 @@ def test_rows_of_one_key_and_empty(spark):
     found = near_copies.deduplicate(docs).collect()
     assert len(found) == 2 and {r.doc_id for r in found} == {1}
     assert near_copies.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_simhash_finds_candidates(spark, tmp_path, monkeypatch):
+    """Without any candidate of the bands SimHash still meets what is alike almost all through; each link is verified."""
+    monkeypatch.setattr(near_copies, "candidates", lambda banded, small: banded.selectExpr("band", "h AS a", "h AS b").limit(0))
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:1500], "changed", *words[1501:]])), (3, " ".join(reversed(words))), (4, None), (5, " ")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()) == [1, 3, 4]
+
+
+def test_print_pairs(spark):
+    prints = [0, 1, 7, 15, 1 << 62, (1 << 63) - 1]
+    rows = [(h, fp) for h, fp in enumerate(prints)] + [(10, 1), (11, 1)]
+    found = {(r.a, r.b) for r in near_copies.print_pairs(spark.createDataFrame(rows, "h long, fp long")).collect()}
+    root = {h: h for h, _ in rows}
+    for a, b in found:
+        root = {h: root[a] if r == root[b] else r for h, r in root.items()}
+        assert a < b
+    groups = {frozenset(h for h in root if root[h] == r) for r in root.values()}
+    assert groups == {frozenset({0, 1, 2, 3, 4, 10, 11}), frozenset({5})}
