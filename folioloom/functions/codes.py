@@ -28,21 +28,26 @@ def rolling_hash(c: Column) -> Column:
     return F.abs(F.aggregate(codes, F.lit(0).cast("long"), lambda h, x: wrap(h * 31 + x)))
 
 
+#: All characters of one byte, and what stands for the character 0, which ``translate`` would delete.
+_BYTES, _ZERO = "".join(map(chr, range(256))), chr(256)
+
+
+def _xored(c: Column, key: Column) -> Column:
+    """Characters of one byte, each XORed with ``key`` (0 to 255)."""
+    turned = F.array(*[F.lit("".join(chr(b ^ k) if b != k else _ZERO for b in range(256))) for k in range(256)])
+    return F.replace(F.call_function("translate", c, F.lit(_BYTES), F.get(turned, key.cast("int"))), F.lit(_ZERO), F.lit("\0"))
+
+
 def masked(c: Column, key: Column) -> Column:
     """Percent-encoded text, each byte XORed with ``key`` (0 to 254), in base 64. It hides, and protects nothing."""
     from .text import uri_component
 
-    signs = F.filter(F.split(uri_component(c), ""), lambda x: x != "")
-    out = F.transform(signs, lambda x: F.lpad(F.hex(F.ascii(x).bitwiseXOR(key.cast("int"))), 2, "0"))
-    return F.base64(F.unhex(F.array_join(out, "")))
+    return F.base64(F.encode(_xored(uri_component(c), key), "ISO-8859-1"))
 
 
 def unmasked(c: Column, key: Column) -> Column:
     """The text that ``masked`` hid."""
-    digits = F.hex(F.unbase64(c))
-    places = F.when(F.length(digits) > 0, F.sequence(F.lit(1), F.length(digits), F.lit(2))).otherwise(F.array().cast("array<int>"))
-    signs = F.transform(places, lambda k: F.char(F.conv(F.substr(digits, k, F.lit(2)), 16, 10).cast("int").bitwiseXOR(key.cast("int"))))
-    return F.url_decode(F.replace(F.array_join(signs, ""), F.lit("+"), F.lit("%2B")))
+    return F.url_decode(F.replace(_xored(F.decode(F.unbase64(c), "ISO-8859-1"), key), F.lit("+"), F.lit("%2B")))
 
 
 def sealed(c: Column, key: Column, bound: Column) -> Column:
