@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -206,9 +209,20 @@ def folder_pages(files: DataFrame, page: int = LISTING_PAGE) -> DataFrame:
     return placed.join(first, "folder").select("folder", "name", "is_folder", (position + 1).alias("position"), (F.floor(position / page) + 1).cast("long").alias("page"))
 
 
+def _character_counts(texts: pd.Series) -> pd.Series:
+    """Characters of UTF-8 texts with their numbers, in order, without white space; null stays."""
+
+    def told(raw: bytes) -> str:
+        counts = Counter(raw.decode("utf-8", "replace"))
+        return "".join(f"{c}{n} " for c, n in sorted(counts.items()) if c not in text.JSWS_CHARACTERS)
+
+    return texts.map(told, na_action="ignore").astype(object)
+
+
 def same_characters(left: DataFrame, right: DataFrame, key: str, column: str) -> DataFrame:
-    """key and whether both texts have the same characters equally often, white space aside."""
-    signature = lambda rows, name: rows.select(key, F.array_join(F.array_sort(F.split(text.payload(F.col(column)), "")), "").alias(name))
+    """key and whether both texts have the same characters equally often, white space aside. Only their counts meet."""
+    counts = F.pandas_udf(_character_counts, "string")
+    signature = lambda rows, name: rows.select(key, counts(F.col(column).cast("binary")).alias(name))
     return signature(left, "_l").join(signature(right, "_r"), key, "full_outer").select(key, F.col("_l").eqNullSafe(F.col("_r")).alias("same"))
 
 

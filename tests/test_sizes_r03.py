@@ -68,3 +68,14 @@ def test_masks_of_all_keys(spark):
     encoded = quote(told, safe="-_.!~*'()").encode()
     assert all(r.m == base64.b64encode(bytes(b ^ r.k for b in encoded)).decode() and r.back == told for r in rows.collect())
     assert "lambda" not in analyzed(rows)
+
+
+def test_only_counts_of_characters_meet(spark):
+    left = ["abca", " a\u3000b\ufeff", "11 2", "112", "12", "", None, "é\U0001f600", "aab", "x", None]
+    right = ["caab", "ba", "1 12", "122", "21", " \n", None, "\U0001f600é", "abb", None, ""]
+    frame = lambda texts: spark.createDataFrame([*enumerate(texts)], "k long, t string")
+    found = audit.same_characters(frame(left), frame(right), "k", "t")
+    strip = lambda t: t and Counter(c for c in t if c not in text.JSWS_CHARACTERS)
+    same = [(a is None) == (b is None) and (strip(a) or Counter()) == (strip(b) or Counter()) for a, b in zip(left, right, strict=True)]
+    assert [r.same for r in found.orderBy("k").collect()] == same
+    assert "array_sort" not in analyzed(found)
