@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from folioloom.functions import text
 
+from .segment import fixed
+
 #: Numbers as words.
 ENGLISH = dict(zip("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split(), range(1, 20), strict=True))
 ENGLISH_TENS = dict(zip("twenty thirty forty fifty sixty seventy eighty ninety".split(), range(20, 100, 10), strict=True))
@@ -146,7 +148,7 @@ def plain_chapters(rows: DataFrame, key: str = "doc_id", fallback_characters: in
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     heading = lambda line: F.when(line.rlike(PLAIN), F.coalesce(F.nullif(text.js_trim(F.regexp_extract(line, PLAIN, 2)), F.lit("")), F.concat(F.lit("Chapter "), F.regexp_extract(line, PLAIN, 1))))
     cut = rows.select(key, F.coalesce("text", F.lit("")).alias("_t"), cut_at(lines, heading).alias("_c"))
-    by_heading = cut.where(F.size("_c") > 0).select(key, F.posexplode("_c").alias("_k", "_c")).select(key, (F.col("_k") + 1).alias("number"), F.col("_c.heading").alias("title"), joined(F.col("_c.lines")).alias("content")).where("content <> ''")
+    chapter = lambda number, title, content: F.struct(number.alias("number"), title.alias("title"), content.alias("content"))
     own = F.filter(F.split("_t", "\\n\\s*\\n"), lambda p: text.js_trim(p) != "")
 
     def grouped(paragraphs: Column) -> Column:
@@ -154,10 +156,13 @@ def plain_chapters(rows: DataFrame, key: str = "doc_id", fallback_characters: in
         group = lambda at, k: lambda all_: F.slice(paragraphs, at, F.coalesce(F.get(all_, k + 1), F.size(paragraphs) + 1) - at)
         return text.bound(places, lambda all_: F.transform(all_, lambda at, k: text.js_trim(F.array_join(group(at, k)(all_), "\n\n"))))
 
-    rest = cut.where(F.size("_c") == 0).select(key, "_t", text.bound(own, grouped).alias("_g"))
-    sections = rest.where(F.size("_g") > 0).select(key, F.posexplode("_g").alias("_k", "content")).select(key, (F.col("_k") + 1).alias("number"), F.concat(F.lit("Section "), (F.col("_k") + 1).cast("string")).alias("title"), "content")
-    whole = rest.where(F.size("_g") == 0).select(key, F.lit(1).alias("number"), F.lit("Full Story").alias("title"), F.col("_t").alias("content"))
-    return by_heading.unionByName(sections).unionByName(whole)
+    sections = lambda groups: F.transform(groups, lambda g, k: chapter(k + 1, F.concat(F.lit("Section "), (k + 1).cast("string")), g))
+    whole = F.array(chapter(F.lit(1), F.lit("Full Story"), F.col("_t")))
+    rest = text.bound(text.bound(own, grouped), lambda groups: F.when(F.size(groups) > 0, sections(groups)).otherwise(whole))
+    headed = F.filter(F.transform("_c", lambda c, k: chapter(k + 1, c["heading"], joined(c["lines"]))), lambda c: c["content"] != "")
+    # one pass over the texts, whatever they have
+    found = fixed(cut, "_c", F.col("_c")).select(key, F.explode(F.when(F.size("_c") > 0, headed).otherwise(rest)).alias("_c"))
+    return found.select(key, "_c.*")
 
 
 def next_numbers(heads: Column) -> Column:

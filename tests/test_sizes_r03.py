@@ -79,3 +79,10 @@ def test_only_counts_of_characters_meet(spark):
     same = [(a is None) == (b is None) and (strip(a) or Counter()) == (strip(b) or Counter()) for a, b in zip(left, right, strict=True)]
     assert [r.same for r in found.orderBy("k").collect()] == same
     assert "array_sort" not in analyzed(found)
+
+
+def test_plain_texts_are_cut_in_one_pass(spark):
+    rows = spark.createDataFrame([(1, "Chapter 1: A\nx\nsection 2\n\nChapter 3\ny"), (2, "no heading\n\nat all"), (3, ""), (4, None), (5, "Chapter 9\n")], "doc_id long, text string")
+    found = manuscripts.plain_chapters(rows, fallback_characters=5)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, "A", "x"), (1, 3, "Chapter 3", "y"), (2, 1, "Section 1", "no heading"), (2, 2, "Section 2", "at all"), (3, 1, "Full Story", ""), (4, 1, "Full Story", "")]
+    assert "Union" not in analyzed(found)
