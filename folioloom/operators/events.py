@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioloom.functions import text
+
 #: The event types, those that need a chapter, and the limits of a request.
 EVENT_TYPES = ("book_view", "chapter_start", "chapter_25", "chapter_50", "chapter_75", "chapter_complete", "bookshelf_add", "offline_download")
 CHAPTER_EVENTS = ("chapter_start", "chapter_25", "chapter_50", "chapter_75", "chapter_complete", "offline_download")
@@ -200,21 +202,32 @@ def request_outcomes(requests: DataFrame, body: str = "body") -> DataFrame:
 
     A body is a JSON object of at most MAX_BODY_BYTES bytes. Values of another JSON type count as wrong.
     """
-    value = strict_json(F.col(body).cast("string"))
-    field = lambda name: F.try_variant_get(value, f"$.{name}", "variant")
-    kind = lambda name: F.coalesce(F.schema_of_variant(field(name)), F.lit("VOID"))
-    string = lambda name: F.when(kind(name) == "STRING", F.try_variant_get(value, f"$.{name}", "string"))
-    empty = lambda name: (kind(name) == "VOID") | F.coalesce(string(name) == "", F.lit(False))
-    event, seconds = F.coalesce(string("eventType"), F.lit("")), F.try_variant_get(value, "$.readingSeconds", "double")
-    whole = kind("readingSeconds").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & F.coalesce(seconds.between(0, MAX_SECONDS) & (seconds == F.floor(seconds)), F.lit(False))
-    chapter = empty("chapterId") | is_uuid(string("chapterId"))
-    good = event.isin(*EVENT_TYPES) & is_uuid(string("bookId")) & chapter & (~event.isin(*CHAPTER_EVENTS) | ~empty("chapterId")) & ((kind("readingSeconds") == "VOID") | whole)
-    outcome = (
-        F.when(F.octet_length(body) > MAX_BODY_BYTES, "too large")
-        .when(value.isNull(), "not JSON")
-        .when(~F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False)) | ~good, "invalid event")
-        .when(F.col("user_id").isNull() & ~is_uuid(F.trim(string("anonymousId"))), "invalid reader")
-    )
+    names = ("eventType", "bookId", "chapterId", "readingSeconds", "anonymousId")
+
+    def fields(value: Column) -> Column:
+        """Each field's kind and string, read once."""
+
+        def read(name: str) -> Column:
+            got = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+            return text.bound(F.try_variant_get(value, f"$.{name}", "variant"), lambda v: F.struct(got(v).alias("kind"), F.when(got(v) == "STRING", F.try_variant_get(v, "$", "string")).alias("string"))).alias(name)
+
+        return F.struct(*[read(name) for name in names], F.try_variant_get(value, "$.readingSeconds", "double").alias("seconds"))
+
+    def fault(f: Column) -> Column:
+        kind, string = lambda name: f[name]["kind"], lambda name: f[name]["string"]
+        empty = lambda name: (kind(name) == "VOID") | F.coalesce(string(name) == "", F.lit(False))
+        event, seconds = F.coalesce(string("eventType"), F.lit("")), f["seconds"]
+        whole = kind("readingSeconds").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & F.coalesce(seconds.between(0, MAX_SECONDS) & (seconds == F.floor(seconds)), F.lit(False))
+        chapter = empty("chapterId") | is_uuid(string("chapterId"))
+        good = event.isin(*EVENT_TYPES) & is_uuid(string("bookId")) & chapter & (~event.isin(*CHAPTER_EVENTS) | ~empty("chapterId")) & ((kind("readingSeconds") == "VOID") | whole)
+        return F.when(~good, "invalid event").when(F.col("user_id").isNull() & ~is_uuid(F.trim(string("anonymousId"))), "invalid reader")
+
+    def judged(value: Column) -> Column:
+        an_object = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+        return F.when(value.isNull(), "not JSON").when(~an_object, "invalid event").otherwise(text.bound(fields(value), fault))
+
+    # a body is parsed once
+    outcome = F.when(F.octet_length(body) > MAX_BODY_BYTES, "too large").otherwise(text.bound(strict_json(F.col(body).cast("string")), judged))
     return requests.withColumn("outcome", outcome)
 
 

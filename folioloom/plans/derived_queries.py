@@ -8,7 +8,7 @@ from folioloom.functions import codes, text
 from folioloom.operators import audit, events, ingest, publish
 
 from .book_queries import chapters
-from .stand_ins import BOOKS, CHAPTERS, books, table
+from .stand_ins import BOOKS, CHAPTERS, books, dealt, table
 
 QUERIES, ORACLE_SQL = {}, {}
 #: ECMAScript white space in DuckDB's regular expressions.
@@ -110,7 +110,7 @@ def request_outcomes(spark, d):
     reader = F.when(k % 7 == 1, F.concat(F.lit("reader "), user)).otherwise(F.concat(F.lit("  "), uuid))
     body = F.concat(F.lit('{"eventType":"'), picked(KINDS, k), F.lit('","bookId":'), book, F.lit(',"chapterId":'), chapter, F.lit(',"anonymousId":"'), reader, F.lit('"'), picked(SECONDS, F.floor(k / 8)), F.lit("}"))
     shaped = F.when(k % 17 == 3, F.concat(F.repeat(F.lit(" "), 4096), body)).when(k % 17 == 5, F.concat(body, F.lit("]"))).when(k % 17 == 7, F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
-    rows = table(spark, d, "events").select("event_id", shaped.alias("body"), F.when(k % 3 == 0, user).alias("user_id"))
+    rows = dealt(table(spark, d, "events").select("event_id", "user_id"), "event_id").select("event_id", shaped.alias("body"), F.when(k % 3 == 0, user).alias("user_id"))
     return events.request_outcomes(rows).select("event_id", "outcome")
 
 

@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a small file dealt out to all tasks, before work that costs much a row: a file's row group is one task's."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def reading_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.create_map(*[F.lit(x) for x in ("view", "book_view", "click", "chapter_start", "purchase", "chapter_complete", "signup", "bookshelf_add", "error", "offline_download")])
     return table(spark, sf_dir, "events").select(

@@ -29,6 +29,14 @@ def test_phrases_are_counted_without_their_strings(spark):
     assert "array_distinct" not in analyzed(counted)
 
 
+def test_a_request_is_parsed_once(spark):
+    """One strict parse, of three passes; fields come from its value."""
+    bodies = ['{"eventType":"book_view","bookId":"12121212-3434-4565-8787-000000000001","anonymousId":"12121212-3434-4565-8787-000000000001"}', "[1]", "7", "null", "{", '{"eventType":7}', None, " " * 5000]
+    found = ev.request_outcomes(spark.createDataFrame([(b, None) for b in bodies], "body string, user_id string"))
+    assert analyzed(found).count("parse_json") <= 3
+    assert [r.outcome for r in found.collect()] == [None, "invalid event", "invalid event", "invalid event", "not JSON", "invalid event", "not JSON", "too large"]
+
+
 def test_pages_of_a_row_group_are_read_in_one_stream(spark, tmp_path, monkeypatch):
     """300 pages of 10 rows in row groups of 700: 96 partitions at most, each of which opens a row group once."""
     path = f"{tmp_path}/t.parquet"
