@@ -124,6 +124,8 @@ def neighbours(rows: DataFrame, key: str, number: str) -> DataFrame:
 
 def contiguity(rows: DataFrame, key: str, number: str, first: int = 1) -> DataFrame:
     """By key whether the numbers are ``first``, ``first`` + 1, ... without gap or repeat."""
+    # dealt into a set number of parts: the counts of one task grow with its rows, and small shuffled rows would be put together
+    rows = rows.select(key, number).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     good = (F.min(number) == first) & (F.max(number) == F.count("*") + first - 1) & (F.countDistinct(number) == F.count("*"))
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.coalesce(good, F.lit(False)).alias("contiguous"))
 

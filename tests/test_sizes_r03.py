@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from folioloom.functions import codes, text
-from folioloom.operators import audit, formatting, manuscripts, segment
+from folioloom.operators import audit, catalog, formatting, manuscripts, publish, segment
 from folioloom.operators import events as ev
 from folioloom.plans import stand_ins
 from folioloom.sources import paged
@@ -107,6 +107,14 @@ def test_only_counts_of_characters_meet(spark):
     assert "array_sort" not in analyzed(found)
 
 
+def test_contiguity_stays_in_a_set_number_of_parts(spark):
+    """Small shuffled rows are put together into few tasks, whose counts then grow with the table."""
+    rows = spark.createDataFrame([(k, n) for k in range(40) for n in range(1, 4 + (k % 4 == 0)) if (k % 5, n) != (0, 2)] + [(1, 3)], "k long, n int")
+    found = catalog.contiguity(rows, "k", "n")
+    assert {r.k: (r.n, r.contiguous) for r in found.collect()} == {k: (3 + (k % 4 == 0) - (k % 5 == 0) + (k == 1), k % 5 != 0 and k != 1) for k in range(40)}
+    assert found.rdd.getNumPartitions() == 4
+
+
 def test_plain_texts_are_cut_in_one_pass(spark):
     rows = spark.createDataFrame([(1, "Chapter 1: A\nx\nsection 2\n\nChapter 3\ny"), (2, "no heading\n\nat all"), (3, ""), (4, None), (5, "Chapter 9\n")], "doc_id long, text string")
     found = manuscripts.plain_chapters(rows, fallback_characters=5)
