@@ -115,9 +115,11 @@ def edge_digest(p: Column, edge: str) -> Column:
 
 def normalize_tags(tags: Column) -> Column:
     """Collapsed, non-empty, distinct without regard to case, the first spelling kept."""
-    clean = F.filter(F.transform(tags, collapse), lambda t: t != "")
-    lower = F.transform(clean, F.lower)
-    return F.filter(clean, lambda t, i: F.array_position(lower, F.lower(t)) == i + 1)
+
+    def distinct(clean: Column) -> Column:
+        return bound(F.transform(clean, F.lower), lambda lower: F.filter(clean, lambda t, i: F.array_position(lower, F.lower(t)) == i + 1))
+
+    return bound(F.filter(F.transform(tags, collapse), lambda t: t != ""), distinct)
 
 
 def tag_list(c: Column) -> Column:

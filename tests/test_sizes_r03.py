@@ -130,3 +130,9 @@ def test_plain_texts_are_cut_in_one_pass(spark):
     found = manuscripts.plain_chapters(rows, fallback_characters=5)
     assert sorted(map(tuple, found.collect())) == [(1, 1, "A", "x"), (1, 3, "Chapter 3", "y"), (2, 1, "Section 1", "no heading"), (2, 2, "Section 2", "at all"), (3, 1, "Full Story", ""), (4, 1, "Full Story", "")]
     assert "Union" not in analyzed(found)
+
+
+def test_tags_are_collapsed_once(spark):
+    rows = spark.createDataFrame([(["A  b", " a B", "", " ", "c", "C", None],), ([],), (None,)], "t array<string>").select(text.normalize_tags(F.col("t")).alias("t"))
+    assert [r.t for r in rows.collect()] == [["A b", "c"], [], None]
+    assert analyzed(rows).count("btrim") == 1
