@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from folioloom.functions import codes, text
 from folioloom.operators import audit, catalog, formatting, manuscripts, publish, segment
 from folioloom.operators import events as ev
-from folioloom.plans import stand_ins
+from folioloom.plans import stand_ins, store_queries
 from folioloom.sources import paged
 from folioloom.streaming import events as stream
 from folioloom.streaming import readers
@@ -161,3 +161,13 @@ def test_readers_share_groups_of_state(spark, tmp_path, groups):
     assert {r.event_id: r.verdict == "accepted" for r in found} == expected and len(found) == len(rows) and 0 < sum(expected.values()) < len(rows)
     assert {r.event_id for r in spark.read.parquet(f"{tmp_path}/out/late").collect()} == {r[0] for r in late}
     assert max(updated) <= 5 * groups
+
+
+def test_parts_of_a_stream_are_written_by_all_tasks(spark, tmp_path):
+    """Each part of a table of three files is three files, not one task's."""
+    spark.createDataFrame([(k, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=k % 100), k, "view", 1.0, "{}") for k in range(300)], "event_id long, ts timestamp, user_id long, event_type string, value double, props string").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    seen = []
+    for _ in store_queries.arrivals(spark, str(tmp_path), f"{tmp_path}/in", 2):
+        rows = spark.read.parquet(f"{tmp_path}/in")
+        seen.append((rows.where("event_id >= 0").count(), rows.count(), len(rows.inputFiles())))
+    assert [s[:2] for s in seen] == [(150, 150), (300, 301)] and seen[0][2] == 3
