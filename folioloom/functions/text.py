@@ -52,6 +52,10 @@ def token_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(TOKEN)).cast("long")
 
 
+#: Nine tokens or more, each whole: none is tried again shorter. The rest of the line is not read.
+LONG_LINE = "^(?:[^\\p{L}\\p{N}_]*+(?>" + TOKEN + ")){9}"
+
+
 def translation_units(c: Column) -> Column:
     """Tokens and single other signs; at least one."""
     return F.greatest(F.regexp_count(c, F.lit(TOKEN + "|" + JSWS.replace("[", "[^", 1))).cast("long"), F.lit(1).cast("long"))
@@ -197,17 +201,24 @@ BLOCK_PATTERNS = (
 
 def block_kind(c: Column) -> Column:
     """scene_break, heading, letter, list, poetry (most of its lines short) or prose."""
-    lines = F.filter(F.transform(F.split(c, "\\n"), js_trim), lambda line: line != "")
-    short = F.size(F.filter(lines, lambda line: token_count(line) <= 8))
-    kind = F.when((F.size(lines) >= 2) & (short >= 0.8 * F.size(lines)), "poetry").otherwise("prose")
+    return bound(js_trim(c), _trimmed_kind)
+
+
+def _trimmed_kind(t: Column) -> Column:
+    """``block_kind`` of a trimmed text. Only one of two lines or more is cut into lines."""
+
+    def poetry(lines: Column) -> Column:
+        return F.size(F.filter(lines, lambda line: ~line.rlike(LONG_LINE))) >= 0.8 * F.size(lines)
+
+    kind = F.when(F.contains(t, F.lit("\n")) & bound(paragraphs(t, "\n"), poetry), "poetry").otherwise("prose")
     for name, pattern in reversed(BLOCK_PATTERNS):
-        kind = F.when(js_trim(c).rlike(pattern), name).otherwise(kind)
+        kind = F.when(t.rlike(pattern), name).otherwise(kind)
     return kind
 
 
 def blocks(c: Column, mark: str = "\\n\\s*\\n") -> Column:
     """The blocks of a text, in order: structs of kind and text."""
-    return F.transform(paragraphs(c, mark), lambda p: F.struct(block_kind(p).alias("kind"), p.alias("text")))
+    return F.transform(paragraphs(c, mark), lambda p: F.struct(_trimmed_kind(p).alias("kind"), p.alias("text")))
 
 
 def strip_markup(c: Column) -> Column:

@@ -171,3 +171,22 @@ def test_parts_of_a_stream_are_written_by_all_tasks(spark, tmp_path):
         rows = spark.read.parquet(f"{tmp_path}/in")
         seen.append((rows.where("event_id >= 0").count(), rows.count(), len(rows.inputFiles())))
     assert [s[:2] for s in seen] == [(150, 150), (300, 301)] and seen[0][2] == 3
+
+
+def test_a_line_is_read_to_its_ninth_token(spark):
+    """Long lines are those of nine tokens or more, hyphens and apostrophes within and beside words too."""
+    draw = random.Random(22)
+    rows = spark.createDataFrame([("".join(draw.choice("ab  '-’é1_ .—") for _ in range(draw.randint(0, 70))),) for _ in range(3000)] + [("a-" * 30,), ("a" * 5000,), ("",)], "t string")
+    found = rows.select("t", text.token_count(F.col("t")).alias("n"), F.col("t").rlike(text.LONG_LINE).alias("long")).collect()
+    assert [r for r in found if r.long != (r.n >= 9)] == [] and 500 < sum(r.long for r in found) < 2500
+
+
+def test_a_block_is_trimmed_once(spark):
+    nine = "one two three four five six seven eight nine"
+    texts = {" * * * \n": "scene_break", "\n# Head ": "heading", "Chapter 1\n": "heading", "Dear Ann,\nyes": "letter", "- a\nb": "list", "a b\n\n c \n": "poetry", f"a\n{nine}": "prose", "\n".join("abcd") + f"\n{nine}": "poetry", " one line\n": "prose", "": "prose"}
+    rows = spark.createDataFrame([*((t,) for t in texts), (None,)], "t string").select("t", text.block_kind(F.col("t")).alias("kind"))
+    assert {r.t: r.kind for r in rows.collect()} == {**texts, None: "prose"}
+    assert analyzed(rows).count("btrim") == 2  # the text and its lines
+    parts = spark.createDataFrame([("# A\n\n  b c \n***",)], "t string").select(text.blocks(F.col("t"), "\n").alias("b"))
+    assert [tuple(b) for b in parts.first().b] == [("heading", "# A"), ("prose", "b c"), ("scene_break", "***")]
+    assert analyzed(parts).count("btrim") == 2
