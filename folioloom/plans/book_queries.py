@@ -339,10 +339,7 @@ def build_changes(spark, d):
     SELECT id, chapter_number, '<url><loc>' || url || '</loc>' || l || '<lastmod>2000-01-01</lastmod><changefreq>monthly</changefreq><priority>0.6</priority></url>' AS element FROM own JOIN lists USING (id, chapter_number)""",
 )
 def sitemap(spark, d):
-    own = books(spark, d).select("id", "slug")
-    links = publish.alternates(books(spark, d), chapters(spark, d)).join(own, "id")
-    links = links.withColumn("_self", F.col("url") == publish.chapter_url(F.col("slug"), F.col("chapter_number")))
-    return publish.sitemap_entries(links, "2000-01-01")
+    return publish.page_elements(publish.page_links(books(spark, d), chapters(spark, d)), "2000-01-01")
 
 
 # --- audits

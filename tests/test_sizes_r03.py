@@ -190,3 +190,24 @@ def test_a_block_is_trimmed_once(spark):
     parts = spark.createDataFrame([("# A\n\n  b c \n***",)], "t string").select(text.blocks(F.col("t"), "\n").alias("b"))
     assert [tuple(b) for b in parts.first().b] == [("heading", "# A"), ("prose", "b c"), ("scene_break", "***")]
     assert analyzed(parts).count("btrim") == 2
+
+
+def test_editions_meet_as_books_and_no_page_is_shuffled(spark):
+    books = spark.createDataFrame([(1, "a b", "en", None), (2, "two", "sw", 1), (3, "a b-sw", "sw", None), (4, "none", "en", None)], "id long, slug string, language_code string, parent_book_id long")
+    chapters = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (3, 1), (9, 1)], "book_id long, chapter_number int")
+    links = publish.alternates(books, chapters)
+    at = lambda slug, n: f"{publish.SITE}/read/{slug}/{n}"
+    a, sw = "a%20b", "a%20b-sw"
+    expected = {
+        (1, 1): [("en", at(a, 1)), ("sw", at(sw, 1)), ("x-default", at(a, 1))],
+        (1, 2): [("en", at(a, 2)), ("sw", at("two", 2)), ("x-default", at(a, 2))],
+        (2, 2): [("en", at(a, 2)), ("sw", at("two", 2)), ("x-default", at(a, 2))],
+        (3, 1): [("en", at(a, 1)), ("sw", at(sw, 1)), ("x-default", at(a, 1))],
+    }
+    assert sorted(map(tuple, links.collect())) == sorted((*page, *link) for page, all_ in expected.items() for link in all_)
+    own = books.select("id", "slug")
+    marked = links.join(own, "id").withColumn("_self", F.col("url") == publish.chapter_url(F.col("slug"), F.col("chapter_number")))
+    elements = publish.page_elements(publish.page_links(books, chapters), "2000-01-01")
+    assert sorted(map(tuple, elements.collect())) == sorted(map(tuple, publish.sitemap_entries(marked, "2000-01-01").collect()))
+    plan = elements._jdf.queryExecution().optimizedPlan().toString()
+    assert "chapter_number" not in "".join(line for line in plan.splitlines() if "Join" in line)
